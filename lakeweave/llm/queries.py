@@ -39,3 +39,63 @@ best AS (
   FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)
 """
+
+
+@query
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import imatch
+    from .neighbours import with_next
+    from .tables import cut
+
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    held = imatch.Lexicon(cut(imatch.lexicon(docs)))
+    rows = with_next(imatch.fingerprint(docs, held), "doc_id", ["text", "fingerprint"], tie="text")
+    rows = rows.withColumn("edited", imatch.edited(F.col("text"), F.col("next_text")))
+    rows = imatch.fingerprint(rows, held, "edited", "edited_fingerprint")
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        imatch.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        imatch.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
+def _imatch_sql(text: str) -> str:
+    """SQL of the fingerprint of a column of table `texts`; SUBSETS and KEEP as in imatch.py."""
+    from .imatch import GAPS, IDF_HIGH, IDF_LOW, KEEP, SUBSETS
+
+    terms = f"list_filter(list_distinct(string_split_regex(lower({text}), '{GAPS}')), lambda w: w <> '')"
+    parts = ["array_to_string(k, ' ')"] + [f"array_to_string(list_filter(k, lambda w: substr(md5(w), {j}, 1) < '{KEEP[j % len(KEEP)]:x}'), ' ')" for j in range(1, SUBSETS)]
+    return f"""
+lex AS MATERIALIZED (
+  SELECT term FROM (SELECT unnest(list_filter(list_distinct(string_split_regex(lower(text), '{GAPS}')), lambda w: w <> '')) AS term FROM texts) GROUP BY term
+  HAVING count(*) BETWEEN (SELECT ceil(count(*) * exp(-{IDF_HIGH})) FROM texts) AND (SELECT floor(count(*) * exp(-{IDF_LOW})) FROM texts)),
+""", f"""
+  SELECT rn, array_to_string(list_transform([{", ".join(parts)}], lambda p: CASE WHEN p = '' THEN '-' ELSE substr(md5(p), 1, 12) END), ' ') AS f
+  FROM (SELECT rn, coalesce(list_sort(list(term) FILTER (term IN (SELECT term FROM lex))), []::VARCHAR[]) AS k
+        FROM (SELECT rn, unnest(CASE WHEN len({terms}) = 0 THEN [NULL] ELSE {terms} END) AS term FROM texts) GROUP BY rn)
+"""
+
+
+def _op9_sql() -> str:
+    lex, own = _imatch_sql("text")
+    _, changed = _imatch_sql("edited")
+    like = lambda a, b: f"""(CASE WHEN len(list_filter(list_zip(string_split({a}, ' '), string_split({b}, ' ')), lambda x: x[1] <> '-' OR x[2] <> '-')) = 0 THEN 1.0
+      ELSE len(list_filter(list_zip(string_split({a}, ' '), string_split({b}, ' ')), lambda x: x[1] = x[2] AND x[1] <> '-'))::DOUBLE
+         / len(list_filter(list_zip(string_split({a}, ' '), string_split({b}, ' ')), lambda x: x[1] <> '-' OR x[2] <> '-')) END)"""
+    return f"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id, text) AS rn FROM documents),
+nexts AS (SELECT *, coalesce(lead(text) OVER (ORDER BY rn), first(text) OVER (ORDER BY rn)) AS nt, coalesce(lead(rn) OVER (ORDER BY rn), 1) AS nrn FROM base),
+texts AS MATERIALIZED (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(nt, 1, length(text) // 2) AS edited FROM nexts),
+{lex}
+own AS MATERIALIZED ({own}), changed AS MATERIALIZED ({changed})
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, o.f AS fingerprint, c.f AS edited_fingerprint,
+       {like("o.f", "c.f")} AS near_edited, {like("o.f", "n.f")} AS near_next
+FROM texts t JOIN own o ON o.rn = t.rn JOIN changed c ON c.rn = t.rn JOIN own n ON n.rn = t.nrn
+"""
+
+
+ORACLE["op9_imatch"] = _op9_sql()
