@@ -99,3 +99,10 @@ FROM texts t JOIN own o ON o.rn = t.rn JOIN changed c ON c.rn = t.rn JOIN own n
 
 
 ORACLE["op9_imatch"] = _op9_sql()
+
+
+@query
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import Options, near_duplicates
+
+    return near_duplicates(parquet(spark, sf_dir, "documents").select("doc_id", "text"), Options(shingle=3, percent=85))
