@@ -106,3 +106,12 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import Options, near_duplicates
 
     return near_duplicates(parquet(spark, sf_dir, "documents").select("doc_id", "text"), Options(shingle=3, percent=85))
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .encode import default_path
+    from .packing import pack, pieces
+
+    made = pieces(parquet(spark, sf_dir, "documents").select("doc_id", "text"), default_path())
+    return pack(made).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -104,3 +104,55 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(total)
+
+
+class Slots:
+    """A growing map from 64-bit hashes to slot numbers, looked up by whole arrays. Starts anew beyond `limit` entries."""
+
+    def __init__(self, limit: int = 1_500_000):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.slot = np.zeros(0, np.int64)
+
+    def find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of sorted distinct hashes, and which are there."""
+        if not len(self.keys):
+            return np.zeros(len(u), np.int64), np.zeros(len(u), bool)
+        at = np.minimum(np.searchsorted(self.keys, u), len(self.keys) - 1)
+        return self.slot[at], self.keys[at] == u
+
+    def add(self, u: np.ndarray) -> np.ndarray:
+        """New slots, in order, for sorted distinct hashes that aren't there."""
+        new = np.arange(len(self.keys), len(self.keys) + len(u))
+        at = np.searchsorted(self.keys, u)
+        self.keys, self.slot = np.insert(self.keys, at, u), np.insert(self.slot, at, new)
+        return new
+
+
+class Memo:
+    """Values of words, computed once a process: `compute(list of bytes)` gives an array with a row for each word."""
+
+    def __init__(self, compute, limit: int = 1_500_000):
+        self.compute, self.slots, self.values = compute, Slots(limit), None
+
+    def __call__(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> np.ndarray:
+        u, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.slots.keys) + len(u) > self.slots.limit:
+            self.slots.clear()
+            self.values = None
+        slot, there = self.slots.find(u)
+        if not there.all():
+            new = first[~there]
+            made = self.compute(spans(data, s[new], e[new]))
+            slot[~there] = self.slots.add(u[~there])
+            n = len(self.slots.keys)
+            if self.values is None or len(self.values) < n:
+                grown = np.zeros((max(n, 2 * n if n < 1 << 19 else n + (1 << 18)), *made.shape[1:]), made.dtype)
+                if self.values is not None:
+                    grown[: n - len(new)] = self.values[: n - len(new)]
+                self.values = grown
+            self.values[n - len(new) : n] = made
+        return self.values[slot][back]
