@@ -115,3 +115,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     made = pieces(parquet(spark, sf_dir, "documents").select("doc_id", "text"), default_path())
     return pack(made).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.learn(docs, parquet(spark, sf_dir, "labels").where(~held))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
