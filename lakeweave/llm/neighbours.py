@@ -30,16 +30,19 @@ def range_bucket(df: DataFrame, key: str) -> Column:
     return F.coalesce((cell - 1).cast("long") * fine + part, F.lit(-1).cast("long"))
 
 
-def with_next(df: DataFrame, key: str, payload: list[str], tie: str) -> DataFrame:
+def with_next(df: DataFrame, key: str, payload: list[str], tie: str, derive=lambda rows: rows) -> DataFrame:
     """Add next_<column> for each of `payload`: its value in the following row by (key, tie), the last row taking the first's.
 
-    One shuffle of the table, by range bucket; only the first row of each bucket is looked up from elsewhere."""
+    One shuffle of the table, by range bucket; only the first row of each bucket is looked up from elsewhere. `derive` adds
+    columns to rows before the shuffle. The table of buckets is broadcast: it has at most COARSE * MOST_FINE rows."""
     b = df.withColumn("_bucket", range_bucket(df, key))
     first = b.groupBy("_bucket").agg(F.min(key).alias("_first")).withColumn("_before", F.lag("_bucket").over(W.orderBy("_bucket")))
     first = first.withColumn("_before", F.coalesce("_before", F.max("_bucket").over(W.partitionBy())))
-    heads = b.join(first, (b["_bucket"] == first["_bucket"]) & b[key].eqNullSafe(first["_first"])).select(first["_before"].alias("_bucket"), F.struct(tie, *[c for c in payload if c != tie]).alias("_head"))
+    first = first.withColumnRenamed("_bucket", "_of")
+    heads = derive(b.join(F.broadcast(first), (F.col("_bucket") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_first"))))
+    heads = heads.select(F.col("_before").alias("_bucket"), F.struct(tie, *[c for c in payload if c != tie]).alias("_head"))
     heads = heads.groupBy("_bucket").agg(F.min("_head").alias("_head"))
     order = W.partitionBy("_bucket").orderBy(key, tie)
-    led = b.withColumns({f"next_{c}": F.lead(c).over(order) for c in payload} | {"_inside": F.lead(F.lit(True)).over(order)})
+    led = derive(b).withColumns({f"next_{c}": F.lead(c).over(order) for c in payload} | {"_inside": F.lead(F.lit(True)).over(order)})
     led = led.join(heads, "_bucket", "left")
     return led.withColumns({f"next_{c}": F.when(F.col("_inside"), F.col(f"next_{c}")).otherwise(F.col("_head")[c]) for c in payload}).drop("_bucket", "_inside", "_head")

@@ -49,7 +49,7 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = parquet(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     held = imatch.Lexicon(cut(imatch.lexicon(docs)))
-    rows = with_next(imatch.fingerprint(docs, held), "doc_id", ["text", "fingerprint"], tie="text")
+    rows = with_next(docs, "doc_id", ["text", "fingerprint"], tie="text", derive=lambda rows: imatch.fingerprint(rows, held))
     rows = rows.withColumn("edited", imatch.edited(F.col("text"), F.col("next_text")))
     rows = imatch.fingerprint(rows, held, "edited", "edited_fingerprint")
     return rows.select(
