@@ -125,3 +125,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = toxicity.learn(docs, parquet(spark, sf_dir, "labels").where(~held))
     return toxicity.score(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+#: For the queries alone; users pass a secret of their own.
+DEMO_KEY = "a published key: links values, hides nothing"
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", F.col("text"))
+    return pseudonymise(docs, DEMO_KEY, count_column="n_replaced")
