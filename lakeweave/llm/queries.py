@@ -137,3 +137,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = parquet(spark, sf_dir, "documents").select("doc_id", F.col("text"))
     return pseudonymise(docs, DEMO_KEY, count_column="n_replaced")
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, counts=True).select("doc_id", "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("text_sha256"))
