@@ -145,3 +145,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = parquet(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, counts=True).select("doc_id", "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language.learn(docs.where(~held), language.default_path())
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
