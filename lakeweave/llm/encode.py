@@ -25,18 +25,51 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    def __init__(self, path: str, limit: int = 1_500_000):
+class Pool:
+    """Ids of strings, kept once worked out by `_encode` (of a subclass): up to `limit` strings a process."""
+
+    def __init__(self, limit: int = 1_500_000):
+        self.slots = words.Slots(limit)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.slots.clear()
+        self.pool, self.start, self.size, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def ids_of(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all spans, one after the other, and their numbers of ids."""
+        u, first, back = np.unique(words.Hasher(data)(s, e), return_index=True, return_inverse=True)
+        if len(self.slots.keys) + len(u) > self.slots.limit:
+            self._empty()
+        slot, there = self.slots.find(u)
+        if not there.all():
+            new = first[~there]
+            ids, size = self._encode([x.decode() for x in words.spans(data, s[new], e[new])])
+            slot[~there] = self.slots.add(u[~there])
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used // 2 + 2 * len(ids), np.int32)])
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.used += len(ids)
+        of = slot[back]
+        n = self.size[of] if len(of) else np.zeros(0, np.int64)
+        return self.pool[words.gather(self.start[of], n)] if len(of) else np.zeros(0, np.int32), n
+
+
+class WordEncoder(Pool):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.model = Tokenizer.from_file(path)
         vocab = self.model.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.slots = words.Slots(limit)
-        self.pool, self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used = 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,34 +99,13 @@ class WordEncoder:
         """Ids of all rows of a slice, one after the other, and the rows' offsets in them."""
         data = words.LOWER[data]
         s, e, _ = words.runs(data, at)
-        long = e - s > 1
-        tail = long & _TAIL[data[e - 1]] & _ALNUM[data[np.maximum(e - 2, 0)]]
-        cut = e - tail
-        order = np.arange(len(s)) + np.concatenate([[0], np.cumsum(tail)[:-1]]) if len(s) else np.zeros(0, np.int64)
+        tail = (e - s > 1) & _TAIL[data[e - 1]] & _ALNUM[data[np.maximum(e - 2, 0)]]
+        order = np.arange(len(s)) + np.cumsum(tail) - tail
         ps, pe = np.zeros(len(s) + int(tail.sum()), np.int64), np.zeros(len(s) + int(tail.sum()), np.int64)
-        ps[order], pe[order] = s, cut
-        ps[order[tail] + 1], pe[order[tail] + 1] = cut[tail], e[tail]
-        h = words.Hasher(data)(ps, pe)
-        u, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slots.keys) + len(u) > self.slots.limit:
-            self.slots.clear()
-            self.used, self.pool, self.start, self.size = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        slot, there = self.slots.find(u)
-        if not there.all():
-            new = first[~there]
-            ids, size = self._encode([x.decode() for x in words.spans(data, ps[new], pe[new])])
-            slot[~there] = self.slots.add(u[~there])
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool[: self.used], np.zeros(2 * (self.used // 2 + len(ids)), np.int32)]).astype(np.int32)
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.used += len(ids)
-        of = slot[back]
-        n = self.size[of]
-        ids = self.pool[words.gather(self.start[of], n)].astype(np.uint32) if len(of) else np.zeros(0, np.uint32)
-        before = np.concatenate([[0], np.cumsum(n)])
-        return ids, before[np.searchsorted(ps, at)]
+        ps[order], pe[order] = s, e - tail
+        ps[order[tail] + 1], pe[order[tail] + 1] = e[tail] - 1, e[tail]
+        ids, n = self.ids_of(data, ps, pe)
+        return ids.astype(np.uint32), np.concatenate([[0], np.cumsum(n)])[np.searchsorted(ps, at)]
 
 
 _encoders: dict[str, WordEncoder] = {}

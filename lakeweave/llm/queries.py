@@ -162,3 +162,15 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
     return nearest(parquet(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import pieces
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    docs = pieces.decode(pieces.encode(parquet(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
