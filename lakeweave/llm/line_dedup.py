@@ -29,7 +29,7 @@ from .tables import cut, drop
 
 MIN_CHARS = 20
 #: Tables of documents with at most so many rows and listed lines are broadcast.
-MANY_ROWS, MANY_LINES = 1 << 19, 1 << 22
+MANY_ROWS, MANY_LINES = 1 << 18, 1 << 20
 _U = np.uint64
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[10] = True
