@@ -66,14 +66,14 @@ ENT = """entities AS (
   UNION ALL SELECT 'supplier_' || s_suppkey, 'supplier', ['Name: ' || s_name, 'Nation: ' || s_nationkey], 0, NULL FROM supplier
   UNION ALL SELECT 'customer_' || c_custkey, 'customer', ['Name: ' || c_name, 'Segment: ' || c_mktsegment], 0, NULL FROM customer
   UNION ALL SELECT 'part_' || p_partkey, 'part', ['Name: ' || p_name, 'Brand: ' || p_brand, 'Type: ' || p_type], 0, NULL FROM part
-  UNION ALL SELECT 'order_' || o_orderkey, 'order', ['Status: ' || o_orderstatus, 'Priority: ' || o_orderpriority], epoch_ms(o_orderdate::TIMESTAMP), NULL FROM orders)"""
+  UNION ALL SELECT 'order_' || o_orderkey, 'order', ['Status: ' || o_orderstatus, 'Priority: ' || o_orderpriority], (epoch_us(o_orderdate::TIMESTAMP) // 1000), NULL FROM orders)"""
 REL = """relations AS (
   SELECT 'nation_' || n_nationkey AS src, 'region_' || n_regionkey AS dst, 'IN_REGION' AS relation_type, 1.0::DOUBLE AS strength, 1.0::DOUBLE AS confidence, 0::BIGINT AS valid_from, NULL::BIGINT AS valid_to FROM nation
   UNION ALL SELECT 'supplier_' || s_suppkey, 'nation_' || s_nationkey, 'LOCATED_IN', 0.8, 0.9, 0, NULL FROM supplier
   UNION ALL SELECT 'customer_' || c_custkey, 'nation_' || c_nationkey, 'LOCATED_IN', 0.7, 0.8, 0, NULL FROM customer
-  UNION ALL SELECT 'order_' || o_orderkey, 'customer_' || o_custkey, 'PLACED_BY', 1.0, 1.0, epoch_ms(o_orderdate::TIMESTAMP), NULL FROM orders
-  UNION ALL SELECT 'order_' || l_orderkey, 'part_' || l_partkey, 'CONTAINS', max(1 - l_discount), max(1 - l_tax), min(epoch_ms(l_shipdate::TIMESTAMP)), NULL FROM lineitem GROUP BY l_orderkey, l_partkey
-  UNION ALL SELECT 'part_' || l_partkey, 'supplier_' || l_suppkey, 'SUPPLIED_BY', max(1 - l_discount), max(1 - l_tax), min(epoch_ms(l_shipdate::TIMESTAMP)), NULL FROM lineitem GROUP BY l_partkey, l_suppkey)"""
+  UNION ALL SELECT 'order_' || o_orderkey, 'customer_' || o_custkey, 'PLACED_BY', 1.0, 1.0, (epoch_us(o_orderdate::TIMESTAMP) // 1000), NULL FROM orders
+  UNION ALL SELECT 'order_' || l_orderkey, 'part_' || l_partkey, 'CONTAINS', max(1 - l_discount), max(1 - l_tax), min((epoch_us(l_shipdate::TIMESTAMP) // 1000)), NULL FROM lineitem GROUP BY l_orderkey, l_partkey
+  UNION ALL SELECT 'part_' || l_partkey, 'supplier_' || l_suppkey, 'SUPPLIED_BY', max(1 - l_discount), max(1 - l_tax), min((epoch_us(l_shipdate::TIMESTAMP) // 1000)), NULL FROM lineitem GROUP BY l_partkey, l_suppkey)"""
 #: Nations, regions and suppliers alone: small enough for recursive SQL.
 SMALL = "relation_type = 'IN_REGION' OR starts_with(src, 'supplier_')"
 SMALL_KINDS = ("IN_REGION", "SUPPLIER_IN")
