@@ -144,3 +144,21 @@ def induced(relations: DataFrame, names: DataFrame, mode: str = "induced") -> Da
 
 def density(n: Column, r: Column) -> Column:
     return F.when(n > 1, r / (n * (n - 1))).otherwise(0.0)
+
+
+def components(edges: DataFrame, cut) -> DataFrame:
+    """node, component (its least reachable node) of an edge table (src, dst): hooking to the least neighbour and shortening
+    of paths, in rounds. cut(df) writes a table and reads it back, so that plans don't grow and lost executors don't matter."""
+    e = edges.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    both = cut(e.union(e.select("b", "a")).toDF("u", "v"))
+    label = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")).toDF("node", "component"))
+    while True:
+        near = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("component").alias("m"))
+        own = label.join(near, label["node"] == near["u"]).select("node", F.least("component", "m").alias("component"))
+        own = cut(own)
+        jump = own.alias("x").join(own.alias("y"), F.col("x.component") == F.col("y.node")).select(F.col("x.node"), F.least("x.component", "y.component").alias("component"))
+        after = cut(jump)
+        changed = after.join(label.withColumnRenamed("component", "old"), "node").where("component != old").isEmpty()
+        label = after
+        if changed:
+            return label
