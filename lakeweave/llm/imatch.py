@@ -85,10 +85,10 @@ def fingerprint(docs: DataFrame, held: Lexicon, text: str = "text", into: str =
     if held.shipped:
         return docs.withColumn(into, fingerprint_of(held.kept(F.col(text))))
     row = F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.coalesce(F.md5(text), F.lit(""))
-    keyed = docs.drop(into).withColumns({"_a": row[0], "_b": row[1]})
-    words = keyed.select("_a", "_b", F.explode(terms_of(F.col(text))).alias("term")).join(held.terms, "term").distinct()
-    found = words.groupBy("_a", "_b").agg(F.array_sort(F.collect_set("term")).alias("_t")).select("_a", "_b", fingerprint_of(F.col("_t")).alias(into))
-    return keyed.join(found, ["_a", "_b"], "left").withColumn(into, F.coalesce(into, fingerprint_of(F.array().cast("array<string>")))).drop("_a", "_b")
+    keyed = docs.drop(into).withColumns({"_lw_a": row[0], "_lw_b": row[1]})
+    words = keyed.select("_lw_a", "_lw_b", F.explode(terms_of(F.col(text))).alias("term")).join(held.terms, "term").distinct()
+    found = words.groupBy("_lw_a", "_lw_b").agg(F.array_sort(F.collect_set("term")).alias("_t")).select("_lw_a", "_lw_b", fingerprint_of(F.col("_t")).alias(into))
+    return keyed.join(found, ["_lw_a", "_lw_b"], "left").withColumn(into, F.coalesce(into, fingerprint_of(F.array().cast("array<string>")))).drop("_lw_a", "_lw_b")
 
 
 def edited(text: Column, following: Column) -> Column:

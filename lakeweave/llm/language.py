@@ -168,10 +168,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on a bounded sample of the rows of `docs` with a language. Expected piece counts come from Spark's tasks; what
     reaches the driver is a table of vocabulary x languages."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull())
+    known = docs.select(F.col(id).alias("doc"), F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
     rank = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit(5)), "_id"))
-    ids = known.select(F.col(lang).alias("_lang"), F.col(id).alias("_id")).withColumn("r", rank).where(F.col("r") <= per_language)
-    picked = known.join(F.broadcast(ids.select("_id", "_lang")), (F.col(id) == F.col("_id")) & (F.col(lang) == F.col("_lang"))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    ids = known.select(F.col("lang").alias("_lang"), F.col("doc").alias("_id")).withColumn("r", rank).where(F.col("r") <= per_language)
+    picked = known.join(F.broadcast(ids.select("_id", "_lang")), (F.col("doc") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
     counted = cut(picked.mapInArrow(_counts, "lang string, word binary, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")))
     languages = sorted(r[0] for r in counted.select("lang").distinct().collect())
     if not languages:

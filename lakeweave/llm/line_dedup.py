@@ -176,15 +176,15 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_cha
     repeated = lines.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     marked = marked.join(repeated.withColumn("again", F.lit(True)), "h", "left").where("near or again").select("h", "at", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select("id", "of", "line", "h").join(marked, "h").where(F.col("near") | (F.struct("id", "of", "line") != F.col("at")))
-    by_doc = cut(gone.groupBy("id", "of").agg(F.collect_set("line").alias("_gone"), F.count_if("near").cast("int").alias("_near")).withColumnsRenamed({"id": "_id", "of": "_of"}))
-    d = docs.withColumn("_text_of", F.xxhash64(text))
-    d = d.join(_sent(by_doc, "_gone"), (F.col(id) == F.col("_id")) & (F.col("_text_of") == F.col("_of")), "left")
+    by_doc = cut(gone.groupBy("id", "of").agg(F.collect_set("line").alias("_lw_gone"), F.count_if("near").cast("int").alias("_lw_near")).withColumnsRenamed({"id": "_lw_id", "of": "_lw_of"}))
+    d = docs.withColumn("_lw_text_of", F.xxhash64(text))
+    d = d.join(_sent(by_doc, "_lw_gone"), (F.col(id) == F.col("_lw_id")) & (F.col("_lw_text_of") == F.col("_lw_of")), "left")
     all_lines = F.split(F.col(text), "\n", -1)
-    kept = F.get(F.transform(F.array(all_lines), lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("_gone")), lambda i: F.get(a, i)), "\n")), F.lit(0))
-    d = d.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
+    kept = F.get(F.transform(F.array(all_lines), lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("_lw_gone")), lambda i: F.get(a, i)), "\n")), F.lit(0))
+    d = d.withColumn("_lw_kept", F.when(F.col("_lw_gone").isNull(), F.col(text)).otherwise(kept))
     if counts:
-        n, near_n = F.coalesce(F.size("_gone"), F.lit(0)), F.coalesce("_near", F.lit(0))
+        n, near_n = F.coalesce(F.size("_lw_gone"), F.lit(0)), F.coalesce("_lw_near", F.lit(0))
         d = d.withColumns({"n_lines": F.coalesce(F.size(all_lines), F.lit(0)), "n_equal": n - near_n, "n_near": near_n})
     if drop_emptied:
-        d = d.where(F.col("_gone").isNull() | F.col("_kept").rlike(r"\S"))
-    return d.withColumn(text, F.col("_kept")).drop("_text_of", "_id", "_of", "_gone", "_near", "_kept")
+        d = d.where(F.col("_lw_gone").isNull() | F.col("_lw_kept").rlike(r"\S"))
+    return d.withColumn(text, F.col("_lw_kept")).drop("_lw_text_of", "_lw_id", "_lw_of", "_lw_gone", "_lw_near", "_lw_kept")

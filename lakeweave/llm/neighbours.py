@@ -35,14 +35,14 @@ def with_next(df: DataFrame, key: str, payload: list[str], tie: str, derive=lamb
 
     One shuffle of the table, by range bucket; only the first row of each bucket is looked up from elsewhere. `derive` adds
     columns to rows before the shuffle. The table of buckets is broadcast: it has at most COARSE * MOST_FINE rows."""
-    b = df.withColumn("_bucket", range_bucket(df, key))
-    first = b.groupBy("_bucket").agg(F.min(key).alias("_first")).withColumn("_before", F.lag("_bucket").over(W.orderBy("_bucket")))
-    first = first.withColumn("_before", F.coalesce("_before", F.max("_bucket").over(W.partitionBy())))
-    first = first.withColumnRenamed("_bucket", "_of")
-    heads = derive(b.join(F.broadcast(first), (F.col("_bucket") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_first"))))
-    heads = heads.select(F.col("_before").alias("_bucket"), F.struct(tie, *[c for c in payload if c != tie]).alias("_head"))
-    heads = heads.groupBy("_bucket").agg(F.min("_head").alias("_head"))
-    order = W.partitionBy("_bucket").orderBy(key, tie)
-    led = derive(b).withColumns({f"next_{c}": F.lead(c).over(order) for c in payload} | {"_inside": F.lead(F.lit(True)).over(order)})
-    led = led.join(heads, "_bucket", "left")
-    return led.withColumns({f"next_{c}": F.when(F.col("_inside"), F.col(f"next_{c}")).otherwise(F.col("_head")[c]) for c in payload}).drop("_bucket", "_inside", "_head")
+    b = df.withColumn("_lw_bucket", range_bucket(df, key))
+    first = b.groupBy("_lw_bucket").agg(F.min(key).alias("_lw_first")).withColumn("_lw_before", F.lag("_lw_bucket").over(W.orderBy("_lw_bucket")))
+    first = first.withColumn("_lw_before", F.coalesce("_lw_before", F.max("_lw_bucket").over(W.partitionBy())))
+    first = first.withColumnRenamed("_lw_bucket", "_lw_of")
+    heads = derive(b.join(F.broadcast(first), (F.col("_lw_bucket") == F.col("_lw_of")) & F.col(key).eqNullSafe(F.col("_lw_first"))))
+    heads = heads.select(F.col("_lw_before").alias("_lw_bucket"), F.struct(tie, *[c for c in payload if c != tie]).alias("_lw_head"))
+    heads = heads.groupBy("_lw_bucket").agg(F.min("_lw_head").alias("_lw_head"))
+    order = W.partitionBy("_lw_bucket").orderBy(key, tie)
+    led = derive(b).withColumns({f"next_{c}": F.lead(c).over(order) for c in payload} | {"_lw_inside": F.lead(F.lit(True)).over(order)})
+    led = led.join(heads, "_lw_bucket", "left")
+    return led.withColumns({f"next_{c}": F.when(F.col("_lw_inside"), F.col(f"next_{c}")).otherwise(F.col("_lw_head")[c]) for c in payload}).drop("_lw_bucket", "_lw_inside", "_lw_head")

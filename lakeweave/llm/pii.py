@@ -196,12 +196,12 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count_column: str | None = None) -> DataFrame:
     """`docs` with the personal data of `text` replaced; count_column: how many values were."""
     t = F.col(text)
-    held = docs.withColumn("_new", F.when(t.rlike(r"[0-9@]|(?i:password|passwd|token|secret|api_key)"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
-    held = held.withColumn("_new", F.when(F.size("_new") > 0, F.transform("_new", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))))
+    held = docs.withColumn("_lw_new", F.when(t.rlike(r"[0-9@]|(?i:password|passwd|token|secret|api_key)"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
+    held = held.withColumn("_lw_new", F.when(F.size("_lw_new") > 0, F.transform("_lw_new", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))))
     between = F.split(t, ANY, -1)
-    joined = F.concat(F.array_join(F.transform("_new", lambda x, i: F.concat(F.get(F.col("_parts"), i), x["new"])), ""), F.element_at("_parts", -1))
-    held = held.withColumn("_parts", F.when(F.col("_new").isNotNull(), between))
-    out = held.withColumn(text, F.when(F.col("_new").isNull(), t).otherwise(joined))
+    joined = F.concat(F.array_join(F.transform("_lw_new", lambda x, i: F.concat(F.get(F.col("_lw_parts"), i), x["new"])), ""), F.element_at("_lw_parts", -1))
+    held = held.withColumn("_lw_parts", F.when(F.col("_lw_new").isNotNull(), between))
+    out = held.withColumn(text, F.when(F.col("_lw_new").isNull(), t).otherwise(joined))
     if count_column:
-        out = out.withColumn(count_column, F.coalesce(F.size(F.filter("_new", lambda x: x["old"] != x["new"])), F.lit(0)))
-    return out.drop("_new", "_parts")
+        out = out.withColumn(count_column, F.coalesce(F.size(F.filter("_lw_new", lambda x: x["old"] != x["new"])), F.lit(0)))
+    return out.drop("_lw_new", "_lw_parts")
