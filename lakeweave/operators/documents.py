@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Words of a chunk and of the overlap.
 CHUNK, OVERLAP = 533, 50
+#: Capitalised words between ASCII word boundaries.
+CAPITALISED = r"(?<![A-Za-z0-9_])[A-Z][a-zA-Z]{2,}(?![A-Za-z0-9_])"
 
 
 def word_chunks(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -43,7 +45,7 @@ def chunk_kind(content: Column) -> Column:
 
 def mentions(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int = 50) -> DataFrame:
     """<id>, target, confidence: the first `most` distinct capitalised words of a text (a feature of the extraction)."""
-    w = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-zA-Z]{2,}\b"), F.lit(0))), lambda x: F.length(x) < 50)
+    w = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0))), lambda x: F.length(x) < 50)
     return docs.select(id, F.explode(F.slice(w, 1, most)).alias("word")).select(id, F.concat(F.lit("entity_"), F.lower("word")).alias("target"), F.lit(0.6).alias("confidence"))
 
 
@@ -96,7 +98,7 @@ def labelled_lines(text: Column, label: str, shortest: int = 3) -> Column:
 
 def discoveries(docs: DataFrame, known: DataFrame, id: str = "doc_id", text: str = "text", contexts: int = 3) -> DataFrame:
     """term, n, contexts: capitalised words that no known term (column term, lower case) names, how often, and the first ids."""
-    w = docs.select(id, F.explode(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-zA-Z]{2,}\b"), F.lit(0))).alias("x")).select(id, F.lower("x").alias("term"))
+    w = docs.select(id, F.explode(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0))).alias("x")).select(id, F.lower("x").alias("term"))
     per = w.groupBy("term", id).agg(F.count("*").alias("k")).join(known.select(F.lower("term").alias("term")).distinct(), "term", "left_anti")
     r = F.row_number().over(W.partitionBy("term").orderBy(id))
     return per.withColumn("r", r).groupBy("term").agg(F.sum("k").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= contexts, F.col(id)))).cast("array<string>"), "|").alias("contexts"))

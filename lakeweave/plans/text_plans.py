@@ -294,7 +294,7 @@ def txt2_sentence_chunks(spark, d):
 SELECT DISTINCT doc_id, 'entity_' || lower(w) AS target, 0.6 AS confidence FROM (SELECT doc_id, unnest(ws) AS w FROM m WHERE len(ws) <= 50) WHERE length(w) < 50""")
 def txt5_mentions(spark, d):
     docs = table(spark, d, "documents").where("lang = 'en' and text is not null")
-    few = docs.where(F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-zA-Z]{2,}\b"), F.lit(0)))) <= 50)
+    few = docs.where(F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(D.CAPITALISED), F.lit(0)))) <= 50)
     return D.mentions(few).distinct()
 
 
