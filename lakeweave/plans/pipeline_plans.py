@@ -59,4 +59,4 @@ def srch6_document_graph(spark, d):
 @plan()
 def vec5_similar_pairs(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return PL.similar_pairs(v, 0.6).select("a", "b", F.round("score", 6).alias("score"))
+    return PL.similar_pairs(v, 0.4).select("a", "b", F.round("score", 6).alias("score"))
