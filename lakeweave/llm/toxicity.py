@@ -32,7 +32,7 @@ from .tables import cut, drop
 
 ORDER, D, WINDOW, STRONG, FEATURES = 6, 0.9, 20, 2.5, 6
 #: Ordinary and toxic rows to learn from, at most.
-PER_CLASS = (4000, 1500)
+PER_CLASS = (2500, 1000)
 _U = np.uint64
 #: Bytes that aren't letters: ASCII other than a-z.
 GAP = np.zeros(256, bool)
@@ -41,21 +41,23 @@ GAP[97:123] = False
 MARK = 1
 
 
-def _grams(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order 1..ORDER: hashes of the n-grams that end at each byte of the marked words (contexts are cut at the
-    word's start); hashes of their contexts; and each position's word."""
-    size = np.array([len(t) + 2 for t in texts], np.int64)
-    data = np.frombuffer(b"".join(b"\x01" + t + b"\x01" for t in texts), np.uint8)
-    start = np.repeat(np.cumsum(size) - size, size)
-    at = np.arange(len(data))
-    inner = at > start
-    at, start, word = at[inner], start[inner], np.repeat(np.arange(len(texts)), size)[inner]
-    h = words.Hasher(data)
-    out = []
-    for n in range(1, ORDER + 1):
-        s = np.maximum(at - n + 1, start)
-        out.append((h(s, at + 1), h(s, at)))
-    return out, word, size - 1
+class _Grams:
+    """Hashes of the n-grams that end at each byte of the marked words (contexts are cut at the word's start), an order at a
+    time."""
+
+    def __init__(self, texts: list[bytes]):
+        size = np.array([len(t) + 2 for t in texts], np.int64)
+        data = np.frombuffer(b"".join(b"\x01" + t + b"\x01" for t in texts), np.uint8)
+        start = np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+        at = np.arange(len(data), dtype=np.int32)
+        inner = at > start
+        self.at, self.start, self.word = at[inner], start[inner], np.repeat(np.arange(len(texts), dtype=np.int32), size)[inner]
+        self.size, self.hash = size - 1, words.Hasher(data)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """n-grams and their contexts."""
+        s = np.maximum(self.at - n + 1, self.start)
+        return self.hash(s, self.at + 1), self.hash(s, self.at)
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -67,7 +69,7 @@ def _lookup(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u, back = np.unique(keys, return_inverse=True)
-    return u, np.bincount(back, weights, len(u)) if len(u) else np.zeros(0)
+    return u, np.bincount(back, weights, len(u)).astype(np.float32)
 
 
 @dataclass
@@ -79,29 +81,31 @@ class Model:
     curve: tuple[float, ...] = (0.0,) * (FEATURES + 1)
 
     @staticmethod
-    def fit(classes: list[dict[bytes, int]]) -> Model:
-        """classes: word counts of ordinary and of toxic texts."""
-        vocabulary = sorted(set().union(*classes))
-        grams, word, _ = _grams(vocabulary)
-        count = [np.array([c.get(w, 0) for w in vocabulary], np.float32)[word] for c in classes]
+    def fit(vocabulary: list[bytes], counts: list[np.ndarray]) -> Model:
+        """counts: of each word in ordinary and in toxic texts. Words without any aren't seen."""
+        some = np.flatnonzero(sum(counts) > 0)
+        grams = _Grams([vocabulary[i] for i in some])
 
         def table(gram, context, weight):
             u, first, back = np.unique(gram, return_index=True, return_inverse=True)
-            n = np.bincount(back, weight, len(u))
+            n = np.bincount(back, weight, len(u)).astype(np.float32)
             u, n, c = u[n > 0], n[n > 0], context[first][n > 0]
             return (u, n), _sums(c, n), _sums(c, np.ones(len(c)))
 
-        top = [table(*grams[ORDER - 1], c) for c in count]
+        gram, context = grams(ORDER)
+        top = [table(gram, context, c[some][grams.word]) for c in counts]
         lower = []
-        for n in range(ORDER - 1):
+        for n in range(ORDER - 1, 0, -1):
             # An n-gram's continuation count: different n-grams one longer that end in it.
-            u, first = np.unique(grams[n + 1][0], return_index=True)
-            lower.append(table(grams[n][0][first], grams[n][1][first], np.ones(len(u))))
+            first = np.unique(gram, return_index=True)[1]
+            gram, context = grams(n)
+            lower.insert(0, table(gram[first], context[first], np.ones(len(first))))
         return Model(lower, top)
 
     def ratios(self, texts: list[bytes]) -> np.ndarray:
         """For each word: log-likelihood if toxic less that if ordinary, and its bytes."""
-        grams, word, size = _grams(texts)
+        grams = _Grams(texts)
+        word = grams.word
 
         def step(t, gram, context, below):
             total = _lookup(*t[1], context)
@@ -110,10 +114,11 @@ class Model:
             return share + rest * below
 
         p = np.full(len(word), 1 / 256)
-        for t, (gram, context) in zip(self.lower, grams, strict=False):
-            p = step(t, gram, context, p)
-        ordinary, toxic = (np.log(step(t, *grams[-1], p)) for t in self.top)
-        return np.column_stack([np.bincount(word, toxic - ordinary, len(texts)), size]).astype(np.float32)
+        for n, t in enumerate(self.lower, 1):
+            p = step(t, *grams(n), p)
+        last = grams(ORDER)
+        ordinary, toxic = (np.log(step(t, *last, p)) for t in self.top)
+        return np.column_stack([np.bincount(word, toxic - ordinary, len(texts)), grams.size]).astype(np.float32)
 
     def features(self, memo: words.Memo, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         data = words.LOWER[data]
@@ -173,21 +178,24 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """Fit on the texts of a bounded sample of `labels` (id, label 0 or 1). The counts of one half of the sample and the
     features of the other give the curve, so that it sees words as new texts have them; the final counts are those of both."""
     picked = [labels.where((F.col(label) == value) & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.lit(value).alias("label"), F.pmod(F.xxhash64(F.col(id), F.lit(8)), F.lit(2)).cast("int").alias("half")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(per_class[value]) for value in (0, 1)]
-    sample = docs.join(F.broadcast(picked[0].union(picked[1])), F.col(id) == F.col("_id")).select("label", "half", text)
+    texts = docs.select(F.col(id).alias("_doc"), F.col(text).alias("text"))
+    sample = texts.join(F.broadcast(picked[0].union(picked[1])), F.col("_doc") == F.col("_id")).select("label", "half", "text")
     sample = cut(sample)
     found = sample.mapInArrow(_counts, "label int, half int, word binary, n long").groupBy("label", "half", "word").agg(F.sum("n").alias("n")).toArrow()
-    table = {(y, k): {} for y in (0, 1) for k in (0, 1)}
-    for y, k, w, n in zip(*(found.column(c).to_pylist() for c in ("label", "half", "word", "n")), strict=True):
-        table[y, k][w] = n
-    both = [{w: table[y, 0].get(w, 0) + table[y, 1].get(w, 0) for w in table[y, 0].keys() | table[y, 1].keys()} for y in (0, 1)]
-    if not all(both):
+    coded = found.column("word").combine_chunks().dictionary_encode()
+    vocabulary, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    count = np.zeros((2, 2, len(vocabulary)), np.float32)
+    count[found.column("label").to_numpy(), found.column("half").to_numpy(), at] = found.column("n").to_numpy()
+    del found, coded
+    if not count.sum(axis=(1, 2)).all():
+        drop(sample)
         return None
-    model = Model.fit(both)
-    if all(table.values()):
+    model = Model.fit(vocabulary, list(count.sum(axis=1)))
+    if count.sum(axis=2).all():
         x, y = [], []
         for k in (0, 1):
-            half = Model.fit([table[v, k] for v in (0, 1)])
-            seen = _apply(sample.where(F.col("half") == 1 - k), half, text, ["label"], lambda m, f: [pa.array(c) for c in np.ascontiguousarray(f.T)], ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow()
+            half = Model.fit(vocabulary, [count[v, k] for v in (0, 1)])
+            seen = _apply(sample.where(F.col("half") == 1 - k), half, "text", ["label"], lambda m, f: [pa.array(c) for c in np.ascontiguousarray(f.T)], ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow()
             x.append(np.column_stack([seen.column(f"f{i}") for i in range(FEATURES)]))
             y.append(np.asarray(seen.column("label")))
         model.curve = _logistic(np.concatenate(x), np.concatenate(y))
