@@ -28,7 +28,7 @@ def default_path() -> str:
 class Pool:
     """Ids of strings, kept once worked out by `_encode` (of a subclass): up to `limit` strings a process."""
 
-    def __init__(self, limit: int = 1_500_000):
+    def __init__(self, limit: int = 600_000):
         self.slots = words.Slots(limit)
         self._empty()
 

@@ -225,7 +225,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _loaded:
             _loaded.clear()
-            _loaded[name] = sent.value, words.Memo(sent.value.words, 600_000)
+            _loaded[name] = sent.value, words.Memo(sent.value.words)
         m, memo = _loaded[name]
         for batch in batches:
             for i, data, at in words.slices(batch.column(place)):

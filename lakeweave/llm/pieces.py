@@ -120,7 +120,7 @@ class PieceEncoder(Pool):
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true" if threads > 1 else "false"
         import sentencepiece
 
-        super().__init__(1_000_000)
+        super().__init__(600_000)
         self.model = Model.parse(raw)
         self.tokenizer = self.model.tokenizer()
         self.check = sentencepiece.SentencePieceProcessor(model_proto=raw)

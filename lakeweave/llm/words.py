@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 _BASE, _BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _OF_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -135,7 +135,7 @@ class Slots:
 class Memo:
     """Values of words, computed once a process: `compute(list of bytes)` gives an array with a row for each word."""
 
-    def __init__(self, compute, limit: int = 1_500_000):
+    def __init__(self, compute, limit: int = 400_000):
         self.compute, self.slots, self.values = compute, Slots(limit), None
 
     def __call__(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> np.ndarray:
