@@ -7,7 +7,8 @@ BPE model whose merges are all splits of pieces in order of score, and byte fall
 
 Texts are cut before blanks into chunks, which is safe where no piece holds a mark after anything but marks (checked when a
 model is loaded; else whole texts are the chunks). Chunks are encoded in batches, on several threads, once a process.
-Parity: every new chunk is also encoded by the sentencepiece library; where the two differ, its ids are taken and counted.
+The ids are the tokenizers library's. Parity: every new chunk is also encoded by the sentencepiece library, for comparison
+alone; `differing` adds to each row how many of its chunks the two encode differently.
 
 Null texts give null ids, empty texts empty ids. Unknown ids in decoding are an error; null ids give null texts.
 """
@@ -125,6 +126,7 @@ class PieceEncoder(Pool):
         self.tokenizer = self.model.tokenizer()
         self.check = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.threads, self.checked, self.differed = threads, 0, 0
+        self.wrong = np.zeros(0, np.uint64)  # hashes of chunks on which the libraries differ
 
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found: list[list[int]] = []
@@ -133,13 +135,16 @@ class PieceEncoder(Pool):
             ours = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             theirs = self.check.encode(some, num_threads=self.threads)
             self.checked += len(some)
-            self.differed += sum(x != y for x, y in zip(ours, theirs, strict=True))
-            found += theirs
+            wrong = [p for p, x, y in zip(some, ours, theirs, strict=True) if x != y]
+            self.differed += len(wrong)
+            for _, data, at in words.slices(pa.array(wrong, pa.string())):
+                self.wrong = np.union1d(self.wrong, words.Hasher(data)(at[:-1], at[1:]))
+            found += ours
         size = np.array([len(x) for x in found], np.int64)
         return np.array([i for x in found for i in x], np.int32), size
 
-    def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows of a slice, one after the other, and the rows' offsets in them."""
+    def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all rows of a slice, one after the other, the rows' offsets in them, and their differing chunks."""
         row_start = np.zeros(len(data) + 1, bool)
         row_start[at[:-1][np.diff(at) > 0]] = True
         if self.model.cuts:
@@ -151,8 +156,11 @@ class PieceEncoder(Pool):
             start = row_start[:-1]
         s = np.flatnonzero(start)
         e = np.append(s[1:], len(data))
-        ids, n = self.ids_of(data, s + (~row_start[s] if len(s) else 0), e)
-        return ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(s, at)]
+        a = s + (~row_start[s] if len(s) else 0)
+        ids, n = self.ids_of(data, a, e)
+        first = np.searchsorted(s, at)
+        wrong = np.isin(words.Hasher(data)(a, e), self.wrong) if len(self.wrong) else np.zeros(len(s), bool)
+        return ids, np.concatenate([[0], np.cumsum(n)])[first], np.diff(np.concatenate([[0], np.cumsum(wrong)])[first])
 
 
 _encoders: dict[int, PieceEncoder] = {}
@@ -169,9 +177,10 @@ def _schema(df: DataFrame, more: str) -> str:
     return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], more])
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", into: str = "ids", threads: int | None = None) -> DataFrame:
-    """`docs` with a column of ids. model: the model file's bytes. threads: of each task; spark.task.cpus by default."""
-    docs = docs.drop(into)
+def encode(docs: DataFrame, model: bytes, text: str = "text", into: str = "ids", threads: int | None = None, differing: str | None = None) -> DataFrame:
+    """`docs` with a column of ids. model: the model file's bytes. threads: of each task; spark.task.cpus by default.
+    differing: a column with each row's number of chunks that the sentencepiece library encodes differently."""
+    docs = docs.drop(into, *([differing] if differing else []))
     threads = threads or int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
@@ -181,12 +190,13 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", into: str = "ids",
         for batch in batches:
             for i, data, at in words.slices(batch.column(place)):
                 n = len(at) - 1
-                ids, off = use(data, at)
+                ids, off, wrong = use(data, at)
                 null = batch.column(place).slice(i, n).is_null()
                 made = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids), mask=null) if null.true_count else pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
-                yield pa.record_batch([*[c.slice(i, n) for c in batch.columns], made], [*batch.schema.names, into])
+                more, names = ([pa.array(wrong)], [differing]) if differing else ([], [])
+                yield pa.record_batch([*[c.slice(i, n) for c in batch.columns], made, *more], [*batch.schema.names, into, *names])
 
-    return docs.mapInArrow(run, _schema(docs, f"`{into}` array<int>"))
+    return docs.mapInArrow(run, _schema(docs, f"`{into}` array<int>" + (f", `{differing}` long" if differing else "")))
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", into: str = "decoded") -> DataFrame:

@@ -87,6 +87,23 @@ def test_pieces_parity_and_round_trip(spark, docs, empty):
     assert pieces.encode(empty, raw).count() == 0
 
 
+def test_piece_ids_are_the_tokenizers_library_s():
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        use = pieces.PieceEncoder(f.read())
+
+    class Other:
+        def encode(self, parts, num_threads):
+            return [[7] if "stone" in p else [x for x in use.tokenizer.encode(p, add_special_tokens=False).ids] for p in parts]
+
+    use.check = Other()
+    rows = ["the stone river stone", "stone", None, "", "green light"]
+    for _ in range(2):  # the second time from the pool
+        for _, data, at in words.slices(pa.array(rows)):
+            ids, off, wrong = use(data, at)
+            assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [use.tokenizer.encode(r or "", add_special_tokens=False).ids for r in rows]
+            assert wrong.tolist() == [2, 1, 0, 0, 0]
+
+
 def test_unigram_model_is_rebuilt():
     m = pieces.Model(pieces=[("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -1.5, 1)], kind=pieces.UNIGRAM)
     assert m.tokenizer().encode("a b").tokens == ["▁a", "▁", "b"]
