@@ -1,6 +1,7 @@
 """Pseudonyms for personal data in texts, by format-preserving Feistel networks. DataFrame functions only.
 
-Kinds: payment card numbers (13 to 19 digits, in one run or in groups of a blank or hyphen, Luhn-checked), phone numbers
+Kinds: payment card numbers (13 to 19 digits, in one run or in groups of a blank or hyphen, Luhn-checked; any run of whole
+groups within a longer chain of groups, cards' usual layouts first), phone numbers
 (North American, with 10 digits), US social security numbers, IPv4 addresses, calendar dates (YYYY-MM-DD and DD/MM/YYYY,
 1900-01-01 to 2100-01-01), e-mail addresses, and secrets (access keys of the form AKIA + 16, and values of password=,
 token =, secret=, api_key= assignments of 8 characters or more).
@@ -27,8 +28,11 @@ DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/-])"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 PHONE = r"(?<![\d(])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
+#: A chain of digit groups up to where another kind starts, of 13 digits or more.
+CARD = rf"(?<![\d.-])(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{EMAIL}|{DATE}|{IP}|{PHONE}|{SSN})\d++)*+"
 ANY = "|".join((EMAIL, SECRET, DATE, IP, PHONE, SSN, CARD))
+#: Layouts of cards: one run, 4-4-4-n, 4-4-4-4-n, 4-6-4 and 4-6-5.
+LAYOUT = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1(?:\d{1,7}|\d{4}\1\d{1,3})|\d{4}([ -])\d{6}\2\d{4,5})$"
 
 
 def _round(key: str, kind: str, i: Column, x: Column, modulus: int) -> Column:
@@ -97,6 +101,56 @@ def _card(m: Column, key: str) -> Column:
     return _let(_digits(m), of)
 
 
+def _groups(groups: Column, a: Column, b: Column) -> Column:
+    """Groups a to b, counted from 0, with the separators between them."""
+    return F.regexp_replace(F.array_join(F.slice(groups, a + 1, b - a + 1), ""), "[ -]$", "")
+
+
+def _cards(m: Column, key: str) -> Column:
+    """struct(new, n): a chain with its n cards replaced. From the left, a group starts a card if groups from there make a
+    number that passes in a card's layout, or, where none in a layout overlaps, any number that passes (the longest)."""
+
+    def of(groups: Column) -> Column:
+        none, last = F.lit(-1), F.size(groups) - 1
+
+        def ends(i: Column) -> Column:
+            """struct(laid, other): last groups of the numbers that start at group i, -1 for none."""
+
+            def tested(e: Column) -> Column:
+                return _let(_groups(groups, i, e), lambda run: _let(_digits(run), lambda d: F.struct(e.alias("e"), run.rlike(LAYOUT).alias("laid"), (F.length(d).between(13, 19) & (_luhn_sum(d, False) % 10 == 0)).alias("good"))))
+
+            def pick(x: Column) -> Column:
+                laid, other = F.filter(x, lambda t: t["good"] & t["laid"]), F.filter(x, lambda t: t["good"])
+                return F.struct(F.coalesce(F.array_min(F.transform(laid, lambda t: t["e"])), none).alias("laid"), F.coalesce(F.array_max(F.transform(other, lambda t: t["e"])), none).alias("other"))
+
+            return _let(F.transform(F.sequence(i, F.least(i + 18, last)), tested), pick)
+
+        def chosen(found: Column) -> Column:
+            start = F.struct(F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("runs"), F.lit(0).alias("free"))
+
+            def step(s: Column, i: Column) -> Column:
+                x = F.get(found, i)
+                overlaps = F.exists(F.slice(found, i + 2, F.greatest(x["other"] - i, F.lit(0))), lambda y: y["laid"] >= 0)
+                b = F.when(i < s["free"], none).when(x["laid"] >= 0, x["laid"]).when((x["other"] >= 0) & ~overlaps, x["other"]).otherwise(none)
+                return _let(b, lambda e: F.when(e >= 0, F.struct(F.concat(s["runs"], F.array(F.struct(i.alias("a"), e.alias("b")))).alias("runs"), (e + 1).alias("free"))).otherwise(s))
+
+            return F.aggregate(F.sequence(F.lit(0), last), start, step)["runs"]
+
+        def joined(runs: Column) -> Column:
+            def part(r: Column, k: Column) -> Column:
+                before = F.when(k > 0, F.get(runs, k - 1)["b"] + 1).otherwise(0)
+                gap = F.array_join(F.slice(groups, before + 1, r["a"] - before), "")
+                return F.concat(gap, _card(_groups(groups, r["a"], r["b"]), key), F.regexp_extract(F.get(groups, r["b"]), "[ -]?$", 0))
+
+            done = F.when(F.size(runs) > 0, F.get(runs, F.size(runs) - 1)["b"] + 1).otherwise(0)
+            tail = F.array_join(F.slice(groups, done + 1, F.size(groups) - done), "")
+            return F.struct(F.concat(F.array_join(F.transform(runs, part), ""), tail).alias("new"), F.size(runs).alias("n"))
+
+        return _let(_let(F.transform(F.sequence(F.lit(0), last), ends), chosen), joined)
+
+    return _let(F.regexp_extract_all(m, F.lit(r"\d+[ -]?"), F.lit(0)), of)
+
+
 def _card_digits(left: int, right: int):
     def join(s: Column) -> Column:
         return _let(F.concat(_pad(s["l"], left), _pad(s["r"], right)), lambda d: F.concat(d, F.pmod(-_luhn_sum(d, True), F.lit(10)).cast("string")))
@@ -180,28 +234,28 @@ def _secret(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """What stands in for one match of ANY."""
+    """struct(new, n): what stands in for one match of ANY, and how many values were replaced in it."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    return (
+    other = (
         F.when(whole(EMAIL), _email(m, key))
         .when(whole(SECRET), _secret(m, key))
         .when(whole(DATE), F.coalesce(_date(m, key), m))
         .when(whole(IP), _ip(m, key))
         .when(whole(PHONE), _phone(m, key))
         .when(whole(SSN), _ssn(m, key))
-        .otherwise(_card(m, key))
     )
+    return _let(other, lambda x: F.when(x.isNotNull(), F.struct(x.alias("new"), (x != m).cast("int").alias("n"))).otherwise(_cards(m, key)))
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count_column: str | None = None) -> DataFrame:
     """`docs` with the personal data of `text` replaced; count_column: how many values were."""
     t = F.col(text)
     held = docs.withColumn("_lw_new", F.when(t.rlike(r"[0-9@]|(?i:password|passwd|token|secret|api_key)"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
-    held = held.withColumn("_lw_new", F.when(F.size("_lw_new") > 0, F.transform("_lw_new", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))))
+    held = held.withColumn("_lw_new", F.when(F.size("_lw_new") > 0, F.transform("_lw_new", lambda m: pseudonym(m, key))))
     between = F.split(t, ANY, -1)
     joined = F.concat(F.array_join(F.transform("_lw_new", lambda x, i: F.concat(F.get(F.col("_lw_parts"), i), x["new"])), ""), F.element_at("_lw_parts", -1))
     held = held.withColumn("_lw_parts", F.when(F.col("_lw_new").isNotNull(), between))
     out = held.withColumn(text, F.when(F.col("_lw_new").isNull(), t).otherwise(joined))
     if count_column:
-        out = out.withColumn(count_column, F.coalesce(F.size(F.filter("_lw_new", lambda x: x["old"] != x["new"])), F.lit(0)))
+        out = out.withColumn(count_column, F.coalesce(F.aggregate("_lw_new", F.lit(0), lambda n, x: n + x["n"]), F.lit(0)))
     return out.drop("_lw_new", "_lw_parts")

@@ -241,6 +241,21 @@ def test_pii(spark, docs, empty):
     assert pii.pseudonymise(docs, "k").count() == docs.count() and pii.pseudonymise(empty, "k").count() == 0
 
 
+def test_cards_next_to_other_digits(spark):
+    card = "4111111111111111"
+    spaced, dashed = "4111 1111 1111 1111", "4111-1111-1111-1111"
+    rows = [f"{spaced} 123", f"{card} 12/25", f"{dashed} 2 items", f"no 5 {spaced}", f"2024 {spaced}", f"{card} {spaced}", f"7 {card} 123-45-6789", f"{spaced} 2 988 555-2485", f"{card} 1999-02-28", "1234 4111111111111112", "7 " * 4000 + card]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = [(r.text, r.n) for r in pii.pseudonymise(df, "k", count_column="n").orderBy("doc_id").collect()]
+    new = got[1][0].split()[0]
+    assert luhn(new) and new != card
+    as_spaced = " ".join(new[i : i + 4] for i in range(0, 16, 4))
+    assert [t for t, _ in got[:6]] == [f"{as_spaced} 123", f"{new} 12/25", as_spaced.replace(" ", "-") + " 2 items", f"no 5 {as_spaced}", f"2024 {as_spaced}", f"{new} {as_spaced}"]
+    assert [n for _, n in got[:10]] == [1, 1, 1, 1, 1, 2, 2, 2, 2, 0]
+    assert got[6][0].startswith(f"7 {new} ") and "123-45-6789" not in got[6][0] and got[7][0].startswith(f"{as_spaced} 2 ") and "555-2485" not in got[7][0]
+    assert got[8][0].startswith(f"{new} ") and "1999-02-28" not in got[8][0] and got[9][0] == rows[9] and got[10][0].endswith(new)
+
+
 # 7 toxicity
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(5)
