@@ -29,7 +29,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that an earlier document has; documents all of whose text that was go too."""
-    out = line_dedup.dedup_lines(docs, drop_emptied=True)
+    out = line_dedup.dedup_lines(docs, drop_emptied=True, equal_chars=1)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -1,8 +1,8 @@
 """Line deduplication over a corpus by a deletion-neighbourhood join, for an edit bound of one character.
 
-A line (between newlines) of MIN_CHARS characters or more goes if an earlier line of the corpus, by (id, line number), is
-equal to it or one insertion, deletion or substitution of a character away; shorter lines stay. Lines are compared with all
-earlier ones, kept or not. A document all of whose text goes is left out with `drop_emptied`; else it stays, empty.
+A line (between newlines) goes if an earlier line of the corpus, by (id, line number), is equal to it or one insertion,
+deletion or substitution of a character away. Equal lines count from `equal_chars` characters on, lines one edit apart if
+both have `min_chars`; shorter lines stay. Lines are compared with all earlier ones, kept or not. A document all of whose text goes is left out with `drop_emptied`; else it stays, empty.
 
 Equal lines are one class from the start. Two lines one edit apart share their first or their last half, so only classes
 that share a hashed half with another one give their neighbourhood: the line itself and its variants with one character
@@ -49,13 +49,13 @@ def _lines(data: np.ndarray, at: np.ndarray, min_chars: int):
     return row, breaks[s] - breaks[at[row]], s, e, chars[s], n, np.append(np.flatnonzero(head), len(data))
 
 
-def _line_batches(min_chars: int):
-    """From id, of, text: a row for each line, with its hash and the four hashed halves it may share."""
+def _line_batches(min_chars: int, equal_chars: int):
+    """From id, of, text: a row for each line, with its hash and the four hashed halves it may share (none below min_chars)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, data, at in words.slices(batch.column(2)):
-                row, number, s, e, c, n, byte = _lines(data, at, min_chars)
+                row, number, s, e, c, n, byte = _lines(data, at, min(min_chars, equal_chars))
                 if not len(s):
                     continue
                 h = words.Hasher(data)
@@ -66,8 +66,10 @@ def _line_batches(min_chars: int):
                     keys[:, 2 * j] = words.mix(h.raw(s, byte[c + half]) + tag) ^ _PREFIX
                     keys[:, 2 * j + 1] = words.mix(h.raw(byte[c + n - (role - half)], e) + tag) ^ _SUFFIX
                 pick = pa.array(row + i)
+                long = n >= min_chars
+                ends = np.concatenate([[0], np.cumsum(4 * long)]).astype(np.int32)
                 yield pa.record_batch(
-                    [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(number.astype(np.int32)), pa.array(h(s, e).astype(np.int64)), pa.ListArray.from_arrays(np.arange(len(s) + 1, dtype=np.int32) * 4, keys.astype(np.int64).reshape(-1))],
+                    [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(number.astype(np.int32)), pa.array(h(s, e).astype(np.int64)), pa.ListArray.from_arrays(ends, keys[long].astype(np.int64).reshape(-1))],
                     ["id", "of", "line", "h", "halves"],
                 )
 
@@ -167,10 +169,12 @@ def near_lines(docs: DataFrame, lines: DataFrame, text: str) -> tuple[DataFrame,
     return classes, out
 
 
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, drop_emptied: bool = False, counts: bool = False) -> DataFrame:
-    """`docs` without repeated lines. counts: add n_lines, n_equal and n_near, the lines there and those that went."""
+def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, drop_emptied: bool = False, counts: bool = False, equal_chars: int | None = None) -> DataFrame:
+    """`docs` without repeated lines. min_chars: least length of lines one edit apart; equal_chars: of equal lines, min_chars
+    by default, 1 for all but empty ones. counts: add n_lines, n_equal and n_near, the lines there and those that went."""
+    equal_chars = min_chars if equal_chars is None else min(equal_chars, min_chars)
     source = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("of"), F.col(text).alias("text")).where("id is not null and text is not null")
-    lines = cut(source.mapInArrow(_line_batches(min_chars), "id long, of long, line int, h long, halves array<long>"))
+    lines = cut(source.mapInArrow(_line_batches(min_chars, equal_chars), "id long, of long, line int, h long, halves array<long>"))
     classes, near = near_lines(source, lines, "text")
     marked = classes.select("h", "at").join(near.withColumn("near", F.lit(True)), "h", "left")
     repeated = lines.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")

@@ -144,7 +144,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
     docs = parquet(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, counts=True).select("doc_id", "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("text_sha256"))
+    return dedup_lines(docs, counts=True, equal_chars=1).select("doc_id", "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query

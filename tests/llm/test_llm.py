@@ -72,6 +72,19 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(docs).count() == docs.count()
 
 
+def test_short_equal_lines_go(spark, tmp_path):
+    from lakeweave.llm import queries
+
+    long = "a line that is long enough to count"
+    rows = [(1, f"Read more\n{long}\n\nx"), (2, "Read more\nRead morf\n\nx"), (3, f"{long}!\nShare\nShare"), (4, "Read more"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df, counts=True, equal_chars=1).collect()}
+    assert [got[i].text for i in range(1, 6)] == [f"Read more\n{long}\n\nx", "Read morf\n", "Share", "", None]
+    assert [(got[i].n_equal, got[i].n_near) for i in range(1, 6)] == [(0, 0), (2, 0), (1, 1), (1, 0), (0, 0)]
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_equal for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 2, 3: 1, 4: 1, 5: 0}
+
+
 # 2 pieces
 def test_pieces_parity_and_round_trip(spark, docs, empty):
     import sentencepiece
