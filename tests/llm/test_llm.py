@@ -200,6 +200,18 @@ def test_sketches_fill_every_bin():
     assert (sk != ~np.uint64(0)).all() and 0.75 < (sk[1] == sk[2]).mean() <= 1
 
 
+def test_pairs_are_proposed_in_the_first_band_of_equal_keys():
+    # band 0 agrees in the sketches' 16 bits alone, so the pair is only in the bucket of band 1
+    n, k = np.array([100, 100]), near_dup.band_keys(np.array([[1, 2, 3, 4], [9, 2, 3, 4]], np.uint64), 2, 2)
+    assert (k[0] == k[1]).tolist() == [False, True]
+
+    def proposed(b):
+        g = pa.record_batch([pa.array([int(k[0, b])] * 2), pa.array([b] * 2), pa.array([1, 2]), pa.array(n), pa.array([np.zeros(4, np.uint16).tobytes()] * 2), pa.array(k.tolist(), pa.list_(pa.int64()))], ["key", "band", "id", "n", "sketch", "keys"])
+        return [r for x in near_dup._propose_batches(2, 85)(iter([g])) for r in x.to_pylist()]
+
+    assert proposed(1) == [{"a": 1, "b": 2}]
+
+
 # 5 language
 def test_language(spark, empty):
     french = "le la les des une dans pour que qui avec sur pas au être nous vous maison rivière lumière jardin fenêtre".split()
