@@ -26,38 +26,40 @@ def default_path() -> str:
 
 
 class Pool:
-    """Ids of strings, kept once worked out by `_encode` (of a subclass): up to `limit` strings a process."""
+    """Values of byte strings (ids of words, texts of ids), kept once worked out by `_made` (of a subclass): up to `limit`
+    strings a process."""
 
-    def __init__(self, limit: int = 600_000):
-        self.slots = words.Slots(limit)
+    def __init__(self, limit: int = 600_000, dtype: type = np.int32):
+        self.slots, self.dtype = words.Slots(limit), dtype
         self._empty()
 
     def _empty(self) -> None:
         self.slots.clear()
-        self.pool, self.start, self.size, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.pool, self.start, self.size, self.used = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _made(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all parts, one after the other, and their numbers of values."""
         raise NotImplementedError
 
-    def ids_of(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all spans, one after the other, and their numbers of ids."""
+    def values_of(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all spans, one after the other, and their numbers of values."""
         u, first, back = np.unique(words.Hasher(data)(s, e), return_index=True, return_inverse=True)
         if len(self.slots.keys) + len(u) > self.slots.limit:
             self._empty()
         slot, there = self.slots.find(u)
         if not there.all():
             new = first[~there]
-            ids, size = self._encode([x.decode() for x in words.spans(data, s[new], e[new])])
+            ids, size = self._made(words.spans(data, s[new], e[new]))
             slot[~there] = self.slots.add(u[~there])
             if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used // 2 + 2 * len(ids), np.int32)])
+                self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used // 2 + 2 * len(ids), self.dtype)])
             self.pool[self.used : self.used + len(ids)] = ids
             self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.used += len(ids)
         of = slot[back]
         n = self.size[of] if len(of) else np.zeros(0, np.int64)
-        return self.pool[words.gather(self.start[of], n)] if len(of) else np.zeros(0, np.int32), n
+        return self.pool[words.gather(self.start[of], n)] if len(of) else np.zeros(0, self.dtype), n
 
 
 class WordEncoder(Pool):
@@ -74,9 +76,9 @@ class WordEncoder(Pool):
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all parts, one after the other, and their numbers of ids. Parts of letters alone go together as one text:
-        each is one word there, and its last id is a word end."""
+    def _made(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of letters alone go together as one text: each is one word there, and its last id is a word end."""
+        parts = [p.decode() for p in parts]
         size = np.zeros(len(parts), np.int64)
         plain = [i for i, p in enumerate(parts) if p.isalpha()]
         found: dict[int, np.ndarray] = {}
@@ -104,7 +106,7 @@ class WordEncoder(Pool):
         ps, pe = np.zeros(len(s) + int(tail.sum()), np.int64), np.zeros(len(s) + int(tail.sum()), np.int64)
         ps[order], pe[order] = s, e - tail
         ps[order[tail] + 1], pe[order[tail] + 1] = e[tail] - 1, e[tail]
-        ids, n = self.ids_of(data, ps, pe)
+        ids, n = self.values_of(data, ps, pe)
         return ids.astype(np.uint32), np.concatenate([[0], np.cumsum(n)])[np.searchsorted(ps, at)]
 
 

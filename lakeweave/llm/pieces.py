@@ -6,11 +6,15 @@ normaliser (character map, squeezed blanks, the blank's mark, a mark in front),
 BPE model whose merges are all splits of pieces in order of score, and byte fallback in the model and the decoder.
 
 Texts are cut before blanks into chunks, which is safe where no piece holds a mark after anything but marks (checked when a
-model is loaded; else whole texts are the chunks). Chunks are encoded in batches, on several threads, once a process.
+model is loaded; else whole texts are the chunks). Chunks are encoded in batches, on several threads, once a process; chunks without
+further blanks go together as one text, and their ids part where a piece begins with the mark. Ids are decoded in the same
+way: runs of ids that begin with a marked piece are decoded once a process.
 The ids are the tokenizers library's. Parity: every new chunk is also encoded by the sentencepiece library, for comparison
 alone; `differing` adds to each row how many of its chunks the two encode differently.
 
-Null texts give null ids, empty texts empty ids. Unknown ids in decoding are an error; null ids give null texts.
+Null texts give null ids, empty texts empty ids, empty tables empty tables; repeated rows get equal ids, and very long texts
+are encoded whole. Unknown ids in decoding are an error; null ids give null texts. Other columns stay, those named as the
+results (`into`, `differing`) are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import words
@@ -31,6 +36,8 @@ MARK = "▁"
 #: Values of the model file's format: piece types, model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Chunks encoded as one text; threads of a task at least; ids decoded at once.
+TOGETHER, THREADS, SLICE_IDS = 200, 2, 1 << 19
 
 
 def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -116,6 +123,19 @@ class Model:
         return self.dummy_prefix and not self.squeeze and not self.charsmap and not any(MARK in p.lstrip(MARK) for p, _, k in self.pieces if k in (NORMAL, USER))
 
 
+    @property
+    def begins(self) -> np.ndarray:
+        """Of each id, whether its piece begins with the mark."""
+        return np.array([k in (NORMAL, USER) and p.startswith(MARK) for p, _, k in self.pieces])
+
+
+def in_order(flat: np.ndarray, of: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """`flat` holds the values of parts of[0], of[1] and so on, size[part] of each; the same in order of the parts."""
+    start = np.zeros(len(size), np.int64)
+    start[of] = np.cumsum(size[of]) - size[of]
+    return flat[words.gather(start, size)]
+
+
 class PieceEncoder(Pool):
     def __init__(self, raw: bytes, threads: int = 1):
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true" if threads > 1 else "false"
@@ -124,30 +144,49 @@ class PieceEncoder(Pool):
         super().__init__(600_000)
         self.model = Model.parse(raw)
         self.tokenizer = self.model.tokenizer()
+        self.begins, self.cuts = self.model.begins, self.model.cuts
         self.check = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.threads, self.checked, self.differed = threads, 0, 0
         self.wrong = np.zeros(0, np.uint64)  # hashes of chunks on which the libraries differ
 
-    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found: list[list[int]] = []
-        for a in range(0, len(parts), 5000):
-            some = parts[a : a + 5000]
-            ours = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            theirs = self.check.encode(some, num_threads=self.threads)
-            self.checked += len(some)
-            wrong = [p for p, x, y in zip(some, ours, theirs, strict=True) if x != y]
-            self.differed += len(wrong)
-            for _, data, at in words.slices(pa.array(wrong, pa.string())):
-                self.wrong = np.union1d(self.wrong, words.Hasher(data)(at[:-1], at[1:]))
-            found += ours
-        size = np.array([len(x) for x in found], np.int64)
-        return np.array([i for x in found for i in x], np.int32), size
+    def _both(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The tokenizers library's ids of each text, and whether the sentencepiece library has the same."""
+        ours = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        theirs = self.check.encode(texts, num_threads=self.threads)
+        self.checked += len(texts)
+        return [np.array(x, np.int32) for x in ours], [x == y for x, y in zip(ours, theirs, strict=True)]
+
+    def _some(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts without blanks go together as one text if chunks may be cut before blanks; should the libraries differ on
+        it, or its ids not part as its chunks do, each of its chunks is encoded on its own."""
+        plain = [i for i, p in enumerate(parts) if self.cuts and p and " " not in p and MARK not in p]
+        groups = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
+        ids, same = self._both([" ".join(parts[i] for i in g) for g in groups])
+        at = [np.flatnonzero(self.begins[x]) for x in ids]
+        good = [ok and len(c) == len(g) and c[0] == 0 for ok, c, g in zip(same, at, groups, strict=True)]
+        self.checked += sum(len(g) - 1 for g, ok in zip(groups, good, strict=True) if ok)
+        of = np.array([i for g, ok in zip(groups, good, strict=True) if ok for i in g], np.int64)
+        size = np.zeros(len(parts), np.int64)
+        size[of] = np.concatenate([np.zeros(0, np.int64), *[np.diff(np.append(c, len(x))) for x, c, ok in zip(ids, at, good, strict=True) if ok]])
+        flat = [x for x, ok in zip(ids, good, strict=True) if ok]
+        rest = np.setdiff1d(np.arange(len(parts)), of)
+        single, same = self._both([parts[i] for i in rest.tolist()])
+        size[rest] = [len(x) for x in single]
+        wrong = [parts[i] for i, ok in zip(rest.tolist(), same, strict=True) if not ok]
+        self.differed += len(wrong)
+        for _, data, ends in words.slices(pa.array(wrong, pa.string())):
+            self.wrong = np.union1d(self.wrong, words.Hasher(data)(ends[:-1], ends[1:]))
+        return in_order(np.concatenate([np.zeros(0, np.int32), *flat, *single]), np.concatenate([of, rest]), size), size
+
+    def _made(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._some([p.decode() for p in parts[a : a + 20_000]]) for a in range(0, len(parts), 20_000)]
+        return np.concatenate([np.zeros(0, np.int32), *[x for x, _ in found]]), np.concatenate([np.zeros(0, np.int64), *[n for _, n in found]])
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all rows of a slice, one after the other, the rows' offsets in them, and their differing chunks."""
         row_start = np.zeros(len(data) + 1, bool)
         row_start[at[:-1][np.diff(at) > 0]] = True
-        if self.model.cuts:
+        if self.cuts:
             blank = data == 0x20
             blank[at[1:][np.diff(at) > 0] - 1] = False  # a blank that ends its row has nothing to mark
             start = row_start[:-1] | blank
@@ -157,20 +196,69 @@ class PieceEncoder(Pool):
         s = np.flatnonzero(start)
         e = np.append(s[1:], len(data))
         a = s + (~row_start[s] if len(s) else 0)
-        ids, n = self.ids_of(data, a, e)
+        ids, n = self.values_of(data, a, e)
         first = np.searchsorted(s, at)
         wrong = np.isin(words.Hasher(data)(a, e), self.wrong) if len(self.wrong) else np.zeros(len(s), bool)
         return ids, np.concatenate([[0], np.cumsum(n)])[first], np.diff(np.concatenate([[0], np.cumsum(wrong)])[first])
 
 
-_encoders: dict[int, PieceEncoder] = {}
+class PieceDecoder(Pool):
+    """Texts of ids. Byte pieces never run over a marked piece, so texts are put together from runs that begin with one."""
+
+    def __init__(self, raw: bytes):
+        from tokenizers import decoders
+
+        super().__init__(600_000, np.uint8)
+        self.model = Model.parse(raw)
+        self.begins, self.tokenizer = self.model.begins, self.model.tokenizer()
+        #: Bytes of each piece's text; 0 of byte pieces, whose texts depend on their neighbours.
+        self.text_size = np.array([0 if k == BYTE else len(p.replace(MARK, " ").encode()) for p, _, k in self.model.pieces])
+        self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+
+    def _decoded(self, lists: list[np.ndarray]) -> list[bytes]:
+        return [t.encode() for t in self.tokenizer.decode_batch([x.tolist() for x in lists], skip_special_tokens=False)]
+
+    def _made(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Runs that begin with a marked piece and hold no byte pieces go together: their lengths are those of their pieces."""
+        ids = np.frombuffer(b"".join(parts), np.int32)
+        ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])])
+        size = np.add.reduceat(np.append(self.text_size[ids], 0), ends[:-1])
+        plain = self.begins[ids[ends[:-1]]] & (np.maximum.reduceat(np.append(self.text_size[ids] == 0, False), ends[:-1]) == 0)
+        of, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        groups = [of[a : a + TOGETHER] for a in range(0, len(of), TOGETHER)]
+        together = self._decoded([ids[words.gather(ends[g], ends[g + 1] - ends[g])] for g in groups])
+        if any(len(t) != size[g].sum() for t, g in zip(together, groups, strict=True)):
+            raise ValueError("a piece of another length than its text")
+        single = self._decoded([ids[ends[i] : ends[i + 1]] for i in rest.tolist()])
+        size[rest] = [len(t) for t in single]
+        return in_order(np.frombuffer(b"".join([*together, *single]), np.uint8), np.concatenate([of, rest]), size), size
+
+    def __call__(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all rows, one after the other, and the rows' offsets in them."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.begins):
+            raise ValueError("an id without a piece")
+        start = self.begins[ids]
+        start[at[:-1][np.diff(at) > 0]] = True
+        s = np.flatnonzero(start)
+        e = np.append(s[1:], len(ids))
+        out, n = self.values_of(ids.astype(np.int32).view(np.uint8), 4 * s, 4 * e)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(s, at)]
+        if self.model.dummy_prefix:
+            some = ends[:-1][np.diff(ends) > 0]
+            keep = np.ones(len(out), bool)
+            keep[some[out[some] == 0x20]] = False
+            out, ends = out[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+        return out, ends
+
+
+_held: dict[tuple, PieceEncoder | PieceDecoder] = {}
 
 
-def _encoder(raw: bytes, threads: int) -> PieceEncoder:
-    key = hash((raw, threads))
-    if key not in _encoders:
-        _encoders[key] = PieceEncoder(raw, threads)
-    return _encoders[key]
+def _held_for(kind: type, raw: bytes, *more) -> PieceEncoder | PieceDecoder:
+    key = (kind, hash(raw), *more)
+    if key not in _held:
+        _held[key] = kind(raw, *more)
+    return _held[key]
 
 
 def _schema(df: DataFrame, more: str) -> str:
@@ -178,15 +266,15 @@ def _schema(df: DataFrame, more: str) -> str:
 
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", into: str = "ids", threads: int | None = None, differing: str | None = None) -> DataFrame:
-    """`docs` with a column of ids. model: the model file's bytes. threads: of each task; spark.task.cpus by default.
+    """`docs` with a column of ids. model: the model file's bytes. threads: of each task; spark.task.cpus, but THREADS at least, by default.
     differing: a column with each row's number of chunks that the sentencepiece library encodes differently."""
     docs = docs.drop(into, *([differing] if differing else []))
-    threads = threads or int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
+    threads = threads or max(THREADS, int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1")))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = _encoder(sent.value, threads)
+        use = _held_for(PieceEncoder, sent.value, threads)
         for batch in batches:
             for i, data, at in words.slices(batch.column(place)):
                 n = len(at) - 1
@@ -206,14 +294,23 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", into: str = "decoded")
     place = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _encoder(sent.value, 1).tokenizer
+        use = _held_for(PieceDecoder, sent.value)
         for batch in batches:
-            step = 256
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
-                lists = part.column(place).to_pylist()
-                texts = tokenizer.decode_batch([x or [] for x in lists], skip_special_tokens=False)
-                yield pa.record_batch([*part.columns, pa.array([None if x is None else t for x, t in zip(lists, texts, strict=True)], pa.string())], [*part.schema.names, into])
+            size = pc.list_value_length(batch.column(place)).fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(size)
+            i = 0
+            while i < batch.num_rows:
+                n = max(1, int(np.searchsorted(ends, ends[i] - size[i] + SLICE_IDS, "right")) - i)
+                part = batch.slice(i, n)
+                lists = part.column(place)
+                ids = lists.flatten()
+                if ids.null_count:
+                    raise ValueError("a null among the ids")
+                data, at = use(ids.to_numpy(), np.concatenate([[0], np.cumsum(size[i : i + n])]))
+                null = lists.is_valid() if lists.null_count else None
+                text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data), null.buffers()[1] if null is not None else None)
+                yield pa.record_batch([*part.columns, text.cast(pa.string())], [*part.schema.names, into])
+                i += n
 
     return df.mapInArrow(run, _schema(df, f"`{into}` string"))
 
