@@ -3,6 +3,12 @@ stays, personal data get pseudonyms, and what is left is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the columns
 of documents. None of them can be said in SQL, so ORACLE_SQL is None and tests compare small runs with brute force.
+
+Null and empty texts are neither toxic nor near copies and keep their rows: they are packed as one piece of the end mark
+alone. Rows with a null id keep theirs, unless toxic: no line of theirs is compared. Repeated rows share each decision, so of
+equal rows of one id all stay or go. Lines go by line number, near copies by id, so ties have one outcome. Very long texts
+are handled whole. Empty tables give empty results. Extra columns of documents are carried up to packing; those named
+as an operator's own (score, predicted) are replaced there and left out.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.llm import line_dedup, near_dup, packing, pii, toxicity
 from lakeweave.llm.encode import default_path
-from lakeweave.llm.tables import cut, parquet
+from lakeweave.llm.tables import cut, drop, parquet
 
 #: For this corpus; users set a secret of their own.
 KEY = "a published key: links values, hides nothing"
@@ -54,8 +60,10 @@ STAGES = [("toxicity", toxic), ("line_dedup", lines), ("near_dedup", near), ("pi
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet to the shared folder and read again by the next."""
+    """All stages, each written as Parquet to the shared folder and read again by the next; a stage's table goes once the next
+    one is written."""
     docs = parquet(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

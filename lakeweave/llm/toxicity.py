@@ -1,18 +1,24 @@
-"""Toxicity by two class-conditional Kneser-Ney models over characters.
+"""Toxicity by two class-conditional Kneser-Ney models over characters, words and pairs of words.
 
 A word is a run of letters, A-Z lower-cased, with a mark before and after it. Each class (toxic, ordinary) has its own
 counts of character n-grams of ORDER bytes, discounted by D; below that order, both share one interpolated Kneser-Ney model
 of continuation counts of all training texts. So an n-gram that neither class has seen is as likely in both, and a rare one
-differs little. A word's log-likelihood ratio depends on the word alone and is worked out once a process.
+differs little. On top, each class has its own counts of pairs of successive words: a word after another one has the
+discounted probability of the pair, and what is left falls back to the word's characters. Pairs seen fewer than PAIRS times
+are left to that fallback. A word's character likelihoods depend on the word alone and are worked out once a process.
 
 A text's length-normalised log-likelihood ratios: the mean a byte over the whole text; the largest mean a word over WINDOW
 successive words, so that a toxic passage counts as much in a long text as in a short one; the largest ratio of one word and
-the mean of the three largest; what the ratios above STRONG add up to by the root of the length; and the logarithm of the
-number of words, since a longer text has larger extremes by chance. A logistic curve over these, fitted on training texts
-that the counts haven't seen, gives the probability.
+the mean of the three largest; what the ratios above STRONG add up to by the root of the number of words; the logarithm of
+that number, since a longer text has larger extremes by chance; and the largest mean a word, over WINDOW words, of what pairs
+add to the ratios of their words, if they add: an expression counts, while text that ordinary training rows happen to share
+with this one does not speak for it. All but the first look at the text's different words
+where each occurs first, so saying a thing again does not raise the score. A logistic curve over these, fitted on training
+texts that the counts haven't seen, gives the probability.
 
 Training rows are a bounded sample of labelled rows: for each class the `per_class` rows with the least hash of their id,
-with their whole texts. Null and empty texts have all features zero.
+with their whole texts. Counting and the models' probabilities are Spark aggregations; the driver holds one model's table of
+hashed n-grams. Null and empty texts have all features zero; texts are read whole, repeated rows score alike.
 Tables without a label of either class score 0.5 everywhere. Extra columns stay; score and predicted are replaced.
 """
 
@@ -24,15 +30,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .tables import cut, drop
+from .tables import cut, drop, least_hashes
 
-ORDER, D, WINDOW, STRONG, FEATURES = 6, 0.9, 20, 2.5, 6
+ORDER, D, PAIRS, WINDOW, STRONG, FEATURES = 6, 0.9, 2, 20, 2.5, 7
 #: Ordinary and toxic rows to learn from, at most.
-PER_CLASS = (2500, 1000)
+PER_CLASS = (4000, 1500)
+#: Kinds of tables: orders below ORDER, shared; n-grams of ORDER by class; pairs of words by class.
+TOP, PAIR = (ORDER, ORDER + 1), (ORDER + 2, ORDER + 3)
 _U = np.uint64
 #: Bytes that aren't letters: ASCII other than a-z.
 GAP = np.zeros(256, bool)
@@ -60,85 +69,91 @@ class _Grams:
         return self.hash(s, self.at + 1), self.hash(s, self.at)
 
 
-def _lookup(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _lookup(keys: np.ndarray, values: np.ndarray, x: np.ndarray, missing: float = 0.0) -> np.ndarray:
     if not len(keys):
-        return np.zeros(len(x))
+        return np.full(len(x), missing)
     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[at] == x, values[at], 0.0)
+    return np.where(keys[at] == x, values[at], missing).astype(float)
 
 
-def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, back = np.unique(keys, return_inverse=True)
-    return u, np.bincount(back, weights, len(u)).astype(np.float32)
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return words.mix(first * _U(0x9E3779B97F4A7C15) + second)
 
 
 @dataclass
 class Model:
-    #: For each lower order: continuation counts of n-grams, and of contexts their sum and number of different n-grams.
-    lower: list[tuple]
-    #: For each class: counts of n-grams of the top order, and of contexts their sum and number of different n-grams.
-    top: list[tuple]
+    #: For each kind from 1: n-grams, their discounted shares, contexts, and what each leaves to the next lower order.
+    kinds: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     curve: tuple[float, ...] = (0.0,) * (FEATURES + 1)
 
     @staticmethod
-    def fit(vocabulary: list[bytes], counts: list[np.ndarray]) -> Model:
-        """counts: of each word in ordinary and in toxic texts. Words without any aren't seen."""
-        some = np.flatnonzero(sum(counts) > 0)
-        grams = _Grams([vocabulary[i] for i in some])
-
-        def table(gram, context, weight):
-            u, first, back = np.unique(gram, return_index=True, return_inverse=True)
-            n = np.bincount(back, weight, len(u)).astype(np.float32)
-            u, n, c = u[n > 0], n[n > 0], context[first][n > 0]
-            return (u, n), _sums(c, n), _sums(c, np.ones(len(c)))
-
-        gram, context = grams(ORDER)
-        top = [table(gram, context, c[some][grams.word]) for c in counts]
-        lower = []
-        for n in range(ORDER - 1, 0, -1):
-            # An n-gram's continuation count: different n-grams one longer that end in it.
-            first = np.unique(gram, return_index=True)[1]
-            gram, context = grams(n)
-            lower.insert(0, table(gram[first], context[first], np.ones(len(first))))
-        return Model(lower, top)
-
-    def ratios(self, texts: list[bytes]) -> np.ndarray:
-        """For each word: log-likelihood if toxic less that if ordinary, and its bytes."""
+    def collected(tables: DataFrame, fit: str) -> Model:
+        """The model of one fit: a row for each n-gram and context of `tables`."""
+        found = tables.where(F.col(fit).isNotNull()).select("kind", "is_context", "key", F.col(fit).cast("float").alias("value")).toArrow()
+        kind, is_context = found["kind"].to_numpy(), found["is_context"].to_numpy()
+        key, value = found["key"].to_numpy().view(np.uint64), found["value"].to_numpy()
+        kinds = []
+        for k in range(1, PAIR[1] + 1):
+            for context in (False, True):
+                mine = np.flatnonzero((kind == k) & (is_context == context))
+                mine = mine[np.argsort(key[mine])]
+                kinds += [key[mine], value[mine]]
+        return Model([tuple(kinds[i : i + 4]) for i in range(0, len(kinds), 4)])
+
+    def likelihoods(self, texts: list[bytes]) -> np.ndarray:
+        """For each word: log-likelihood by its characters if toxic, if ordinary, and its bytes."""
         grams = _Grams(texts)
-        word = grams.word
 
         def step(t, gram, context, below):
-            total = _lookup(*t[1], context)
-            share = np.where(total > 0, np.maximum(_lookup(*t[0], gram) - D, 0) / np.maximum(total, 1), 0.0)
-            rest = np.where(total > 0, D * _lookup(*t[2], context) / np.maximum(total, 1), 1.0)
-            return share + rest * below
-
-        p = np.full(len(word), 1 / 256)
-        for n, t in enumerate(self.lower, 1):
-            p = step(t, *grams(n), p)
+            return _lookup(t[0], t[1], gram) + _lookup(t[2], t[3], context, 1.0) * below
+
+        p = np.full(len(grams.word), 1 / 256)
+        for n in range(1, ORDER):
+            p = step(self.kinds[n - 1], *grams(n), p)
         last = grams(ORDER)
-        ordinary, toxic = (np.log(step(t, *last, p)) for t in self.top)
-        return np.column_stack([np.bincount(word, toxic - ordinary, len(texts)), grams.size]).astype(np.float32)
+        ordinary, toxic = (np.bincount(grams.word, np.log(step(self.kinds[k - 1], *last, p)), len(texts)) for k in TOP)
+        return np.column_stack([toxic, ordinary, grams.size]).astype(np.float32)
+
+    def after(self, x: np.ndarray, h: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratios of successive words (x: likelihoods, h: hashes); follows: whether the word before counts."""
+        before, out = np.concatenate([h[:1], h[:-1]]), []
+        i = np.flatnonzero(follows)
+        pair = pair_hash(before[i], h[i])
+        for k, own in ((PAIR[1], x[:, 0]), (PAIR[0], x[:, 1])):
+            grams, share, contexts, left = self.kinds[k - 1]
+            y = own.astype(float)
+            with np.errstate(divide="ignore"):
+                y[i] = np.logaddexp(np.log(_lookup(grams, share, pair)), np.log(_lookup(contexts, left, before[i], 1.0)) + y[i])
+            out.append(y)
+        return out[0] - out[1]
 
     def features(self, memo: words.Memo, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         data = words.LOWER[data]
         s, e, first = words.runs(data, at, GAP)
-        x = memo(data, s, e, words.Hasher(data)(s, e)) if len(s) else np.zeros((0, 2), np.float32)
-        r = np.concatenate([[0], np.cumsum(x[:, 0], dtype=float)])
-        b = np.concatenate([[0], np.cumsum(x[:, 1], dtype=float)])
-        i, j = first[:-1], first[1:]
-        out = np.zeros((len(i), FEATURES))
-        out[:, 0] = (r[j] - r[i]) / np.maximum(b[j] - b[i], 1)
-        out[:, 5] = np.log1p(j - i)
-        full = np.flatnonzero(j > i)
-        if not len(full):
+        out = np.zeros((len(at) - 1, FEATURES))
+        if not len(s):
             return out
-        ratio = x[:, 0].astype(float)
-        end = np.minimum(np.arange(len(s)) + WINDOW, np.repeat(j, j - i))
-        out[full, 1] = np.maximum.reduceat((r[end] - r[:-1]) / WINDOW, i[full])
-        out[full, 2] = np.maximum.reduceat(ratio, i[full])
-        out[full, 3] = [np.partition(ratio[p:q], -3)[-3:].mean() if q - p > 2 else ratio[p:q].mean() for p, q in zip(i[full].tolist(), j[full].tolist(), strict=True)]
-        out[full, 4] = np.add.reduceat(np.maximum(ratio - STRONG, 0), i[full]) / np.sqrt(j[full] - i[full] + 10)
+        h = words.Hasher(data)(s, e)
+        x = memo(data, s, e, h)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(first))
+        follows = np.zeros(len(s), bool)
+        follows[1:] = (row[1:] == row[:-1]) & (h[1:] != h[:-1])
+        alone = (x[:, 0] - x[:, 1]).astype(float)
+        gain = np.maximum(self.after(x, h, follows) - alone, 0)
+        out[:, 0] = np.bincount(row, alone, len(out)) / np.maximum(np.bincount(row, x[:, 2], len(out)), 1)
+        d = np.sort(np.unique(words.mix(h + row.astype(np.uint64) * _U(0xD6E8FEB86659FD93)), return_index=True)[1])
+        ends = np.searchsorted(row[d], np.arange(len(out) + 1))
+        i, j, n = ends[:-1], ends[1:], np.diff(ends)
+        out[:, 5] = np.log1p(n / WINDOW)
+        full = np.flatnonzero(n)
+        alone = alone[d]
+        end = np.minimum(np.arange(len(d)) + WINDOW, np.repeat(j, n))
+        for k, y in ((1, alone), (6, gain[d])):
+            r = np.concatenate([[0], np.cumsum(y)])
+            out[full, k] = np.maximum.reduceat((r[end] - r[:-1]) / WINDOW, i[full])
+        out[full, 2] = np.maximum.reduceat(alone, i[full])
+        out[full, 3] = [np.partition(alone[p:q], -3)[-3:].mean() if q - p > 2 else alone[p:q].mean() for p, q in zip(i[full].tolist(), j[full].tolist(), strict=True)]
+        out[full, 4] = np.add.reduceat(np.maximum(alone - STRONG, 0), i[full]) / np.sqrt(n[full] + 10)
         return out
 
     def probability(self, features: np.ndarray) -> np.ndarray:
@@ -157,59 +172,121 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
         w = w - d / max(1.0, np.abs(d).max() / 5)
         if np.abs(d).max() < 1e-6:
             break
+    if w[-1] < 0:
+        # What pairs add is evidence of toxicity or nothing; few training texts may fit it otherwise.
+        return (*_logistic(np.column_stack([x[:, :-1], np.zeros(len(x))]), y)[:-1], 0.0)
     return (float(w[0] - (w[1:] * mean / scale).sum()), *(w[1:] / scale).tolist())
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From label, half, text: label, half, word, n for each slice."""
+    """From label, half, text: label, half, word, n for each slice; word is null for pairs, given by context and gram."""
     for batch in batches:
         for i, data, at in words.slices(batch.column(2)):
             data = words.LOWER[data]
             s, e, first = words.runs(data, at, GAP)
             if not len(s):
                 continue
-            label, half = (np.repeat(np.asarray(batch.column(c))[i : i + len(at) - 1], np.diff(first)) for c in (0, 1))
-            h = words.mix(words.Hasher(data)(s, e) + (2 * label + half).astype(np.uint64))
-            _, one, n = np.unique(h, return_index=True, return_counts=True)
-            yield pa.record_batch([pa.array(label[one]), pa.array(half[one]), pa.array(words.spans(data, s[one], e[one]), pa.binary()), pa.array(n)], ["label", "half", "word", "n"])
+            row = np.repeat(np.arange(len(at) - 1), np.diff(first))
+            label, half = (np.asarray(batch.column(c))[i + row] for c in (0, 1))
+            own = words.Hasher(data)(s, e)
+            group = (2 * label + half).astype(np.uint64)
+            _, one, n = np.unique(words.mix(own + group), return_index=True, return_counts=True)
+            nothing = pa.nulls(len(one), pa.int64())
+            yield pa.record_batch([pa.array(label[one]), pa.array(half[one]), pa.array(words.spans(data, s[one], e[one]), pa.binary()), nothing, nothing, pa.array(n)], _COUNTED)
+            j = np.flatnonzero((row[1:] == row[:-1]) & (own[1:] != own[:-1])) + 1
+            pair = pair_hash(own[j - 1], own[j])
+            _, one, n = np.unique(words.mix(pair + group[j]), return_index=True, return_counts=True)
+            j, pair = j[one], pair[one]
+            yield pa.record_batch([pa.array(label[j]), pa.array(half[j]), pa.nulls(len(j), pa.binary()), pa.array(own[j - 1].view(np.int64)), pa.array(pair.view(np.int64)), pa.array(n)], _COUNTED)
+
+
+_COUNTED = ["label", "half", "word", "context", "gram", "n"]
+
+
+def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From word, n00, n01, n10, n11 (counts by label and half): kind, gram, context, longer, w0, w1 for each n-gram. Below
+    ORDER, `longer` is the n-gram one longer at the same place and w0, w1 say in which halves it is; in ORDER they count."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 20_000):
+            part = batch.slice(a, 20_000)
+            grams = _Grams(part.column(0).to_pylist())
+            count = np.column_stack([np.asarray(c) for c in part.columns[1:]])[grams.word]
+            longer, context = grams(ORDER)
+            for label, kind in enumerate(TOP):
+                yield _gram_rows(kind, longer, context, np.zeros(len(longer), np.uint64), count[:, 2 * label : 2 * label + 2])
+            seen = np.minimum(count[:, :2] + count[:, 2:], 1)
+            for n in range(ORDER - 1, 0, -1):
+                gram, context = grams(n)
+                yield _gram_rows(n, gram, context, longer, seen)
+                longer = gram
+
+
+def _gram_rows(kind: int, gram: np.ndarray, context: np.ndarray, longer: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    whole = [pa.array(x.view(np.int64)) for x in (gram, context, longer)]
+    return pa.record_batch([pa.array(np.full(len(gram), kind, np.int32)), *whole, pa.array(w[:, 0]), pa.array(w[:, 1])], ["kind", "gram", "context", "longer", "w0", "w1"])
+
+
+def tables(sample: DataFrame) -> DataFrame:
+    """kind, is_context, key, both, f0, f1: of each n-gram its discounted share and of each context what it leaves to lower
+    orders, in the models of both halves of `sample` (label, half, text) and of either half; null where a model lacks it."""
+    counted = cut(sample.mapInArrow(_counts, "label int, half int, word binary, context long, gram long, n long"))
+    of = lambda v, k: F.sum(F.when((F.col("label") == v) & (F.col("half") == k), F.col("n")).otherwise(0)).cast("long").alias(f"n{v}{k}")
+    vocabulary = counted.where("word is not null").groupBy("word").agg(*[of(v, k) for v in (0, 1) for k in (0, 1)])
+    rows = vocabulary.mapInArrow(_gram_batches, "kind int, gram long, context long, longer long, w0 long, w1 long")
+    merged = lambda w: F.when(F.col("kind") < ORDER, F.max(w)).otherwise(F.sum(w)).alias(w)
+    single = rows.groupBy("kind", "gram", "longer").agg(F.first("context").alias("context"), merged("w0"), merged("w1"))
+    half = lambda k: F.sum(F.when(F.col("half") == k, F.col("n")).otherwise(0)).alias(f"w{k}")
+    pairs = counted.where("word is null").groupBy((F.col("label") + PAIR[0]).alias("kind"), "gram").agg(F.first("context").alias("context"), half(0), half(1))
+    both = F.when(F.col("kind") < ORDER, F.greatest("w0", "w1")).otherwise(F.col("w0") + F.col("w1")).alias("both")
+    grams = single.select("kind", "gram", "context", "w0", "w1", both).unionByName(pairs.select("kind", "gram", "context", "w0", "w1", both))
+    fits = {"both": "both", "f0": "w0", "f1": "w1"}
+    grams = cut(grams.groupBy("kind", "gram").agg(F.first("context").alias("context"), *[F.sum(w).alias(f) for f, w in fits.items()]))
+    least = F.when(F.col("kind") >= PAIR[0], PAIRS).otherwise(1)
+    taken = lambda f: F.when(F.col(f) >= least, F.col(f) - D)
+    contexts = grams.groupBy("kind", "context").agg(*[F.sum(f).alias(f"{f}_total") for f in fits], *[F.sum(taken(f)).alias(f"{f}_taken") for f in fits])
+    shares = grams.join(contexts, ["kind", "context"]).select("kind", F.lit(False).alias("is_context"), F.col("gram").alias("key"), *[(taken(f) / F.col(f"{f}_total")).alias(f) for f in fits])
+    left = contexts.select("kind", F.lit(True).alias("is_context"), F.col("context").alias("key"), *[F.when(F.col(f"{f}_taken").isNotNull(), 1 - F.col(f"{f}_taken") / F.col(f"{f}_total")).alias(f) for f in fits])
+    out = cut(shares.unionByName(left).where("both is not null"))
+    drop(counted, grams)
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> Model | None:
     """Fit on the texts of a bounded sample of `labels` (id, label 0 or 1). The counts of one half of the sample and the
     features of the other give the curve, so that it sees words as new texts have them; the final counts are those of both."""
-    picked = [labels.where((F.col(label) == value) & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.lit(value).alias("label"), F.pmod(F.xxhash64(F.col(id), F.lit(8)), F.lit(2)).cast("int").alias("half")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(per_class[value]) for value in (0, 1)]
+    hashed = F.xxhash64("_id", F.lit(7))
+    marked = labels.select(F.col(id).alias("_id"), F.col(label).alias("label"), F.pmod(F.xxhash64(F.col(id), F.lit(8)), F.lit(2)).cast("int").alias("half")).where("_id is not null").distinct()
+    most = marked.groupBy("label").agg(*[least_hashes(n, F.count("*")).alias(f"m{v}") for v, n in enumerate(per_class)])
+    most = {r["label"]: r for r in most.where("label in (0, 1)").collect()}
+    picked = [marked.where((F.col("label") == v) & (hashed <= most[v][f"m{v}"] if v in most else F.lit(False))).withColumn("label", F.lit(v)).orderBy(hashed, "_id").limit(n) for v, n in enumerate(per_class)]
     texts = docs.select(F.col(id).alias("_doc"), F.col(text).alias("text"))
-    sample = texts.join(F.broadcast(picked[0].union(picked[1])), F.col("_doc") == F.col("_id")).select("label", "half", "text")
-    sample = cut(sample)
-    found = sample.mapInArrow(_counts, "label int, half int, word binary, n long").groupBy("label", "half", "word").agg(F.sum("n").alias("n")).toArrow()
-    coded = found.column("word").combine_chunks().dictionary_encode()
-    vocabulary, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    count = np.zeros((2, 2, len(vocabulary)), np.float32)
-    count[found.column("label").to_numpy(), found.column("half").to_numpy(), at] = found.column("n").to_numpy()
-    del found, coded
-    if not count.sum(axis=(1, 2)).all():
+    sample = cut(texts.join(F.broadcast(picked[0].union(picked[1])), F.col("_doc") == F.col("_id")).select("label", "half", "text"))
+    worded = {(r["label"], r["half"]) for r in sample.where(F.lower("text").rlike(r"[a-z\x80-\x{10FFFF}]")).select("label", "half").distinct().collect()}
+    if {v for v, _ in worded} != {0, 1}:
         drop(sample)
         return None
-    model = Model.fit(vocabulary, list(count.sum(axis=1)))
-    if count.sum(axis=2).all():
+    found = tables(sample)
+    curve = (0.0, 0.0, 1.0, *(0.0,) * (FEATURES - 2))
+    if len(worded) == 4:
         x, y = [], []
         for k in (0, 1):
-            half = Model.fit(vocabulary, [count[v, k] for v in (0, 1)])
-            seen = _apply(sample.where(F.col("half") == 1 - k), half, "text", ["label"], lambda m, f: [pa.array(c) for c in np.ascontiguousarray(f.T)], ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow()
+            seen, sent = _apply(sample.where(F.col("half") == 1 - k), Model.collected(found, f"f{k}"), "text", ["label"], lambda m, f: [pa.array(c) for c in np.ascontiguousarray(f.T)], ", ".join(f"f{i} double" for i in range(FEATURES)))
+            seen = seen.toArrow()
+            sent.destroy()
             x.append(np.column_stack([seen.column(f"f{i}") for i in range(FEATURES)]))
             y.append(np.asarray(seen.column("label")))
-        model.curve = _logistic(np.concatenate(x), np.concatenate(y))
-    else:
-        model.curve = (0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0)
-    drop(sample)
+        curve = _logistic(np.concatenate(x), np.concatenate(y))
+    model = Model.collected(found, "both")
+    model.curve = curve
+    drop(sample, found)
     return model
 
 
 _loaded: dict[str, tuple[Model, words.Memo]] = {}
 
 
-def _apply(df: DataFrame, model: Model, text: str, keep: list[str], columns, schema: str) -> DataFrame:
-    """`keep` and what `columns(model, features)` gives for each row of `df`."""
+def _apply(df: DataFrame, model: Model, text: str, keep: list[str], columns, schema: str) -> tuple[DataFrame, Broadcast]:
+    """`keep` and what `columns(model, features)` gives for each row of `df`; and the model sent out for it."""
     name = uuid.uuid4().hex
     sent = df.sparkSession.sparkContext.broadcast(model)
     source = df.select(*keep, F.col(text).alias("_scored"))
@@ -217,7 +294,7 @@ def _apply(df: DataFrame, model: Model, text: str, keep: list[str], columns, sch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _loaded:
             _loaded.clear()
-            _loaded[name] = sent.value, words.Memo(sent.value.ratios)
+            _loaded[name] = sent.value, words.Memo(sent.value.likelihoods)
         m, memo = _loaded[name]
         for batch in batches:
             for i, data, at in words.slices(batch.column(len(keep))):
@@ -226,7 +303,7 @@ def _apply(df: DataFrame, model: Model, text: str, keep: list[str], columns, sch
 
     out = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]], schema])
     names = [*keep, *[c.split()[0] for c in schema.split(", ")]]
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(run, out), sent
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -239,4 +316,4 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         p = m.probability(f)
         return [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
 
-    return _apply(docs, model, text, docs.columns, columns, "score double, predicted int")
+    return _apply(docs, model, text, docs.columns, columns, "score double, predicted int")[0]
