@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
+#: Targets of one bit-parallel search: the bits of a long without its sign.
+MOST_TARGETS = 62
+
 
 def current(df: DataFrame) -> DataFrame:
     """Rows of open validity."""
@@ -58,18 +65,31 @@ def neighbours(relations: DataFrame, cap: int = 10) -> DataFrame:
     return both.withColumn("r", r).where(F.col("r") <= cap).groupBy("name", "direction").agg(F.array_join(F.array_sort(F.collect_list("item")), "|").alias("items"))
 
 
-def two_hops(relations: DataFrame) -> DataFrame:
-    """a, c, via: pairs at distance two exactly, with the least node between."""
-    e = adjacency(relations).where("u != v").select("u", "v").distinct()
-    far = e.select(F.col("u").alias("a"), F.col("v").alias("b")).join(e.select(F.col("u").alias("b"), F.col("v").alias("c")), "b").where("a != c").groupBy("a", "c").agg(F.min("b").alias("via"))
-    return far.join(e.select(F.col("u").alias("a"), F.col("v").alias("c")), ["a", "c"], "left_anti")
+def edges(relations: DataFrame, both: bool = True) -> DataFrame:
+    """Distinct u, v without loops, written once: the operators below read it at every level."""
+    return cut(adjacency(relations, both=both).where("u != v").select("u", "v").distinct())
+
+
+def two_hops(relations: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """a, c, via: pairs at distance two exactly, with the least node between; a of `asked` (column name), else any.
+
+    The listing is as long as the neighbourhoods of the neighbours of `asked`; of a whole graph with hubs it is quadratic in
+    their degrees, so large graphs need a stated set."""
+    e = edges(relations)
+    first = e.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    if asked is not None:
+        first = first.join(asked.select(F.col("name").alias("a")).distinct(), "a", "left_semi")
+    first = cut(first)
+    far = first.join(e.select(F.col("u").alias("b"), F.col("v").alias("c")), "b").where("a != c").groupBy("a", "c").agg(F.min("b").alias("via"))
+    return far.join(first.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti")
 
 
 def influence(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """name, direct, indirect, radius (0, 1 or 2)."""
-    e = adjacency(relations).where("u != v").select(F.col("u").alias("name"), "v").distinct()
+    """name, direct, indirect, radius (0, 1 or 2) of `entities`, over all relations."""
+    names = entities.select("name").distinct()
+    e = adjacency(relations).where("u != v").select(F.col("u").alias("name"), "v").distinct().join(names, "name", "left_semi")
     one = e.groupBy("name").agg(F.count("*").alias("d"))
-    two = two_hops(relations).groupBy(F.col("a").alias("name")).agg(F.count("*").alias("i"))
+    two = two_hops(relations, names).groupBy(F.col("a").alias("name")).agg(F.count("*").alias("i"))
     j = entities.select("name").join(one, "name", "left").join(two, "name", "left")
     d, i = F.coalesce("d", F.lit(0)), F.coalesce("i", F.lit(0))
     return j.select("name", d.alias("direct"), i.alias("indirect"), F.when(i > 0, 2).when(d > 0, 1).otherwise(0).alias("radius"))
@@ -78,11 +98,12 @@ def influence(entities: DataFrame, relations: DataFrame) -> DataFrame:
 def clustering(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """name, triangles, possible, coefficient. Triangles are found once, from the end of lower degree, so hubs give no
     quadratic number of open pairs."""
-    pairs = undirected(relations)
+    pairs = cut(undirected(relations))
     ends = pairs.select(F.col("a").alias("n")).unionAll(pairs.select(F.col("b").alias("n"))).groupBy("n").agg(F.count("*").alias("deg"))
     da, db = ends.select(F.col("n").alias("a"), F.col("deg").alias("da")), ends.select(F.col("n").alias("b"), F.col("deg").alias("db"))
     lower = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
     to = pairs.join(da, "a").join(db, "b").select(F.when(lower, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(lower, F.col("b")).otherwise(F.col("a")).alias("y"))
+    to = cut(to)
     wedge = to.join(to.select("x", F.col("y").alias("z")), "x").where("y < z")
     closed = wedge.join(pairs.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"])
     count = closed.select(F.explode(F.array("x", "y", "z")).alias("name")).groupBy("name").agg(F.count("*").alias("t"))
@@ -92,43 +113,98 @@ def clustering(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return j.select("name", t.alias("triangles"), possible.alias("possible"), F.when(d > 1, t / possible).otherwise(0.0).alias("coefficient"))
 
 
-def shortest_distances(relations: DataFrame, sources: DataFrame, depth: int, both: bool = True, keep_paths: bool = False) -> DataFrame:
+def distances_to_targets(relations: DataFrame, targets: DataFrame, depth: int, both: bool = True) -> DataFrame:
+    """node, distance, n: how many of `targets` (one column, up to MOST_TARGETS rows) are at that distance from each node.
+
+    All targets are searched at once: a node holds a bit for each target that it is known to reach, and a level is one join
+    with the edges and one bit-or by node, whose partial results keep hubs from meeting in one task."""
+    e = edges(relations, both)
+    t = targets.toDF("node").distinct()
+    if t.count() > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
+    bit = F.expr("shiftleft(1L, cast(row_number() OVER (ORDER BY node) - 1 as int))")
+    frontier = cut(t.select("node", bit.alias("mask")))
+    found, seen = frontier.withColumn("distance", F.lit(0)), frontier
+    for level in range(1, depth + 1):
+        # Edges point away from a node, so what it reaches comes from its edges' ends.
+        near = e.join(frontier.select(F.col("node").alias("v"), "mask"), "v").groupBy(F.col("u").alias("node")).agg(F.bit_or("mask").alias("mask"))
+        new = near.join(seen.select("node", F.col("mask").alias("had")), "node", "left")
+        frontier = cut(new.select("node", F.expr("mask & ~coalesce(had, 0L)").alias("mask")).where("mask != 0"))
+        found = found.unionByName(frontier.withColumn("distance", F.lit(level)))
+        seen = cut(seen.unionByName(frontier).groupBy("node").agg(F.bit_or("mask").alias("mask")))
+    return found.select("node", "distance", F.bit_count("mask").cast("long").alias("n"))
+
+
+def shortest_distances(relations: DataFrame, sources: DataFrame, depth: int, both: bool = True) -> DataFrame:
     """source, node, distance for nodes within `depth` hops of each row of `sources` (one column), by a frontier join a level."""
-    e = adjacency(relations, both=both).select("u", "v").where("u != v").distinct()
+    e = edges(relations, both)
     s = sources.toDF("source").distinct()
-    seen = s.select("source", F.col("source").alias("node"), F.lit(0).alias("distance"))
-    frontier = seen
+    seen = frontier = cut(s.select("source", F.col("source").alias("node"), F.lit(0).alias("distance")))
     for level in range(1, depth + 1):
         reached = frontier.select("source", F.col("node").alias("u")).join(e, "u").select("source", F.col("v").alias("node")).distinct()
-        frontier = reached.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("distance", F.lit(level))
+        frontier = cut(reached.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("distance", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen
 
 
-def simple_paths(relations: DataFrame, pairs: DataFrame, depth: int = 6, per_pair: int = 10, both: bool = True) -> DataFrame:
-    """source, target, path (array), length: up to `per_pair` simple paths a pair, shortest first, then in order of names.
-    The report's limit is applied at the end; every level holds simple paths only."""
-    e = adjacency(relations, both=both).select("u", "v").where("u != v").distinct()
-    live = pairs.toDF("source", "target").distinct().withColumn("path", F.array("source"))
+def simple_paths(relations: DataFrame, pairs: DataFrame, depth: int = 4, per_pair: int = 10, both: bool = True) -> DataFrame:
+    """source, target, path (array), length, rank: up to `per_pair` simple paths a pair, shortest first, then in order of names.
+
+    Half-paths grow from both ends and meet in the middle, length by length; a pair with `per_pair` paths looks no further,
+    since longer ones rank below. So work is that of half the depth, and plans don't grow with it."""
+    e = edges(relations, both)
+    back = e if both else cut(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    live = cut(pairs.toDF("source", "target").distinct().where("source != target"))
+    ahead = {0: live.select("source", "target", F.array("source").alias("path"), F.col("source").alias("node"))}
+    behind = {0: live.select("source", "target", F.array("target").alias("path"), F.col("target").alias("node"))}
+
+    def grown(half: DataFrame, by: DataFrame, stop: str, front: bool) -> DataFrame:
+        step = half.where(F.col("node") != F.col(stop)).join(by, half["node"] == by["u"]).where(~F.array_contains("path", F.col("v")))
+        path = F.concat("path", F.array("v")) if front else F.concat(F.array("v"), F.col("path"))
+        return step.select("source", "target", path.alias("path"), F.col("v").alias("node"))
+
     found = None
-    for _ in range(depth):
-        live = live.withColumn("u", F.element_at("path", -1)).join(e, "u").where(~F.array_contains("path", F.col("v"))).select("source", "target", F.concat("path", F.array("v")).alias("path"), "v")
-        done = live.where("v = target").select("source", "target", "path")
-        found = done if found is None else found.unionByName(done)
-        live = live.where("v != target").drop("v")
-    ranked = found.withColumns({"length": F.size("path") - 1, "text": F.array_join("path", ">")})
-    r = F.row_number().over(W.partitionBy("source", "target").orderBy("length", "text"))
-    return ranked.withColumn("rank", r).where(F.col("rank") <= per_pair).select("source", "target", "path", "length", "rank")
+    for length in range(1, depth + 1):
+        i, j = (length + 1) // 2, length // 2
+        if i not in ahead:
+            ahead[i] = cut(grown(ahead[i - 1].join(live, ["source", "target"], "left_semi"), e, "target", True))
+        if j not in behind:
+            behind[j] = cut(grown(behind[j - 1].join(live, ["source", "target"], "left_semi"), back, "source", False))
+        a, b = ahead[i], behind[j].withColumnRenamed("path", "rest")
+        met = a.join(b, ["source", "target", "node"]).where(F.size(F.array_intersect("path", "rest")) == 1)
+        met = met.select("source", "target", F.concat("path", F.expr("slice(rest, 2, greatest(size(rest) - 1, 0))")).alias("path"))
+        r = F.row_number().over(W.partitionBy("source", "target").orderBy(F.array_join("path", ">")))
+        met = met.withColumn("rank", r).where(F.col("rank") <= per_pair).withColumn("length", F.lit(length))
+        found = cut(met if found is None else found.unionByName(met))
+        if length < depth:
+            full = found.groupBy("source", "target").agg(F.count("*").alias("c")).where(F.col("c") >= per_pair)
+            live = cut(live.join(full, ["source", "target"], "left_anti"))
+    r = F.row_number().over(W.partitionBy("source", "target").orderBy("length", F.array_join("path", ">")))
+    return found.withColumn("rank", r).where(F.col("rank") <= per_pair).select("source", "target", "path", "length", "rank")
+
+
+def path_overlaps(paths: DataFrame) -> DataFrame:
+    """source, target, n_paths, uniqueness: 1 less the mean overlap (shared nodes by those of the longer path) of a pair's paths.
+    A pair has at most as many paths as were listed, so the self join stays small."""
+    p = paths.select("source", "target", "rank", "path")
+    q = p.select("source", "target", F.col("rank").alias("other"), F.col("path").alias("path_b"))
+    shared = p.join(q, ["source", "target"]).where("rank < other").select("source", "target", (F.size(F.array_intersect("path", "path_b")) / F.greatest(F.size("path"), F.size("path_b"))).alias("o"))
+    mean = shared.groupBy("source", "target").agg(F.avg("o").alias("mean"))
+    n = p.groupBy("source", "target").agg(F.count("*").alias("n_paths"))
+    return n.join(mean, ["source", "target"], "left").select("source", "target", "n_paths", (1 - F.coalesce("mean", F.lit(0.0))).alias("uniqueness"))
 
 
 def cheapest_costs(relations: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
-    """source, node, cost: least sum of weights over at most `rounds` edges, by relaxing all edges in each round."""
-    e = adjacency(relations, weighted=True).groupBy("u", "v").agg(F.min("weight").alias("weight"))
+    """source, node, cost: least sum of weights over at most `rounds` edges. In each round only nodes whose cost fell relax
+    their edges."""
+    e = cut(adjacency(relations, weighted=True).groupBy("u", "v").agg(F.min("weight").alias("weight")))
     s = sources.toDF("source").distinct()
-    cost = s.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"))
+    cost = moved = cut(s.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")))
     for _ in range(rounds):
-        step = cost.select("source", F.col("node").alias("u"), "cost").join(e, "u").select("source", F.col("v").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"))
-        cost = cost.unionByName(step).groupBy("source", "node").agg(F.min("cost").alias("cost"))
+        step = moved.select("source", F.col("node").alias("u"), "cost").join(e, "u").groupBy("source", F.col("v").alias("node")).agg(F.min(F.col("cost") + F.col("weight")).alias("new"))
+        both = cut(cost.join(step, ["source", "node"], "full"))
+        cost = both.select("source", "node", F.least("cost", "new").alias("cost"))
+        moved = both.where("cost is null or new < cost").select("source", "node", F.col("new").alias("cost"))
     return cost
 
 
@@ -146,10 +222,10 @@ def density(n: Column, r: Column) -> Column:
     return F.when(n > 1, r / (n * (n - 1))).otherwise(0.0)
 
 
-def components(edges: DataFrame, cut) -> DataFrame:
+def components(relations: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """node, component (its least reachable node) of an edge table (src, dst): hooking to the least neighbour and shortening
     of paths, in rounds. cut(df) writes a table and reads it back, so that plans don't grow and lost executors don't matter."""
-    e = edges.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    e = relations.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     both = cut(e.union(e.select("b", "a")).toDF("u", "v"))
     label = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")).toDF("node", "component"))
     while True:

@@ -74,6 +74,3 @@ REL = """relations AS (
   UNION ALL SELECT 'order_' || o_orderkey, 'customer_' || o_custkey, 'PLACED_BY', 1.0, 1.0, (epoch_us(o_orderdate::TIMESTAMP) // 1000), NULL FROM orders
   UNION ALL SELECT 'order_' || l_orderkey, 'part_' || l_partkey, 'CONTAINS', max(1 - l_discount), max(1 - l_tax), min((epoch_us(l_shipdate::TIMESTAMP) // 1000)), NULL FROM lineitem GROUP BY l_orderkey, l_partkey
   UNION ALL SELECT 'part_' || l_partkey, 'supplier_' || l_suppkey, 'SUPPLIED_BY', max(1 - l_discount), max(1 - l_tax), min((epoch_us(l_shipdate::TIMESTAMP) // 1000)), NULL FROM lineitem GROUP BY l_partkey, l_suppkey)"""
-#: Nations, regions and suppliers alone: small enough for recursive SQL.
-SMALL = "relation_type = 'IN_REGION' OR starts_with(src, 'supplier_')"
-SMALL_KINDS = ("IN_REGION", "SUPPLIER_IN")

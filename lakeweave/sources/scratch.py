@@ -5,16 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. A temporary one serves only where that is unset and master is local, as in
+    tests: on a cluster each machine has its own, and tables would be read back incomplete."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return tempfile.gettempdir()
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared one; it goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/lakeweave-graph-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back; it goes when the driver ends. A temporary folder serves only where
-    the setting is missing, as in local tests."""
+    """Write `df` to the shared folder and read it back; it goes when the driver ends."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{top.rstrip('/')}/lakeweave-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    path = folder(spark)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
