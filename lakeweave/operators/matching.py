@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .tables import contained
 
 
 def venue_score(a: Column, b: Column) -> Column:
@@ -68,9 +69,18 @@ def pattern_scores(df: DataFrame, id: str, text: str, patterns: dict[str, list[s
 
 
 def allowed(relations: DataFrame, areas: DataFrame) -> DataFrame:
-    """Relations whose type no area row (relation_type) allows, with the allowed type that contains it or is contained, if any."""
+    """Relations whose type no area row (relation_type) allows, with the least allowed type that contains it or is contained,
+    if any."""
     a = areas.select("relation_type").distinct()
     bad = relations.join(a, "relation_type", "left_anti")
     kinds = bad.select("relation_type").distinct()
-    near = kinds.join(F.broadcast(a.limit(1000).withColumnRenamed("relation_type", "suggestion")), F.contains("relation_type", "suggestion") | F.contains("suggestion", "relation_type"))
+    near = contained(kinds, a).toDF("relation_type", "suggestion").union(contained(a, kinds).select(F.col("y"), F.col("x")))
     return bad.join(near.groupBy("relation_type").agg(F.min("suggestion").alias("suggestion")), "relation_type", "left")
+
+
+def match_artists(names: DataFrame, artists: DataFrame) -> DataFrame:
+    """name, artist: the first artist entity, by name, whose text contains the name or is contained in it, both normalised."""
+    n = names.select("name").where("name is not null").distinct().withColumn("a", T.normalise_artist(F.col("name")))
+    e = artists.select(F.col("name").alias("artist")).where("artist is not null").distinct().withColumn("b", T.normalise_artist(F.col("artist")))
+    pairs = contained(n.select("a"), e.select("b")).toDF("a", "b").union(contained(e.select("b"), n.select("a")).select("y", "x")).distinct()
+    return n.join(pairs, "a").join(e, "b").groupBy("name").agg(F.min("artist").alias("artist"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,17 +26,57 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+#: Queries and vectors that one task compares.
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 32_768
+
+
+def _nearest_of_block(k: int, metric: str, least: float | None):
+    """Top k of each query of a block among the vectors of a block; scores in double precision."""
+
+    def score(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if metric == "l2":
+            return 1 - np.sqrt(((x - q) ** 2).sum(axis=1))
+        s = (x * q).sum(axis=1)
+        return s if metric == "inner" else s / (np.sqrt((x**2).sum(axis=1)) * np.sqrt((q**2).sum()))
+
+    def run(key: tuple, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(vectors) and len(queries):
+            ids, asked = vectors["id"].to_numpy(), queries["query_id"].to_numpy()
+            x, q = (np.vstack(df[c].to_numpy()).astype(np.float64) for df, c in ((vectors, "embedding"), (queries, "q")))
+            scaled = x / np.sqrt((x**2).sum(axis=1))[:, None] if metric == "cosine" else x
+            half = (x**2).sum(axis=1) / 2 if metric == "l2" else 0.0
+            for a in range(0, len(q), 128):
+                rough = q[a : a + 128] @ scaled.T - half
+                for i in range(len(rough)):
+                    r = np.where(ids == asked[a + i], -np.inf, rough[i])
+                    bar = np.partition(r, len(r) - k)[len(r) - k] if len(r) > k else -np.inf
+                    at = np.flatnonzero((r >= bar - 1e-9 * max(1.0, abs(bar) if np.isfinite(bar) else 1.0)) & (r > -np.inf))
+                    s = score(x[at], q[a + i])
+                    top = np.lexsort((ids[at], -s))[:k]
+                    top = top if least is None else top[s[top] >= least]
+                    out.append(pd.DataFrame({"query_id": asked[a + i], "id": ids[at[top]], "score": s[top]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+
+    return run
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", least: float | None = None, where: Column | None = None) -> DataFrame:
-    """query_id, id, score, rank: exact neighbours of a stated query set (query_id, q). Filters come before the top k, and each
-    partition keeps its own top k before the shuffle. The query set is broadcast after counting it: 100,000 at most."""
-    if queries.count() > 100_000:
-        raise ValueError("a query set of this size is a job for the approximate index")
-    v = vectors.where(where) if where is not None else vectors
-    scored = v.join(F.broadcast(queries), F.col("id") != F.col("query_id")).select("query_id", "id", similarity(F.col("q"), F.col("embedding"), metric).alias("score"))
-    if least is not None:
-        scored = scored.where(F.col("score") >= least)
+    """query_id, id, score, rank: exact neighbours of a stated query set (query_id, q), without each query's own id. Filters
+    come before the top k. Queries and vectors are dealt into blocks by hash; a task multiplies a block by a block and keeps
+    its top k, so neither side is broadcast. Null, empty and, for cosine, zero vectors take no part; all others have one
+    dimension."""
+    usable = lambda c: F.exists(c, lambda x: x != 0) if metric == "cosine" else F.size(c) > 0
+    v = (vectors.where(where) if where is not None else vectors).select(F.col("id").cast("long").alias("id"), "embedding").where(usable("embedding"))
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "q").where(usable("q"))
+    v_parts, q_parts = max(1, -(-v.count() // VECTOR_BLOCK)), max(1, -(-q.count() // QUERY_BLOCK))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.withColumn("_v", own("id", v_parts)).withColumn("_q", every(q_parts))
+    q = q.withColumn("_q", own("query_id", q_parts)).withColumn("_v", every(v_parts))
+    found = v.groupBy("_v", "_q").cogroup(q.groupBy("_v", "_q")).applyInPandas(_nearest_of_block(k, metric, least), "query_id long, id long, score double")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def vector_profile(vectors: DataFrame) -> DataFrame:

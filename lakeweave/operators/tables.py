@@ -46,23 +46,33 @@ def project(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select(*[f for f in fields if f in df.columns])
 
 
+def contained(whole: DataFrame, part: DataFrame, size: int = 3) -> DataFrame:
+    """x, y: distinct non-empty texts of `whole` and `part` (a column each) where x holds y anywhere, equal ones included.
+
+    If x holds y, it holds all grams of y, so each y is looked up by that gram of its own which fewest x have; a y shorter
+    than `size` is looked up as it is. What is verified follows rare grams, not all pairs that share a frequent one."""
+    x, y = whole.toDF("x").where("x != ''").distinct(), part.toDF("y").where("y != ''").distinct()
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    have = x.select("x", F.explode(F.array_distinct(F.concat(*[grams(F.col("x"), n) for n in range(1, size + 1)]))).alias("g"))
+    want = y.select("y", F.explode(F.array_distinct(F.when(F.length("y") < size, F.array("y")).otherwise(grams(F.col("y"), size)))).alias("g"))
+    counts = have.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = want.join(counts, "g", "left").groupBy("y").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).where("m.n > 0")
+    return have.join(rarest.select("y", F.col("m.g").alias("g")), "g").where(F.contains("x", "y")).select("x", "y")
+
+
 def match_terms(names: DataFrame, terms: DataFrame, prefix: str = "") -> DataFrame:
-    """name, term, kind, confidence: exact 1.0, one in the other 0.9, a shared word 0.8. Candidates meet on shared words, or
-    on the first 4 characters of the one that the other holds anywhere; not all pairs are tried."""
+    """name, term, kind, confidence: exact 1.0, one in the other 0.9, a shared word 0.8. Texts in each other meet on their
+    rarest grams; pairs that share a word are results themselves, so that join is as large as its output."""
     n = names.select("name").distinct().withColumn("_n", F.regexp_replace(F.lower(F.regexp_replace("name", f"^{prefix}", "")), "_", " "))
     t = terms.select("term").distinct().withColumn("_t", F.lower("term"))
-
-    def pieces(c: str) -> Column:
-        """All pieces of up to 4 characters."""
-        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.substring(F.col(c), i, k)))))
-
-    head = lambda c: F.substring(c, 1, 4)
-    both = n.select("name", "_n", F.explode(pieces("_n")).alias("g")).join(t.select("term", "_t", head("_t").alias("g")), "g").select("name", "term", "_n", "_t")
-    both = both.union(n.select("name", "_n", head("_n").alias("g")).join(t.select("term", "_t", F.explode(pieces("_t")).alias("g")), "g").select("name", "term", "_n", "_t"))
-    shared = n.select("name", "_n", F.explode(F.split("_n", " ")).alias("g")).join(t.select("term", "_t", F.explode(F.split("_t", " ")).alias("g")), "g").select("name", "term", "_n", "_t")
-    pairs = both.union(shared).distinct()
-    kind = F.when(F.col("_n") == F.col("_t"), "exact").when(F.contains("_n", "_t") | F.contains("_t", "_n"), "substring").when(F.arrays_overlap(F.split("_n", " "), F.split("_t", " ")), "partial")
-    return pairs.withColumn("kind", kind).where("kind is not null").select("name", "term", "kind", F.when(F.col("kind") == "exact", 1.0).when(F.col("kind") == "substring", 0.9).otherwise(0.8).alias("confidence"))
+    a, b = n.select("_n").distinct(), t.select("_t").distinct()
+    held = contained(a, b).toDF("_n", "_t").union(contained(b, a).select("y", "x"))
+    words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("g")).where("g != ''")
+    shared = words(a, "_n").join(words(b, "_t"), "g").select("_n", "_t")
+    pairs = held.union(shared).distinct()
+    kind = F.when(F.col("_n") == F.col("_t"), "exact").when(F.contains("_n", "_t") | F.contains("_t", "_n"), "substring").otherwise("partial")
+    found = pairs.withColumn("kind", kind).join(n, "_n").join(t, "_t")
+    return found.select("name", "term", "kind", F.when(F.col("kind") == "exact", 1.0).when(F.col("kind") == "substring", 0.9).otherwise(0.8).alias("confidence"))
 
 
 def audit_rows(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -76,8 +86,10 @@ def split_known(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataF
     return left.join(right, on, "left_semi"), left.join(right, on, "left_anti")
 
 
-def top_per_group(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
+def top_per_group(df: DataFrame, group: list[str], order: list, k: int | None = None) -> DataFrame:
+    """The first k rows of each group, with rank; all of them without k."""
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def nested(parents: DataFrame, links: DataFrame, on: str, item: list[str], order: list, into: str) -> DataFrame:

@@ -50,9 +50,9 @@ def jn22_hits_with_relations(spark, d):
     return PL.hits_with_relations(q(("nation", "region"), 1).union(q(("nation",), 2)), relations(spark, d, ("IN_REGION", "SUPPLIER_IN")))
 
 
-@plan(f"WITH {ENT}, {REL} SELECT src, dst, relation_type FROM relations WHERE starts_with(src, 'order_') AND ends_with(src, '77')")
+@plan(f"WITH {ENT}, {REL} SELECT src, dst, relation_type FROM relations WHERE starts_with(src, 'order_') AND CAST(split_part(src, '_', 2) AS BIGINT) % 50 = 0")
 def srch6_document_graph(spark, d):
-    e = entities(spark, d, ("order",)).where(F.col("name").endswith("77"))
+    e = entities(spark, d, ("order",)).where(F.expr("cast(split_part(name, '_', 2) as bigint) % 50 = 0"))  # the documents asked about
     return G.induced(relations(spark, d, ("PLACED_BY", "CONTAINS")), e, "incident").select("src", "dst", "relation_type")
 
 

@@ -137,7 +137,7 @@ def jn7_other(spark, d):
 
 @q(f"WITH {TYPES} SELECT o_orderkey, type, confidence, row_number() OVER (PARTITION BY o_orderkey ORDER BY confidence DESC, type) AS rank FROM types")
 def jn8_types(spark, d):
-    return O.top_per_group(_types(spark, d), ["o_orderkey"], [F.desc("confidence"), "type"], 1 << 20)
+    return O.top_per_group(_types(spark, d), ["o_orderkey"], [F.desc("confidence"), "type"])
 
 
 @q(f"WITH {TYPES} SELECT o_orderkey, coalesce((SELECT string_agg(type || ':' || confidence, '|' ORDER BY type) FROM types t WHERE t.o_orderkey = o.o_orderkey AND starts_with(type, 's')), '') AS types FROM orders o")

@@ -12,17 +12,24 @@ from ..operators import search as S
 from .derived import ENT, entities
 from .registry import plan, table
 
-# Dates as text: each order's date in one of six spellings.
-_SPELL = """spelled AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%-d %B %Y')
-  WHEN 3 THEN strftime(o_orderdate, '%B %-d, %Y') WHEN 4 THEN strftime(o_orderdate, '%d.%m.%y') ELSE 'Until ' || strftime(o_orderdate, '%-d %b %Y') || ' (noted)' END AS raw, strftime(o_orderdate, '%d/%m/%Y') AS clean, year(o_orderdate) AS y FROM orders)"""
+# Dates as text: each order's date in one of sixteen spellings, some without a year and some that are none.
+_SPELL = """spelled AS (SELECT o_orderkey, CASE o_orderkey % 16 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%-d %B %Y')
+  WHEN 3 THEN strftime(o_orderdate, '%B %-d, %Y') WHEN 4 THEN strftime(o_orderdate, '%d.%m.%y') WHEN 5 THEN 'Until ' || strftime(o_orderdate, '%-d %b %Y') || ' (noted)' WHEN 6 THEN strftime(o_orderdate, '%d-%m-%y')
+  WHEN 7 THEN strftime(o_orderdate, '%d/%m-%y') WHEN 8 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 9 THEN strftime(o_orderdate, '%A %-d %B') WHEN 10 THEN strftime(o_orderdate, '%b %-d, %Y') WHEN 11 THEN strftime(o_orderdate, '%-d %B %y')
+  WHEN 12 THEN strftime(o_orderdate, '%B %-d %y') WHEN 13 THEN strftime(o_orderdate, '%-d %b. %y') WHEN 14 THEN strftime(o_orderdate, '%b %-d') || CASE day(o_orderdate) WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END ELSE strftime(o_orderdate, '31/02/%Y') END AS raw,
+  CASE WHEN o_orderkey % 16 = 15 THEN NULL WHEN o_orderkey % 16 IN (9, 14) THEN strftime(o_orderdate, '%d/%m') ELSE strftime(o_orderdate, '%d/%m/%Y') END AS clean, year(o_orderdate) AS y FROM orders)"""
 
 
 def _spelled(spark, d):
     o = table(spark, d, "orders")
     f = lambda p: F.date_format("o_orderdate", p)
-    k = F.col("o_orderkey") % 6
-    raw = F.when(k == 0, f("yyyy-MM-dd")).when(k == 1, f("dd/MM/yyyy")).when(k == 2, f("d MMMM yyyy")).when(k == 3, f("MMMM d, yyyy")).when(k == 4, f("dd.MM.yy")).otherwise(F.concat(F.lit("Until "), f("d MMM yyyy"), F.lit(" (noted)")))
-    return o.select("o_orderkey", raw.alias("raw"))
+    k, day = F.col("o_orderkey") % 16, F.dayofmonth("o_orderdate")
+    ordinal = F.when(day == 1, "st").when(day == 2, "nd").when(day == 3, "rd").otherwise("th")
+    forms = [
+        f("yyyy-MM-dd"), f("dd/MM/yyyy"), f("d MMMM yyyy"), f("MMMM d, yyyy"), f("dd.MM.yy"), F.concat(F.lit("Until "), f("d MMM yyyy"), F.lit(" (noted)")), f("dd-MM-yy"), f("dd/MM-yy"),
+        f("dd.MM.yyyy"), f("EEEE d MMMM"), f("MMM d, yyyy"), f("d MMMM yy"), f("MMMM d yy"), f("d MMM. yy"), F.concat(f("MMM d"), ordinal), F.concat(F.lit("31/02/"), f("yyyy")),
+    ]
+    return o.select("o_orderkey", F.coalesce(*[F.when(k == i, x) for i, x in enumerate(forms)]).alias("raw"))
 
 
 @plan(f"WITH {_SPELL} SELECT o_orderkey, raw, clean FROM spelled")
@@ -30,10 +37,10 @@ def fn12_normalise_dates(spark, d):
     return _spelled(spark, d).select("o_orderkey", "raw", T.normalise_date(F.col("raw")).alias("clean"))
 
 
-@plan(f"WITH {_SPELL} SELECT o_orderkey, CASE WHEN regexp_matches(raw, '(19|20)[0-9][0-9]') THEN y END AS year, CASE WHEN regexp_matches(raw, '(19|20)[0-9][0-9]') THEN (y // 10 * 10) || 's' END AS decade FROM spelled WHERE o_orderkey % 6 <> 4")
+@plan(f"WITH {_SPELL} SELECT o_orderkey, CASE WHEN regexp_matches(raw, '(19|20)[0-9][0-9]') THEN y END AS year, CASE WHEN regexp_matches(raw, '(19|20)[0-9][0-9]') THEN (y // 10 * 10) || 's' END AS decade FROM spelled")
 def fn13_year(spark, d):
     y = T.extract_year(F.col("raw"))
-    return _spelled(spark, d).where("o_orderkey % 6 != 4").select("o_orderkey", y.alias("year"), T.decade(y).alias("decade"))
+    return _spelled(spark, d).select("o_orderkey", y.alias("year"), T.decade(y).alias("decade"))
 
 
 @plan("SELECT o_orderkey, dayname(o_orderdate) AS weekday FROM orders")
@@ -64,13 +71,15 @@ def fn2_normalise_artist(spark, d):
     return table(spark, d, "customer").select("c_name", T.normalise_artist(F.concat(F.lit("The "), "c_name", F.lit(" Band feat. Someone"))).alias("artist")).distinct()
 
 
-_PAIRS = "pairs AS (SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) AND a.p_name < b.p_name)"
+_PAIRS = "pairs AS (SELECT DISTINCT least(a.p_name, b.p_name) AS a, greatest(a.p_name, b.p_name) AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_name <> b.p_name)"
 _JW = "(jaro_similarity(a, b) + 0.1 * (1 - jaro_similarity(a, b)) * (CASE WHEN a[1] <> b[1] THEN 0 WHEN a[2] <> b[2] THEN 1 WHEN a[3] <> b[3] THEN 2 WHEN a[4] <> b[4] THEN 3 ELSE least(4, length(a), length(b)) END))"
 
 
 def _name_pairs(spark, d):
-    p = table(spark, d, "part").select("p_name").distinct().withColumn("k", F.get(F.split("p_name", " "), F.lit(0)))
-    return p.select(F.col("p_name").alias("a"), "k").join(p.select(F.col("p_name").alias("b"), "k"), "k").where("a < b").select("a", "b")
+    """The names of each part and the next one: as many pairs as parts."""
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    j = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey").where("p_name != other")
+    return j.select(F.least("p_name", "other").alias("a"), F.greatest("p_name", "other").alias("b")).distinct()
 
 
 @plan(f"WITH {_PAIRS} SELECT a, b, levenshtein(a, b) AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 8) AS similarity FROM pairs")
@@ -186,11 +195,12 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def _queries(spark, d, n=5):
-    return _vectors(spark, d).where(f"id < {n}").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+def _queries(spark, d):
+    """The stated query set: every row whose id is divisible by 50."""
+    return _vectors(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-_KNN = f"WITH {_V}, s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {{score}} AS score FROM v JOIN v q ON q.vec_id < 5 AND q.vec_id <> v.vec_id {{where}}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"
+_KNN = f"WITH {_V}, s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {{score}} AS score FROM v JOIN v q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id {{where}}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"
 
 
 def _rounded(df):
@@ -240,15 +250,15 @@ def vec7_missing(spark, d):
     return table(spark, d, "documents").select("doc_id").join(have, "doc_id", "left_anti")
 
 
-_LISTS = f"""WITH {_V}, kw AS (SELECT q.vec_id AS query_id, v.vec_id AS name, 1.0 AS score FROM v JOIN v q ON q.vec_id < 5 AND q.label = v.label AND q.vec_id <> v.vec_id AND v.vec_id % 4 = 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id AS name, list_cosine_similarity(v.e, q.e) AS score FROM v JOIN v q ON q.vec_id < 5 AND q.vec_id <> v.vec_id),
+_LISTS = f"""WITH {_V}, kw AS (SELECT q.vec_id AS query_id, v.vec_id AS name, 1.0 AS score FROM v JOIN v q ON q.vec_id % 50 = 0 AND q.label = v.label AND q.vec_id <> v.vec_id),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS name, list_cosine_similarity(v.e, q.e) AS score FROM v JOIN v q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
 vs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS k FROM s) WHERE k <= 20)"""
 
 
 def _lists(spark, d):
     v = _vectors(spark, d)
-    q = v.where("id < 5").select(F.col("id").alias("query_id"), "label")
-    kw = v.where("id % 4 = 0").join(F.broadcast(q), "label").where("query_id != id").select("query_id", F.col("id").alias("name"), F.lit(1.0).alias("score"))
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label")
+    kw = v.join(q, "label").where("query_id != id").select("query_id", F.col("id").alias("name"), F.lit(1.0).alias("score"))
     return kw, S.knn(_queries(spark, d), v, 20).select("query_id", F.col("id").alias("name"), "score")
 
 
@@ -290,12 +300,16 @@ def txt2_sentence_chunks(spark, d):
     return c.select("doc_id", "chunk_index", F.length("content").alias("n_chars"), D.chunk_kind(F.col("content")).alias("kind"))
 
 
-@plan("""WITH m AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '\\b[A-Z][a-zA-Z]{2,}\\b')) AS ws FROM documents WHERE lang = 'en' AND text IS NOT NULL)
-SELECT DISTINCT doc_id, 'entity_' || lower(w) AS target, 0.6 AS confidence FROM (SELECT doc_id, unnest(ws) AS w FROM m WHERE len(ws) <= 50) WHERE length(w) < 50""")
+# The n-th capitalised word of a text where it occurs first; regexp_extract_all lists them in order.
+_CAPS = "regexp_extract_all(text, '\\b[A-Z][a-zA-Z]{2,}\\b')"
+
+
+@plan(f"""WITH w AS (SELECT DISTINCT doc_id, text, {_CAPS} AS ws FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, text, w, min(i) AS i FROM (SELECT doc_id, text, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM w) WHERE length(w) < 50 GROUP BY doc_id, text, w),
+k AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id, text ORDER BY i) AS n FROM u)
+SELECT DISTINCT doc_id, 'entity_' || lower(w) AS target, 0.6 AS confidence FROM k WHERE n <= 50""")
 def txt5_mentions(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en' and text is not null")
-    few = docs.where(F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(D.CAPITALISED), F.lit(0)))) <= 50)
-    return D.mentions(few).distinct()
+    return D.mentions(table(spark, d, "documents").where("text is not null")).distinct()
 
 
 _TERMS = "terms AS (SELECT item_id AS instance_id, lower(split_part(text, ' ', 2)) AS term, item_id % 2 = 0 AS is_primary FROM benchmark WHERE regexp_matches(split_part(text, ' ', 2), '^[A-Za-z]+$'))"
@@ -338,11 +352,11 @@ def agg16_products(spark, d):
     return p.agg(F.count_if(F.col("e") == 0).alias("valid"), F.count_if(F.col("e") > 0).alias("invalid"), F.sum("e").alias("errors"), F.round(F.avg("q"), 6).alias("mean_score"))
 
 
-@plan("""WITH k AS (SELECT DISTINCT lower(split_part(text, ' ', 1)) AS term FROM benchmark), w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '\\b[A-Z][a-zA-Z]{2,}\\b'))) AS term FROM documents WHERE lang = 'en')
+@plan("""WITH k AS (SELECT DISTINCT lower(split_part(text, ' ', 1)) AS term FROM benchmark), w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '\\b[A-Z][a-zA-Z]{2,}\\b'))) AS term FROM documents)
 SELECT term, count(*) AS n FROM w WHERE term NOT IN (SELECT term FROM k) GROUP BY term""")
 def txt16_discoveries(spark, d):
     known = table(spark, d, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("term"))
-    return D.discoveries(table(spark, d, "documents").where("lang = 'en'"), known).select("term", "n")
+    return D.discoveries(table(spark, d, "documents"), known).select("term", "n")
 
 
 # Checks, votes and matching.
