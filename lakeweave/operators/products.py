@@ -71,17 +71,46 @@ def product_graph(products: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 _M = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+#: Phrases that name a release rather than a place, and words that speak for a place.
+RELEASE = r"in\s+cinemas?|in\s+theaters?|in\s+theatres?|only\s+(?:in\s+)?(?:cinemas?|theaters?|theatres?)|coming\s+to\s+(?:cinemas?|theaters?|theatres?)|on\s+(?:dvd|blu-?ray|streaming|netflix|amazon|hulu)"
+PLACES = (
+    "arena", "stadium", "theatre", "theater", "hall", "center", "centre", "club", "bar", "pub", "lounge", "room", "auditorium", "amphitheater", "amphitheatre", "pavilion", "garden", "gardens",
+    "park", "field", "coliseum", "dome", "forum", "palace", "house", "ballroom", "showroom", "casino", "hotel", "resort", "cinema", "cinemas", "multiplex",
+)
+_NAMED = rf"{_M}\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?|\d{{1,2}}(?:st|nd|rd|th)?\s+{_M}(?:\s+\d{{4}})?"
+_FIGURES = r"\d{1,2}[/-]\d{1,2}[/-](?:\d{4}|\d{2})"
+_DAY_MONTH = r"\d{1,2}[/-]\d{1,2}"
+
+
+def _dated(text: Column) -> Column:
+    """DD/MM[/YYYY] of a whole text that is a date, in words or figures; days up to 31, months up to 12."""
+
+    def read(t: Column) -> Column:
+        d, m = (F.regexp_extract(t, r"^(\d{1,2})[/-](\d{1,2})$", g) for g in (1, 2))
+        part = F.when(t.rlike(rf"^{_DAY_MONTH}$") & d.try_cast("int").between(1, 31) & m.try_cast("int").between(1, 12), F.concat(F.lpad(d, 2, "0"), F.lit("/"), F.lpad(m, 2, "0")))
+        return F.coalesce(part, F.when(t.rlike(rf"(?i)^(?:{_NAMED}|{_FIGURES})$"), T.normalise_date(t)))
+
+    return T.let(text, read)
 
 
 def split_venue_date(df: DataFrame, column: str) -> DataFrame:
-    """`df` with venue, date (DD/MM[/YYYY]), venue_year and venue_confidence of a text with a date at its end: 0.85 where
-    there is one, 1.0 where the text is a venue alone."""
-    ends = rf"(?i)^(.+?)\s+((?:{_M}\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?)|(?:\d{{1,2}}(?:st|nd|rd|th)?\s+{_M}(?:\s+\d{{4}})?)|(?:\d{{1,2}}[/-]\d{{1,2}}[/-](?:\d{{4}}|\d{{2}})))$"
-    c = F.col(column)
-    date = T.normalise_date(F.when(c.rlike(ends), F.regexp_extract(c, ends, 2)))
-    d = df.withColumn("date", date)
-    y = F.substring("date", 7, 4)
-    return d.withColumns({"venue": F.when(F.col("date").isNotNull(), F.regexp_extract(c, ends, 1)).otherwise(c), "venue_year": F.when(y != "", y).cast("int"), "venue_confidence": F.when(F.col("date").isNotNull(), 0.85).otherwise(1.0)})
+    """`df` with venue, date (DD/MM[/YYYY]), venue_year and venue_confidence of a text that may hold both: 0.9 for a release
+    phrase with a date, 0.85 for a date in words at the end, 0.9 in figures, 0.8 without its year; 0.8 for a date alone
+    (no venue), 1.0 for a venue alone, 0 for nothing."""
+    c = F.trim(F.col(column))
+
+    def ending(kind: str, confidence: float, front: str = ".+?") -> Column:
+        p = rf"(?i)^({front})\s+({kind})$"
+        date = F.when(c.rlike(p), _dated(F.trim(F.regexp_extract(c, p, 2))))
+        return T.let(date, lambda x: F.when(x.isNotNull(), F.struct(F.trim(F.regexp_extract(c, p, 1)).alias("venue"), x.alias("date"), F.lit(confidence).alias("confidence"))))
+
+    made = lambda v, d, x: F.struct(v.cast("string").alias("venue"), d.cast("string").alias("date"), F.lit(x).alias("confidence"))
+    alone = F.when(~F.lower(c).rlike("|".join(PLACES)), T.let(_dated(c), lambda x: F.when(x.isNotNull(), made(F.lit(None), x, 0.8))))
+    nothing = F.when(F.coalesce(c == "", F.lit(True)), made(F.lit(None), F.lit(None), 0.0))
+    found = F.coalesce(nothing, ending(".+", 0.9, RELEASE), ending(_NAMED, 0.85), ending(_FIGURES, 0.9), ending(_DAY_MONTH, 0.8), alone, made(c, F.lit(None), 1.0))
+    d = df.withColumn("_lw_split", found)
+    year = F.nullif(F.substring("_lw_split.date", 7, 4), F.lit(""))
+    return d.withColumns({"venue": F.col("_lw_split.venue"), "date": F.col("_lw_split.date"), "venue_year": year.cast("int"), "venue_confidence": F.col("_lw_split.confidence")}).drop("_lw_split")
 
 
 def date_parts(s: Column, pivot: int = 30) -> Column:

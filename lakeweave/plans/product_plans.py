@@ -50,11 +50,18 @@ def txt11_product_graph(spark, d):
     return P.product_graph(p)[1]
 
 
-@plan("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE strftime(o_orderdate, '%d/%m/%Y') END AS date, 'Rod Laver Arena' AS venue, CASE WHEN o_orderkey % 3 = 2 THEN 1.0 ELSE 0.85 END AS venue_confidence FROM orders")
+@plan("""WITH x AS (SELECT o_orderkey, o_orderkey % 8 AS k, o_orderdate AS t, c_name || CASE WHEN o_custkey % 2 = 0 THEN ' Hall' ELSE '' END AS v FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT o_orderkey, CASE k WHEN 0 THEN 'In cinemas' WHEN 6 THEN NULL ELSE v END AS venue,
+  CASE WHEN k = 7 THEN NULL WHEN k IN (3, 4) THEN strftime(t, '%d/%m') ELSE strftime(t, '%d/%m/%Y') END AS date, CASE WHEN k IN (3, 4, 7) THEN NULL ELSE year(t) END AS year,
+  [0.9, 0.85, 0.9, 0.8, 0.85, 0.9, 0.8, 1.0][k + 1]::DOUBLE AS confidence FROM x""")
 def fn16_venue_date(spark, d):
-    k = F.col("o_orderkey") % 3
-    raw = F.concat(F.lit("Rod Laver Arena"), F.when(k == 0, F.date_format("o_orderdate", " d MMMM yyyy")).when(k == 1, F.date_format("o_orderdate", " dd/MM/yyyy")).otherwise(""))
-    return P.split_venue_date(table(spark, d, "orders").select("o_orderkey", raw.alias("raw")), "raw").select("o_orderkey", "date", "venue", "venue_confidence")
+    f = lambda p: F.date_format("o_orderdate", p)
+    k = F.col("o_orderkey") % 8
+    j = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    v = F.concat("c_name", F.when(F.col("o_custkey") % 2 == 0, " Hall").otherwise(""))
+    forms = [F.concat(F.lit("In cinemas "), f("MMMM d, yyyy")), F.concat(v, f(" MMMM d yyyy")), F.concat(v, f(" dd/MM/yyyy")), F.concat(v, f(" d-M")), F.concat(v, f(" d MMM")), F.concat(v, f(" dd-MM-yy")), f("dd/MM/yyyy"), v]
+    out = P.split_venue_date(j.select("o_orderkey", F.coalesce(*[F.when(k == i, x) for i, x in enumerate(forms)]).alias("raw")), "raw")
+    return out.select("o_orderkey", "venue", "date", F.col("venue_year").alias("year"), F.col("venue_confidence").alias("confidence"))
 
 
 @plan("SELECT o_orderkey, day(o_orderdate) AS day, month(o_orderdate) AS month, year(o_orderdate) AS year, 0.9 AS confidence FROM orders")

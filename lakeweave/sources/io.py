@@ -54,10 +54,10 @@ def run_inventory(files: DataFrame) -> DataFrame:
     return g.select("run_id", F.when((F.col("p") > 0) & (F.col("c") > 0), "FULL").otherwise("PARTIAL").alias("kind"), "n_files", "n_pdf", "bytes").orderBy(F.desc("run_id"))
 
 
-def read_products(spark: SparkSession, path: str) -> DataFrame:
-    """Product JSON files; columns with several names are merged, missing lists are empty."""
+def read_products(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Product JSON, a file (or a line) each; columns with several names are merged, missing lists are empty."""
     schema = "product_name string, name string, product_code string, code string, product_url string, url string, product_categories array<string>, product_skus array<string>, container_sizes array<string>, pds_url string, sds_url string"
-    p = spark.read.schema(schema).json(path, multiLine=True)
+    p = spark.read.schema(schema).json(path, multiLine=not lines)
     empty = F.array().cast("array<string>")
     return p.select(F.coalesce("product_name", "name").alias("name"), F.coalesce("product_code", "code").alias("code"), F.coalesce("product_url", "url").alias("url"), F.coalesce("product_categories", empty).alias("categories"), F.coalesce("product_skus", "container_sizes", empty).alias("sizes"), F.col("pds_url").isNotNull().alias("has_pds"), F.col("sds_url").isNotNull().alias("has_sds"))
 
@@ -98,10 +98,10 @@ def backup(tables: dict[str, DataFrame], path: str, stamp: str) -> DataFrame:
     return manifest
 
 
-def archive(live: DataFrame, path: str, stamp: str) -> int:
-    """Append all live rows under archive_ts=<stamp>/; how many there were. The caller then overwrites the live table."""
+def archive(live: DataFrame, path: str, stamp: str) -> tuple[int, DataFrame]:
+    """Append all live rows under archive_ts=<stamp>/: how many there were, and the empty table that takes the live one's place."""
     live.write.mode("append").parquet(f"{path}/archive_ts={stamp}")
-    return live.sparkSession.read.parquet(f"{path}/archive_ts={stamp}").count()
+    return live.sparkSession.read.parquet(f"{path}/archive_ts={stamp}").count(), live.limit(0)
 
 
 def move(staging: DataFrame, live: DataFrame, keys: DataFrame, key: str, name: Column) -> tuple[DataFrame, DataFrame]:

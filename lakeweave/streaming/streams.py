@@ -29,20 +29,20 @@ def ingest_once(stream: DataFrame, target: str, checkpoint: str, content: str, a
     return hashed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def maintain_history(stream: DataFrame, target: Callable[[], DataFrame | None], save: Callable[[DataFrame], None], checkpoint: str, key: str, at: str, order: list[str], value: str) -> StreamingQuery:
-    """Keep a versioned table of a change stream: each batch rewrites the chains of the keys that it touches, so late events
-    fall into place. target() reads the log so far, save(log) replaces it."""
+def append_changes(stream: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream of changes to a log, each batch in a folder of its own that a repeated batch overwrites: exactly once,
+    and no batch rewrites what earlier ones wrote. `history_of` reads versions from the whole log, so late changes fall into
+    place."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        old = target()
-        log = batch if old is None else old.unionByName(batch).dropDuplicates([key, *order])
-        save(log)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def history_of(log: DataFrame, key: str, at: str, order: list[str], value: str) -> DataFrame:
-    return T.history(log, key, at, order, value)
+    """The versioned table of a log of changes; a change that is there twice counts once."""
+    return T.history(log.dropDuplicates([key, *order]), key, at, order, value)
 
 
 def refresh_work(work: DataFrame, changed: DataFrame, now: int, attempts: int = 3, retention_ms: int = 7 * 86_400_000) -> DataFrame:
