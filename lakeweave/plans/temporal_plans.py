@@ -63,7 +63,7 @@ def tmp6_relation_history(spark, d):
 
 @plan(f"WITH {REL} SELECT src, dst, relation_type, round(greatest(0.1, confidence * exp(greatest({NOW} - valid_from, 0) * ln(0.5) / (30 * 86400000.0))), 8) AS decayed FROM relations")
 def tmp7_decayed(spark, d):
-    return T.decayed(relations(spark, d, ("SUPPLIED_BY", "PLACED_BY")), NOW).select("src", "dst", "relation_type", F.round("decayed", 8).alias("decayed"))
+    return T.decayed(relations(spark, d), NOW).select("src", "dst", "relation_type", F.round("decayed", 8).alias("decayed"))
 
 
 @plan(f"""WITH {HIST}, broken AS (SELECT user_id, version + CASE WHEN user_id % 10 = 3 AND version > 2 THEN 1 ELSE 0 END AS version, valid_from, CASE WHEN user_id % 10 = 4 THEN valid_to + 5 ELSE valid_to END AS valid_to FROM hist),

@@ -71,15 +71,15 @@ def fn2_normalise_artist(spark, d):
     return table(spark, d, "customer").select("c_name", T.normalise_artist(F.concat(F.lit("The "), "c_name", F.lit(" Band feat. Someone"))).alias("artist")).distinct()
 
 
-_PAIRS = "pairs AS (SELECT DISTINCT least(a.p_name, b.p_name) AS a, greatest(a.p_name, b.p_name) AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_name <> b.p_name)"
+_PAIRS = "pairs AS (SELECT a, b FROM (SELECT p_name AS a, lead(p_name) OVER (PARTITION BY split_part(p_name, ' ', 1) ORDER BY p_name) AS b FROM (SELECT DISTINCT p_name FROM part)) WHERE b IS NOT NULL)"
 _JW = "(jaro_similarity(a, b) + 0.1 * (1 - jaro_similarity(a, b)) * (CASE WHEN a[1] <> b[1] THEN 0 WHEN a[2] <> b[2] THEN 1 WHEN a[3] <> b[3] THEN 2 WHEN a[4] <> b[4] THEN 3 ELSE least(4, length(a), length(b)) END))"
 
 
 def _name_pairs(spark, d):
-    """The names of each part and the next one: as many pairs as parts."""
-    p = table(spark, d, "part").select("p_partkey", "p_name")
-    j = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey").where("p_name != other")
-    return j.select(F.least("p_name", "other").alias("a"), F.greatest("p_name", "other").alias("b")).distinct()
+    """Each name and the next one, by order, of the same first word: as many pairs as names."""
+    p = table(spark, d, "part").select("p_name").distinct()
+    w = W.partitionBy(F.split_part("p_name", F.lit(" "), F.lit(1))).orderBy("p_name")
+    return p.select(F.col("p_name").alias("a"), F.lead("p_name").over(w).alias("b")).where("b is not null")
 
 
 @plan(f"WITH {_PAIRS} SELECT a, b, levenshtein(a, b) AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 8) AS similarity FROM pairs")
