@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Words of a chunk and of the overlap.
 CHUNK, OVERLAP = 533, 50
 #: Capitalised words between ASCII word boundaries.
@@ -16,12 +18,16 @@ def word_chunks(docs: DataFrame, id: str = "doc_id", text: str = "text", size: i
     """<id>, chunk_index, content, token_count. Chunk k starts at word k * (size - overlap); the rest of the text, if only the
     overlap, is a chunk too."""
     step = size - overlap
-    w = F.split(text, r"\s+")
-    n = F.greatest(F.lit(0), F.floor((F.size(w) - size) / step) + 1).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), n), lambda k: k * step)
-    at = docs.where(F.col(text).isNotNull()).select(id, w.alias("_w"), F.posexplode(starts).alias("chunk_index", "_s"))
-    part = F.slice("_w", F.col("_s") + 1, size)
-    return at.where(F.col("_s") < F.size("_w")).select(id, "chunk_index", F.array_join(part, " ").alias("content"), F.ceil(F.size(part) * 0.75).cast("int").alias("token_count"))
+
+    def chunks(w: Column) -> Column:
+        n = F.greatest(F.lit(0), F.floor((F.size(w) - size) / step) + 1).cast("int")
+        starts = F.filter(F.transform(F.sequence(F.lit(0), n), lambda k: k * step), lambda s: s < F.size(w))
+        part = lambda s: F.struct(F.array_join(F.slice(w, s + 1, F.lit(size)), " ").alias("content"), F.ceil(F.least(F.lit(size), F.size(w) - s) * 0.75).cast("int").alias("token_count"))
+        return F.transform(starts, part)
+
+    # Chunks are strings before they become rows, so that no row carries the whole text's words.
+    made = let(F.split(text, r"\s+"), chunks)
+    return docs.where(F.col(text).isNotNull()).select(id, F.posexplode(made).alias("chunk_index", "_c")).select(id, "chunk_index", "_c.content", "_c.token_count")
 
 
 def sentence_chunks(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 1000) -> DataFrame:

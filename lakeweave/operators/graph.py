@@ -179,6 +179,8 @@ def simple_paths(relations: DataFrame, pairs: DataFrame, depth: int = 4, per_pai
         if length < depth:
             full = found.groupBy("source", "target").agg(F.count("*").alias("c")).where(F.col("c") >= per_pair)
             live = cut(live.join(full, ["source", "target"], "left_anti"))
+            if live.isEmpty():
+                break
     r = F.row_number().over(W.partitionBy("source", "target").orderBy("length", F.array_join("path", ">")))
     return found.withColumn("rank", r).where(F.col("rank") <= per_pair).select("source", "target", "path", "length", "rank")
 

@@ -328,7 +328,10 @@ def txt12_category_tree(spark, d):
     return D.category_tree(table(spark, d, "part").select(F.regexp_replace("p_type", " ", "/").alias("path")).distinct(), "path")
 
 
-@plan()
+_CATEGORY = " ".join(f"WHEN regexp_matches(n, '{'|'.join(keys)}') THEN '{label}'" for label, keys in D.CATEGORIES)
+
+
+@plan(f"SELECT p_partkey, CASE {_CATEGORY} ELSE 'General Purpose' END AS category FROM (SELECT p_partkey, lower(p_name || ' ' || p_type) AS n FROM part)")
 def txt13_category(spark, d):
     return table(spark, d, "part").select("p_partkey", D.product_category(F.concat_ws(" ", "p_name", "p_type")).alias("category"))
 

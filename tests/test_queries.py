@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["agg3_top_connected", "gr9_clustering", "tmp5_many_times", "flt7_terms", "txt1_word_chunks", "vec1_cosine", "agg8_scores", "con1_values", "jn21_cascade"]
+SOME = ["agg3_top_connected", "gr9_clustering", "tmp5_many_times", "flt7_terms", "txt1_word_chunks", "vec1_cosine", "agg8_scores", "con1_values", "jn21_cascade", "gr5_closeness", "gr12_paths", "asm6_outcomes", "dq12_relations", "txt8_product_record", "str1_ingest", "str2_history"]
 
 
 def test_every_sql_has_its_query():
