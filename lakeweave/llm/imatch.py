@@ -2,13 +2,17 @@
 
 Terms are the distinct lower-cased runs of letters and digits of a text. The lexicon keeps the terms whose inverse
 document frequency ln(N / df) lies in a band; a lower frequency bound `df >= f * N` means it never holds more than
-(mean distinct terms of a document) / f terms, however large the corpus. A fingerprint has `SUBSETS` parts. Part 0 hashes
-all of a document's lexicon terms, sorted; part j hashes those in the j-th random lexicon subset, which keeps a term if
-the j-th hex digit of its md5 is small. A part without any term is empty ('-').
-
-Likeness of two fingerprints: equal parts among those that aren't empty in both; 1 for equal fingerprints.
-Null and empty texts, and texts without lexicon terms, have all parts empty: alike to each other, to nothing else.
-Repeated rows get equal fingerprints. Other columns stay; columns named fingerprint are replaced.
+(mean distinct terms of a document) / f terms, however large the corpus. A fingerprint begins with the hash of all of a
+document's lexicon terms, sorted (of its text, if there is none) and a level, the binary logarithm of their number (LEAST at least). Then come two parts for
+each of SUBSETS random lexicon subsets: the hash of the sorted terms that the subset keeps at this level and at the next one.
+At level l the terms' hashes deal the lexicon at random into 1.25 * 2**l subsets, of which the first SUBSETS count (at low
+levels, with fewer subsets than that, it is dealt again by other digits of the hashes). So about one term of the document
+falls into each, whatever its length, and many parts outlive an edit of half a text. A part without any term is '-'.
+
+Likeness of two fingerprints: 1 if they begin alike; else, over the levels that both have, equal parts among those that
+aren't empty in both. No common level or no such part: 0.
+Null texts count as empty, and two texts without lexicon terms are alike only if equal. Very long texts are read whole.
+Repeated rows get equal fingerprints, empty tables none. Other columns stay; columns named fingerprint are replaced.
 """
 
 from __future__ import annotations
@@ -19,11 +23,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: idf band, number of fingerprint parts, and the share (of 16) that the parts keep in turn.
+#: idf band, number of lexicon subsets that count, least level.
 IDF_LOW, IDF_HIGH = 1.5, 6.5
-SUBSETS, KEEP = 25, (8, 2, 1)
+SUBSETS, LEAST = 24, 3
 #: Largest lexicon that goes out with the plan; a larger one is joined.
-MAX_TERMS = 1 << 18
+MAX_TERMS = 1 << 17
 GAPS = r"[^\p{L}\p{N}]+"
 
 
@@ -40,55 +44,80 @@ def lexicon(docs: DataFrame, text: str = "text", idf_low: float = IDF_LOW, idf_h
 
 
 class Lexicon:
-    """The band's terms, ready for lookups inside expressions: an array of short lists, addressed by hash."""
+    """The band's terms and the numbers that deal them into subsets, ready for lookups inside expressions: an array of short
+    lists, addressed by hash. So a term's hash is worked out once a lexicon, not wherever the term occurs."""
 
     def __init__(self, terms: DataFrame):
-        self.terms = terms.select("term")
+        digits = [F.conv(F.substring(F.md5("term"), 8 * r + 1, 8), 16, 10).cast("long") for r in range(3)]
+        self.terms = terms.select("term", F.array(*digits).alias("v"))
         n = self.terms.count()
         self.shipped = n <= MAX_TERMS
         if self.shipped:
             self.slots = 1 << max(1, (2 * n).bit_length())
-            table: list[list[str]] = [[] for _ in range(self.slots)]
-            for r in self.terms.select("term", F.pmod(F.xxhash64("term"), F.lit(self.slots)).alias("at")).collect():
-                table[r["at"]].append(r["term"])
-            self.table = F.from_json(F.lit(json.dumps(table, ensure_ascii=False, separators=(",", ":"))), "array<array<string>>")
+            table: list[list[dict]] = [[] for _ in range(self.slots)]
+            for r in self.terms.select("term", "v", F.pmod(F.xxhash64("term"), F.lit(self.slots)).alias("at")).collect():
+                table[r["at"]].append({"w": r["term"], "v": r["v"]})
+            self.table = F.from_json(F.lit(json.dumps(table, ensure_ascii=False, separators=(",", ":"))), "array<array<struct<w: string, v: array<bigint>>>>")
 
     def kept(self, text: Column) -> Column:
-        """The text's distinct lexicon terms, sorted."""
+        """w, v of the text's distinct lexicon terms, sorted."""
         at = lambda w: F.element_at(self.table, (F.pmod(F.xxhash64(w), F.lit(self.slots)) + 1).cast("int"))
-        return F.array_sort(F.filter(terms_of(text), lambda w: F.array_contains(at(w), w)))
+        return F.array_sort(F.flatten(F.transform(terms_of(text), lambda w: F.filter(at(w), lambda x: x["w"] == w))))
+
+
+def _let(x: Column, body) -> Column:
+    """`body(x)` with x worked out once."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
 
+def fingerprint_of(kept: Column, text: Column) -> Column:
+    """Whole hash, level and parts of sorted lexicon terms (w, v), joined by blanks."""
 
-def fingerprint_of(kept: Column) -> Column:
-    """The parts of sorted lexicon terms, joined by blanks."""
-    hashed = F.transform(kept, lambda w: F.struct(w.alias("w"), F.md5(w).alias("h")))
+    def short(terms: Column) -> Column:
+        return F.when(F.size(terms) == 0, "-").otherwise(F.substring(F.md5(F.array_join(F.transform(terms, lambda t: t["w"]), " ")), 1, 8))
 
-    def in_subset(j: int):
-        return lambda t: F.substring(t["h"], j, 1) < f"{KEEP[j % len(KEEP)]:x}"
+    def dealt(terms: Column, many: Column) -> Column:
+        """j, w of the terms that the first SUBSETS of `many` subsets keep."""
 
-    def parts(terms: Column) -> Column:
-        out = [F.array_join(F.transform(terms, lambda t: t["w"]), " ")]
-        out += [F.array_join(F.transform(F.filter(terms, in_subset(j)), lambda t: t["w"]), " ") for j in range(1, SUBSETS)]
-        return F.array_join(F.transform(F.array(*out), lambda p: F.when(p == "", "-").otherwise(F.substring(F.md5(p), 1, 12))), " ")
+        def turn(r: Column) -> Column:
+            return F.filter(F.transform(terms, lambda t: F.struct((F.shiftright(F.get(t["v"], r) * many, 32) + r * many).alias("j"), t["w"].alias("w"))), lambda x: x["j"] < SUBSETS)
 
-    return F.get(F.transform(F.array(hashed), parts), F.lit(0))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.lit(SUBSETS - 1) / many).cast("int")), turn))
+
+    def parts(terms: Column, many: Column) -> Column:
+        return _let(dealt(terms, many), lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: short(F.filter(d, lambda x: x["j"] == j))), " "))
+
+    def at_level(terms: Column, level: Column) -> Column:
+        whole = F.md5(F.when(F.size(terms) > 0, F.array_join(F.transform(terms, lambda t: t["w"]), " ")).otherwise(text))
+        both = F.transform(F.array(level, level + 1), lambda k: _let(F.shiftright(F.call_function("shiftleft", F.lit(5).cast("long"), k), 2), lambda many: parts(terms, many)))
+        return F.concat_ws(" ", whole, level.cast("string"), both)
+
+    return _let(kept, lambda terms: _let(F.greatest(F.length(F.bin(F.size(terms).cast("long"))) - 1, F.lit(LEAST)), lambda level: at_level(terms, level)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    pairs = F.filter(F.arrays_zip(F.split(a, " ").alias("a"), F.split(b, " ").alias("b")), lambda x: (x["a"] != "-") | (x["b"] != "-"))
-    of = lambda p: F.when(F.size(p) == 0, 1.0).otherwise(F.size(F.filter(p, lambda x: x["a"] == x["b"])) / F.size(p))
-    return F.get(F.transform(F.array(pairs), of), F.lit(0))
+    def of(x: Column, y: Column) -> Column:
+        ahead = F.get(y, F.lit(1)).cast("int") - F.get(x, F.lit(1)).cast("int")
+        n = F.when(ahead == 0, 2 * SUBSETS).when(F.abs(ahead) == 1, SUBSETS).otherwise(0)
+        part = lambda z, late: F.slice(z, F.when(late, 3 + SUBSETS).otherwise(3), n)
+        pairs = F.filter(F.arrays_zip(part(x, ahead == 1).alias("a"), part(y, ahead == -1).alias("b")), lambda p: (p["a"] != "-") | (p["b"] != "-"))
+        share = _let(pairs, lambda p: F.when(F.size(p) == 0, 0.0).otherwise(F.size(F.filter(p, lambda q: q["a"] == q["b"])) / F.size(p)))
+        return F.when(F.get(x, F.lit(0)) == F.get(y, F.lit(0)), 1.0).otherwise(share)
+
+    return _let(F.struct(F.split(a, " ").alias("x"), F.split(b, " ").alias("y")), lambda z: of(z["x"], z["y"]))
 
 
 def fingerprint(docs: DataFrame, held: Lexicon, text: str = "text", into: str = "fingerprint") -> DataFrame:
     """`docs` with a column `into`."""
     if held.shipped:
-        return docs.withColumn(into, fingerprint_of(held.kept(F.col(text))))
+        return docs.withColumn(into, fingerprint_of(held.kept(F.col(text)), F.coalesce(F.col(text), F.lit(""))))
     row = F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.coalesce(F.md5(text), F.lit(""))
     keyed = docs.drop(into).withColumns({"_lw_a": row[0], "_lw_b": row[1]})
-    words = keyed.select("_lw_a", "_lw_b", F.explode(terms_of(F.col(text))).alias("term")).join(held.terms, "term").distinct()
-    found = words.groupBy("_lw_a", "_lw_b").agg(F.array_sort(F.collect_set("term")).alias("_t")).select("_lw_a", "_lw_b", fingerprint_of(F.col("_t")).alias(into))
-    return keyed.join(found, ["_lw_a", "_lw_b"], "left").withColumn(into, F.coalesce(into, fingerprint_of(F.array().cast("array<string>")))).drop("_lw_a", "_lw_b")
+    words = keyed.select("_lw_a", "_lw_b", F.explode(terms_of(F.col(text))).alias("term")).distinct().join(held.terms, "term")
+    found = words.groupBy("_lw_a", "_lw_b").agg(F.array_sort(F.collect_list(F.struct(F.col("term").alias("w"), "v"))).alias("_lw_terms"))
+    kept = F.coalesce("_lw_terms", F.array().cast("array<struct<w: string, v: array<bigint>>>"))
+    out = keyed.join(found, ["_lw_a", "_lw_b"], "left")
+    return out.withColumn(into, fingerprint_of(kept, F.coalesce(F.col(text), F.lit("")))).drop("_lw_a", "_lw_b", "_lw_terms")
 
 
 def edited(text: Column, following: Column) -> Column:
