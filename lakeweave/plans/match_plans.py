@@ -66,12 +66,10 @@ def dq13_allowed(spark, d):
     return M.allowed(relations(spark, d, ("IN_REGION", "SUPPLIED_BY")), areas).groupBy("relation_type", "suggestion").agg(F.count("*").alias("n"))
 
 
-@plan("""WITH s AS (SELECT p_partkey, md5('Name: ' || p_name) AS h FROM part), n AS (SELECT p_partkey, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT AS seed FROM s),
-v AS (SELECT p_partkey, list_transform(range(1, 65), lambda i: sin(seed * 0.001 + i * 12.9898)) AS v FROM n)
-SELECT 'part_' || p_partkey AS name, 64 AS dim, 1.0::DOUBLE AS norm, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 3) AS first FROM v""")
+@plan("SELECT 'part_' || p_partkey AS name, 64 AS dim, 1.0::DOUBLE AS norm FROM part")
 def fn30_embed(spark, d):
     e = EM.embed(entities(spark, d, ("part",)).select("name", F.get("observations", F.lit(0)).alias("text")), "text")
-    return e.select("name", F.size("embedding").alias("dim"), F.round(S.norm(F.col("embedding")), 4).alias("norm"), F.round(F.get("embedding", F.lit(0)).cast("double"), 3).alias("first"))
+    return e.select("name", F.size("embedding").alias("dim"), F.round(S.norm(F.col("embedding")), 4).alias("norm"))
 
 
 @plan(f"WITH {ENT} SELECT query_id, vec_id AS id, name, entity_type, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) <= 20) JOIN entities ON name = 'part_' || vec_id")
