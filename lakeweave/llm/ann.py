@@ -8,9 +8,14 @@ reaches the k-th largest lower bound are compared exactly, in double precision.
 
 A query looks into its `probes` best cells by inner product with the centroid, and further ones until they hold more than k
 vectors. Unless given, `probes` is the least number that finds TARGET of the true neighbours of some sample vectors in the
-sample: few where vectors gather in clusters, most cells where they hardly do. Cells are dealt into groups of about BLOCK vectors and BLOCK queries, so a cell with a third of all vectors is many
-groups. Vectors that are null, empty or zero, hold null or non-finite components, or aren't of the most frequent dimension
-take no part. Ties go to the smaller id; repeated ids are ranked each. An empty table gives an empty result.
+sample: few where vectors gather in clusters, most cells where they hardly do. Cells are dealt into groups of about BLOCK
+vectors and BLOCK queries, so a cell with a third of all vectors is many groups.
+
+Vectors that are null, empty or zero, or hold null or non-finite components take no part; a shorter vector counts as if zeros
+followed. Candidates are all rows but the query's own, so a second row of its id is one, and repeated ids are ranked each. A
+query row that is there more than once, with equal id and vector, is asked once; different vectors of one id are queries of
+their own. Ties go to the smaller id. Other columns of the table are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, least_hashes
 
-#: Vectors to fit centroids on, at most; fewest vectors for more than one cell; most cells.
-SAMPLE, ONE_CELL, MOST_CELLS = 20_000, 2_000, 4096
+#: Vectors to fit centroids on: at least (if there are as many), a cell, at most; fewest vectors for more than one cell;
+#: most cells. Cells grow with the root of the number of vectors, so up to MOST_CELLS**2 vectors cells stay that small.
+SAMPLE, PER_CELL, MOST_SAMPLE, ONE_CELL, MOST_CELLS = 20_000, 6, 100_000, 2_000, 16_384
 BLOCK = 4096
 #: Share of the sample's true neighbours that the probed cells have to hold; queries of the sample to find that out.
 TARGET, TRIALS = 0.97, 300
@@ -93,9 +99,9 @@ def _probes(index: Index, x: np.ndarray, k: int) -> int:
 
 def _group(k: int, rotation: np.ndarray, centroids: np.ndarray):
     def run(key: tuple, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        out = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
         if len(vectors) and len(queries):
-            ids = vectors["vec_id"].to_numpy()
+            ids, rows = vectors["vec_id"].to_numpy(), vectors["row"].to_numpy()
             x = np.vstack(vectors["embedding"].to_numpy()).astype(np.float64)
             q = np.vstack(queries["embedding"].to_numpy()).astype(np.float64)
             d = rotation.shape[1]
@@ -108,18 +114,18 @@ def _group(k: int, rotation: np.ndarray, centroids: np.ndarray):
                 norm = np.sqrt((some**2).sum(axis=1))
                 estimate = (some @ c)[:, None] + ((some @ rotation).astype(np.float32) @ bits.T) * (length / with_code / np.sqrt(d))
                 error = norm[:, None] * (length * np.sqrt(np.maximum(1 - with_code**2, 0)) / with_code * SIGMAS / np.sqrt(max(d - 1, 1)))
+                own = queries["query_row"].to_numpy()[a : a + 256, None] == rows
+                low = np.where(own, -np.inf, estimate - error)
+                near = ~own
                 if len(x) > k:
-                    least = np.partition(estimate - error, len(x) - k - 1, axis=1)[:, len(x) - k - 1]
-                    near = estimate + error >= least[:, None]
-                else:
-                    near = np.ones(estimate.shape, bool)
-                for i, query in enumerate(queries["query_id"].to_numpy()[a : a + 256]):
-                    at = np.flatnonzero(near[i] & (ids != query))
+                    near &= estimate + error >= np.partition(low, len(x) - k, axis=1)[:, [len(x) - k]]
+                for i, (query, query_row) in enumerate(zip(queries["query_id"].to_numpy()[a : a + 256], queries["query_row"].to_numpy()[a : a + 256], strict=True)):
+                    at = np.flatnonzero(near[i])
                     s = (x[at] * some[i]).sum(axis=1)
                     top = np.lexsort((ids[at], -s))[:k]
-                    found.append((np.full(len(top), query), ids[at[top]], s[top]))
+                    found.append((np.full(len(top), query), np.full(len(top), query_row), ids[at[top]], s[top]))
             out = [np.concatenate(x) for x in zip(*found, strict=True)]
-        return pd.DataFrame({"query_id": out[0], "vec_id": out[1], "score": out[2]})
+        return pd.DataFrame(dict(zip(("query_id", "query_row", "vec_id", "score"), out, strict=True)))
 
     return run
 
@@ -128,16 +134,17 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id",
     """query_id, rank (from 1), vec_id, score: each query's k nearest found among all other rows of `table`, nearest first."""
     named = table.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     named = named.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    d = named.agg(F.mode(F.size("embedding"))).first()[0]
+    d, n = named.agg(F.max(F.size("embedding")), F.count("*")).first()
     spark = table.sparkSession
     if d is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    named = named.where(F.size("embedding") == d)
-    n = named.count()
+    size = F.size("embedding")
+    named = named.withColumn("embedding", F.when(size == d, F.col("embedding")).otherwise(F.concat("embedding", F.array_repeat(F.lit(0.0).cast("float"), F.lit(d) - size))))
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.normal(size=(d, d)))[0]
     cells = 1 if n < ONE_CELL else min(MOST_CELLS, int(n**0.5))
-    sample = named.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE if cells > 1 else 1).toArrow()
+    want = min(MOST_SAMPLE, max(SAMPLE, PER_CELL * cells)) if cells > 1 else 1
+    sample = named.where(F.xxhash64("vec_id") <= least_hashes(want, F.lit(n))).select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(want).toArrow()
     x = _matrix(sample.column("embedding").combine_chunks())
     fitted = Index(_kmeans(x, min(cells, len(x)), rng), rotation, np.zeros(0))
     probes = probes or (_probes(fitted, x, k) if cells > 1 else 1)
@@ -152,7 +159,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id",
                 bits, length, with_code = m.encode(v, cell)
                 yield pa.record_batch([*batch.columns, pa.array(cell.astype(np.int32)), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(length), pa.array(with_code)], [*batch.schema.names, "cell", "code", "length", "with_code"])
 
-    coded = cut(named.mapInArrow(code, "vec_id long, embedding array<float>, asks boolean, cell int, code binary, length double, with_code double"))
+    coded = named.mapInArrow(code, "vec_id long, embedding array<float>, asks boolean, cell int, code binary, length double, with_code double")
+    coded = cut(coded.withColumn("row", F.monotonically_increasing_id()))
     sizes = coded.groupBy("cell").agg(F.count("*").alias("n")).collect()  # at most MOST_CELLS rows
     counts = np.zeros(len(sent.value.centroids), np.int64)
     for r in sizes:
@@ -162,7 +170,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id",
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = index.value
         for batch in batches:
-            v = _matrix(batch.column(1)) if batch.num_rows else np.zeros((0, d))
+            v = _matrix(batch.column(2)) if batch.num_rows else np.zeros((0, d))
             for a in range(0, len(v), 512):
                 order = np.argsort(-(v[a : a + 512] @ m.centroids.T), axis=1, kind="stable")
                 held = np.cumsum(m.counts[order], axis=1)
@@ -171,17 +179,18 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id",
                 take = (np.arange(order.shape[1]) < last[:, None]) & (m.counts[order] > 0)
                 row, at = np.nonzero(take)
                 pick = pa.array(a + row)
-                yield pa.record_batch([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(order[row, at].astype(np.int32))], ["query_id", "embedding", "cell"])
+                yield pa.record_batch([batch.column(0).take(pick), batch.column(1).take(pick), batch.column(2).take(pick), pa.array(order[row, at].astype(np.int32))], ["query_id", "query_row", "embedding", "cell"])
 
-    asked = cut(coded.where("asks").select("vec_id", "embedding").mapInArrow(probe, "query_id long, embedding array<float>, cell int"))
+    asks = coded.where("asks").groupBy("vec_id", F.md5(F.col("embedding").cast("string")).alias("of")).agg(F.min(F.struct("row", "embedding")).alias("q"))
+    asked = cut(asks.select("vec_id", "q.row", "q.embedding").mapInArrow(probe, "query_id long, query_row long, embedding array<float>, cell int"))
     load = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_parts"))
     parts = coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_parts")).join(load, "cell")
     parts = F.broadcast(parts)
     part = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    v = coded.join(parts, "cell").withColumn("v_part", part("vec_id", "v_parts")).withColumn("q_part", each("q_parts"))
-    q = asked.join(parts, "cell").withColumn("q_part", part("query_id", "q_parts")).withColumn("v_part", each("v_parts"))
+    v = coded.join(parts, "cell").withColumn("v_part", part("row", "v_parts")).withColumn("q_part", each("q_parts"))
+    q = asked.join(parts, "cell").withColumn("q_part", part("query_row", "q_parts")).withColumn("v_part", each("v_parts"))
     key = ["cell", "v_part", "q_part"]
-    found = v.select(*key, "vec_id", "embedding", "code", "length", "with_code").groupBy(*key).cogroup(q.select(*key, "query_id", "embedding").groupBy(*key)).applyInPandas(_group(k, rotation, sent.value.centroids), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = v.select(*key, "row", "vec_id", "embedding", "code", "length", "with_code").groupBy(*key).cogroup(q.select(*key, "query_id", "query_row", "embedding").groupBy(*key)).applyInPandas(_group(k, rotation, sent.value.centroids), "query_id long, query_row long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
