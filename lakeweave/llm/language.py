@@ -3,13 +3,16 @@
 A word is a run of letters, A-Z lower-cased, with the vocabulary's word mark before it. Under a language it has the
 probability of all its segmentations into pieces of the vocabulary (single bytes are pieces too, so there always is one):
 a forward algorithm over its bytes adds them up. The piece probabilities of each language are learned by expectation
-maximisation, with forward and backward sums. A word's log-likelihoods are worked out once a process, for all languages.
+maximisation, with forward and backward sums. A word's log-likelihoods are worked out once a process, for all languages;
+words are never cut for that, however long: only the sums of the last bytes are held, scaled as they go.
 
 A text's language is the one with the largest sum over its words (ties: the least name); its score is that language's
-posterior with equal priors. Texts that are null or have no letter are `und` with score 0. Whole texts are read.
+posterior with equal priors. Texts that are null or have no letter are `und` with score 0. Whole texts are read; repeated
+rows are predicted alike.
 
 Training rows are a bounded sample: for each language the `per_language` rows with the least hash of their id, with whole
-texts. Without any language everything is `und`. Extra columns stay; lang_pred and score are replaced.
+texts; of words over LONG_WORD bytes, which have to be held whole for the backward sums, all parts of about that length
+count, cut between characters. Without any language everything is `und`. Extra columns stay; lang_pred and score are replaced.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import words
-from .tables import cut, drop
+from .tables import cut, drop, least_hashes
 from .toxicity import GAP
 
-#: Rows of each language to learn from, at most; rounds of expectation maximisation; longest piece in bytes.
-PER_LANGUAGE, ROUNDS, LONGEST = 600, 3, 16
-#: Longer words count in parts of so many bytes.
-LONG_WORD = 64
+#: Rows of each language to learn from, at most; rounds of expectation maximisation.
+PER_LANGUAGE, ROUNDS = 600, 3
+#: In training, longer words count in parts of so many bytes. Bytes of words summed at once in prediction.
+LONG_WORD, AT_ONCE = 64, 1 << 17
 SMOOTH = 0.1
 MARK = "▁".encode()
 
@@ -51,7 +54,7 @@ def vocabulary(path: str) -> list[bytes]:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).encode()
         bare = piece.removeprefix(MARK)
-        if bare and len(piece) <= LONGEST and MARK not in bare and not any(GAP[b] for b in words.LOWER[np.frombuffer(bare, np.uint8)]):
+        if bare and MARK not in bare and not any(GAP[b] for b in words.LOWER[np.frombuffer(bare, np.uint8)]):
             found.add(words.LOWER[np.frombuffer(piece, np.uint8)].tobytes())
     return sorted(found)
 
@@ -65,52 +68,64 @@ def _hashed(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lattice:
-    """The pieces that end at each byte of a batch of words."""
+    """The pieces that end at each byte of a batch of words; longest: bytes of the longest piece."""
 
-    def __init__(self, texts: list[bytes], keys: np.ndarray, order: np.ndarray):
+    def __init__(self, texts: list[bytes], keys: np.ndarray, order: np.ndarray, longest: int):
         texts = [MARK + t for t in texts]
-        size = np.array([len(t) for t in texts], np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        h = words.Hasher(data)
-        start = np.cumsum(size) - size
-        self.n, self.size = len(texts), size
-        #: By end position: (words, begin position, piece) of all pieces there.
-        self.steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for j in range(1, int(size.max(initial=0)) + 1):
-            w = np.flatnonzero(size >= j)
-            ws, bs, ps = [], [], []
-            for length in range(1, min(j, LONGEST) + 1):
-                x = h(start[w] + j - length, start[w] + j)
-                at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-                ok = keys[at] == x
-                ws.append(w[ok])
-                ps.append(order[at[ok]])
-                bs.append(np.full(int(ok.sum()), j - length))
-            self.steps.append((np.concatenate(ws), np.concatenate(bs), np.concatenate(ps)))
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Sums over all segmentations of the first bytes (words x positions x languages)."""
-        alpha = np.zeros((self.n, len(self.steps) + 1, p.shape[1]))
-        alpha[:, 0] = 1.0
-        for j, (w, b, piece) in enumerate(self.steps, 1):
-            add = alpha[w, b] * p[piece]
-            for k in range(p.shape[1]):
-                alpha[:, j, k] = np.bincount(w, add[:, k], self.n)
-        return alpha
+        self.n, self.size = len(texts), np.array([len(t) for t in texts], np.int64)
+        self.keys, self.order, self.longest = keys, order, longest
+        self.hash = words.Hasher(np.frombuffer(b"".join(texts), np.uint8))
+        self.start = np.cumsum(self.size) - self.size
+
+    def step(self, j: int, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, begin positions and pieces of all pieces that end at position j of the words w."""
+        ws, bs, ps = [], [], []
+        for length in range(1, min(j, self.longest) + 1):
+            x = self.hash(self.start[w] + j - length, self.start[w] + j)
+            at = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
+            ok = self.keys[at] == x
+            ws.append(w[ok])
+            ps.append(self.order[at[ok]])
+            bs.append(np.full(int(ok.sum()), j - length))
+        return np.concatenate(ws), np.concatenate(bs), np.concatenate(ps)
+
+    def steps(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for j in range(1, int(self.size.max(initial=0)) + 1):
+            yield j, *self.step(j, np.flatnonzero(self.size >= j))
 
     def log_likelihood(self, p: np.ndarray) -> np.ndarray:
-        alpha = self.forward(p)
-        return np.log(np.maximum(alpha[np.arange(self.n), self.size], 1e-300))
+        """Logarithms of the sums over all segmentations (words x languages). A ring holds the sums of the last positions."""
+        ring = self.longest + 1
+        alpha, scale = np.zeros((self.n, ring, p.shape[1])), np.zeros((self.n, p.shape[1]))
+        alpha[:, 0] = 1.0
+        out = np.zeros((self.n, p.shape[1]))
+        for j, w, b, piece in self.steps():
+            add = alpha[w, b % ring] * p[piece]
+            for k in range(p.shape[1]):
+                alpha[:, j % ring, k] = np.bincount(w, add[:, k], self.n)
+            done = np.flatnonzero(self.size == j)
+            out[done] = np.log(np.maximum(alpha[done, j % ring], 1e-300)) + scale[done]
+            if j % 16 == 0:
+                open_ = np.flatnonzero(self.size > j)
+                top = np.maximum(alpha[open_].max(axis=1), 1e-300)
+                alpha[open_] /= top[:, None]
+                scale[open_] += np.log(top)
+        return out
 
     def expected(self, p: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Expected numbers of pieces (pieces x languages), for words with `count` (words x languages)."""
-        alpha = self.forward(p)
+        found = list(self.steps())
+        alpha = np.zeros((self.n, len(found) + 1, p.shape[1]))
+        alpha[:, 0] = 1.0
+        for j, w, b, piece in found:
+            add = alpha[w, b] * p[piece]
+            for k in range(p.shape[1]):
+                alpha[:, j, k] = np.bincount(w, add[:, k], self.n)
         beta = np.zeros_like(alpha)
         beta[np.arange(self.n), self.size] = 1.0
         total = np.maximum(alpha[np.arange(self.n), self.size], 1e-300)
         out = np.zeros_like(p)
-        for j in range(len(self.steps), 0, -1):
-            w, b, piece = self.steps[j - 1]
+        for j, w, b, piece in reversed(found):
             add = beta[w, j] * p[piece]
             np.add.at(beta, (w, b), add)
             seen = alpha[w, b] * add / total[w] * count[w]
@@ -119,8 +134,16 @@ class Lattice:
         return out
 
 
-def _short(texts: list[bytes]) -> list[bytes]:
-    return [t[:LONG_WORD] for t in texts]
+def parts(word: bytes, size: int = LONG_WORD) -> list[bytes]:
+    """The word in parts of at most `size` bytes (and a character), cut between characters."""
+    out, a = [], 0
+    while a < len(word):
+        b = min(a + size, len(word))
+        while b < len(word) and word[b] & 0xC0 == 0x80:
+            b += 1
+        out.append(word[a:b])
+        a = b
+    return out
 
 
 @dataclass
@@ -130,13 +153,19 @@ class Model:
     order: np.ndarray
     p: np.ndarray
 
+    longest: int
+
     def words(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.languages)))
-        parts = [(i, t[a : a + LONG_WORD]) for i, t in enumerate(texts) for a in range(0, len(t), LONG_WORD)]
-        parts.sort(key=lambda x: len(x[1]))
-        for a in range(0, len(parts), 4000):
-            some = parts[a : a + 4000]
-            np.add.at(out, [i for i, _ in some], Lattice([t for _, t in some], self.keys, self.order).log_likelihood(self.p))
+        size = np.array([len(t) for t in texts], np.int64)
+        todo = np.argsort(size, kind="stable")
+        ends = np.cumsum(size[todo] + len(MARK))
+        a = 0
+        while a < len(todo):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + AT_ONCE)))
+            some = todo[a:b]
+            out[some] = Lattice([texts[i] for i in some.tolist()], self.keys, self.order, self.longest).log_likelihood(self.p)
+            a = b
         return out.astype(np.float32)
 
     def sums(self, memo: words.Memo, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -169,35 +198,42 @@ def learn(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", la
     """Fit on a bounded sample of the rows of `docs` with a language. Expected piece counts come from Spark's tasks; what
     reaches the driver is a table of vocabulary x languages."""
     known = docs.select(F.col(id).alias("doc"), F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    rank = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit(5)), "_id"))
-    ids = known.select(F.col("lang").alias("_lang"), F.col("doc").alias("_id")).withColumn("r", rank).where(F.col("r") <= per_language)
+    hashed = F.xxhash64("_id", F.lit(5))
+    named = known.select(F.col("lang").alias("_lang"), F.col("doc").alias("_id"))
+    most = named.groupBy("_lang").agg(least_hashes(per_language, F.count("*")).alias("_most"))
+    rank = F.row_number().over(W.partitionBy("_lang").orderBy(hashed, "_id"))
+    ids = named.join(F.broadcast(most), "_lang").where(hashed <= F.col("_most")).withColumn("r", rank).where(F.col("r") <= per_language)
     picked = known.join(F.broadcast(ids.select("_id", "_lang")), (F.col("doc") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
     counted = cut(picked.mapInArrow(_counts, "lang string, word binary, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")))
     languages = sorted(r[0] for r in counted.select("lang").distinct().collect())
     if not languages:
         drop(counted)
         return None
-    keys, order = _hashed(vocabulary(path))
+    vocab = vocabulary(path)
+    keys, order = _hashed(vocab)
+    longest = max(map(len, vocab))
     wide = cut(counted.groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("by")))
     drop(counted)
     p = np.full((len(keys), len(languages)), 1 / len(keys))
     for _ in range(ROUNDS):
-        sent = wide.sparkSession.sparkContext.broadcast(Model(languages, keys, order, p))
+        sent = wide.sparkSession.sparkContext.broadcast(Model(languages, keys, order, p, longest))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             m = sent.value
             number = {x: k for k, x in enumerate(m.languages)}
             total = np.zeros_like(m.p)
             for batch in batches:
-                texts = _short(batch.column(0).to_pylist())
-                count = np.zeros((len(texts), len(number)))
+                cut_up = [parts(t) for t in batch.column(0).to_pylist()]
+                texts = [x for t in cut_up for x in t]
+                count = np.zeros((len(cut_up), len(number)))
                 for i, by in enumerate(batch.column(1).to_pylist()):
                     for x in by:
                         count[i, number[x["lang"]]] = x["n"]
+                count = np.repeat(count, [len(t) for t in cut_up], axis=0)
                 todo = np.argsort([len(t) for t in texts], kind="stable")
                 for a in range(0, len(todo), 4000):
                     w = todo[a : a + 4000]
-                    total += Lattice([texts[i] for i in w], m.keys, m.order).expected(m.p, count[w])
+                    total += Lattice([texts[i] for i in w], m.keys, m.order, m.longest).expected(m.p, count[w])
             piece, k = np.nonzero(total)
             yield pa.record_batch([pa.array(piece), pa.array(k), pa.array(total[piece, k])], ["piece", "k", "n"])
 
@@ -205,9 +241,9 @@ def learn(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", la
         n = np.full_like(p, SMOOTH)
         n[found.column("piece").to_numpy(), found.column("k").to_numpy()] += found.column("n").to_numpy()
         p = n / n.sum(axis=0)
-        sent.unpersist()
+        sent.destroy()
     drop(wide)
-    return Model(languages, keys, order, p)
+    return Model(languages, keys, order, p, longest)
 
 
 _loaded: dict[str, tuple[Model, words.Memo]] = {}
