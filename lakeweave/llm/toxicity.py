@@ -85,6 +85,9 @@ class Model:
     #: For each kind from 1: n-grams, their discounted shares, contexts, and what each leaves to the next lower order.
     kinds: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     curve: tuple[float, ...] = (0.0,) * (FEATURES + 1)
+    #: Least and largest features of the training texts; beyond, the curve is not carried on.
+    least: np.ndarray | float = -np.inf
+    most: np.ndarray | float = np.inf
 
     @staticmethod
     def collected(tables: DataFrame, fit: str) -> Model:
@@ -157,6 +160,7 @@ class Model:
         return out
 
     def probability(self, features: np.ndarray) -> np.ndarray:
+        features = np.clip(features, self.least, self.most)
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + features @ np.array(self.curve[1:]), -30, 30)))
 
 
@@ -266,7 +270,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         drop(sample)
         return None
     found = tables(sample)
-    curve = (0.0, 0.0, 1.0, *(0.0,) * (FEATURES - 2))
+    curve, least, most = (0.0, 0.0, 1.0, *(0.0,) * (FEATURES - 2)), -np.inf, np.inf
     if len(worded) == 4:
         x, y = [], []
         for k in (0, 1):
@@ -275,9 +279,10 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
             sent.destroy()
             x.append(np.column_stack([seen.column(f"f{i}") for i in range(FEATURES)]))
             y.append(np.asarray(seen.column("label")))
-        curve = _logistic(np.concatenate(x), np.concatenate(y))
+        x = np.concatenate(x)
+        curve, least, most = _logistic(x, np.concatenate(y)), x.min(axis=0), x.max(axis=0)
     model = Model.collected(found, "both")
-    model.curve = curve
+    model.curve, model.least, model.most = curve, least, most
     drop(sample, found)
     return model
 
