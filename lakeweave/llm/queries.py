@@ -189,3 +189,43 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         model = f.read()
     docs = pieces.decode(pieces.encode(parquet(spark, sf_dir, "documents").select("doc_id", "text"), model, differing="n_differing"), model)
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"), "n_differing")
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import copies
+
+    return copies(parquet(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLE["op12_exact_dedup"] = r"""
+WITH rows AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+best AS (SELECT body, count(*) AS group_size, max(n) AS n FROM rows GROUP BY body),
+ids AS (SELECT body, min(doc_id) AS keep_id FROM rows JOIN best USING (body, n) GROUP BY body)
+SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, doc_id IS NULL AND keep_id IS NULL) AND rows.n = best.n AS kept, sha256(body) AS text_sha256
+FROM rows JOIN best USING (body) JOIN ids USING (body)
+"""
+
+
+@query
+def op13_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(parquet(spark, sf_dir, "documents").select("doc_id", "text"), parquet(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+ORACLE["op13_bag_search"] = r"""
+WITH words AS (
+  SELECT doc_id, rn, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS rn FROM documents)),
+bags AS MATERIALIZED (SELECT doc_id, rn, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT rn, sum(tf)::BIGINT AS n FROM bags GROUP BY rn),
+totals AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM lengths),
+held AS (SELECT term, count(*) AS df FROM bags GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scores AS (
+  SELECT item_id, doc_id, rn, sum(floor(1000 * ln((2.0 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // l))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN bags USING (term) JOIN lengths USING (rn), totals GROUP BY item_id, doc_id, rn)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
