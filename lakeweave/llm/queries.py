@@ -229,3 +229,40 @@ scores AS (
 SELECT item_id, rank::INTEGER AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
 """
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import rebuilt, trie
+
+    return trie(rebuilt(parquet(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+#: crc32 of the decimal id as a fold over its characters, eight shifts after each.
+ORACLE["op11_prefix_trie"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS pos,
+         {'role': role, 'text': text} AS t FROM rows),
+own AS (SELECT conv_id, list(t ORDER BY pos) AS ts FROM turns GROUP BY conv_id),
+heads AS (
+  SELECT *, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
+           flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END) END)) % 4 AS h FROM own),
+whole AS (
+  SELECT c.conv_id, list_concat(coalesce(b.ts, [])[1:c.h], c.ts[c.h + 1:]) AS ts FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+steps AS MATERIALIZED (SELECT conv_id, len(ts) AS n, d, ts[1:d] AS k FROM (SELECT *, unnest(generate_series(0, len(ts))) AS d FROM whole)),
+nodes AS MATERIALIZED (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, row_number() OVER () AS id,
+         coalesce(string_agg(CASE WHEN n = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends,
+         CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[d].text, '[^\x20\x09-\x0D]+')) END AS words
+  FROM steps GROUP BY k, d),
+linked AS (SELECT c.*, p.conv_id AS parent_conv_id, p.id AS parent FROM nodes c LEFT JOIN nodes p ON p.d = c.d - 1 AND p.k = c.k[1:c.d - 1] AND c.d > 0),
+children AS (SELECT parent AS id, count(*) AS n_children FROM linked GROUP BY parent),
+full_nodes AS MATERIALIZED (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN children USING (id)),
+below AS (
+  SELECT a.id, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.words)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(generate_series(0, d)) AS up FROM full_nodes) b JOIN nodes a ON a.d = b.up AND a.k = b.k[1:b.up] GROUP BY a.id)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM full_nodes JOIN below USING (id)
+"""
