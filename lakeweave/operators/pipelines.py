@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import text as T
 from . import matching as M
 from . import quality as Q
-from . import search as S
 from . import temporal as TM
 
 
@@ -57,22 +53,3 @@ def hits_with_relations(hits: DataFrame, relations: DataFrame) -> DataFrame:
     """query_id, src, dst, relation_type: relations between the hits (query_id, name) of one query."""
     h = hits.select("query_id", "name").distinct()
     return relations.join(h.withColumnRenamed("name", "src"), "src").join(h.withColumnRenamed("name", "dst"), ["query_id", "dst"]).select("query_id", "src", "dst", "relation_type")
-
-
-def similar_pairs(vectors: DataFrame, least: float, bits: int = 4, tables: int = 24, seed: int = 5) -> DataFrame:
-    """a, b, score of distinct vectors (each by its least id) with a cosine of `least` or more that share a random-hyperplane bucket in any of
-    `tables`. Approximate: a pair at cosine c is missed with probability (1 - (1 - acos(c)/pi)**bits)**tables."""
-    vectors = vectors.groupBy("embedding").agg(F.min("id").alias("id"))
-    d = vectors.select(F.size("embedding")).first()
-    if d is None:
-        return vectors.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("score"))
-    planes = np.random.default_rng(seed).normal(size=(tables * bits, d[0]))
-
-    @F.pandas_udf(ArrayType(LongType()))
-    def keys(v: pd.Series) -> pd.Series:
-        sign = (np.vstack(v.to_numpy()) @ planes.T > 0).reshape(len(v), tables, bits)
-        return pd.Series(list((sign @ (1 << np.arange(bits))) + (np.arange(tables) << bits)))
-
-    k = vectors.select("id", "embedding", F.explode(keys("embedding")).alias("k"))
-    a, b = (k.select(F.col("id").alias(n), F.col("embedding").alias(f"e{n}"), "k") for n in "ab")
-    return a.join(b, "k").where("a < b").dropDuplicates(["a", "b"]).select("a", "b", S.similarity(F.col("ea"), F.col("eb")).alias("score")).where(F.col("score") >= least)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .registry import table
@@ -60,6 +61,21 @@ def relations(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("IN_REGION"
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Days by which the next line has to ship later.
+LATER = 1500
+
+
+def followed(spark: SparkSession, d: str) -> DataFrame:
+    """src, dst: a part and the part of the order's next line, where that ships LATER days after or more: edges with cycles."""
+    lines = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    nxt = table(spark, d, "lineitem").select("l_partkey", F.lead("l_partkey").over(lines).alias("n"), (F.unix_date(F.lead(F.to_date("l_shipdate")).over(lines)) - F.unix_date(F.to_date("l_shipdate"))).alias("days"))
+    return nxt.where(f"days >= {LATER}").select(_text("part_", "l_partkey").alias("src"), _text("part_", "n").alias("dst"))
+
+
+FOLLOWED = f"""followed AS (SELECT DISTINCT 'part_' || l_partkey AS src, 'part_' || n AS dst FROM (
+  SELECT l_partkey, l_shipdate, lead(l_partkey) OVER w AS n, lead(l_shipdate) OVER w AS s FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+  WHERE date_diff('day', l_shipdate::DATE, s::DATE) >= {LATER})"""
+
 ENT = """entities AS (
   SELECT 'region_' || r_regionkey AS name, 'region' AS entity_type, ['Name: ' || r_name] AS observations, 0::BIGINT AS valid_from, NULL::BIGINT AS valid_to FROM region
   UNION ALL SELECT 'nation_' || n_nationkey, 'nation', ['Name: ' || n_name, 'Region: ' || n_regionkey], 0, NULL FROM nation

@@ -54,9 +54,3 @@ def jn22_hits_with_relations(spark, d):
 def srch6_document_graph(spark, d):
     e = entities(spark, d, ("order",)).where(F.expr("cast(split_part(name, '_', 2) as bigint) % 50 = 0"))  # the documents asked about
     return G.induced(relations(spark, d, ("PLACED_BY", "CONTAINS")), e, "incident").select("src", "dst", "relation_type")
-
-
-@plan()
-def vec5_similar_pairs(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return PL.similar_pairs(v, 0.4).select("a", "b", F.round("score", 6).alias("score"))

@@ -34,4 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = folder(spark)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lakeweave_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Remove tables written by `cut` that nothing will read again."""
+    for df in frames:
+        if path := getattr(df, "_lakeweave_path", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
