@@ -21,12 +21,30 @@ def jn14_venues(spark, d):
     return M.match_venues(names, p.select(F.col("p_name").alias("venue"), F.col("p_brand").alias("city")).distinct()).withColumn("score", F.round("score", 8))
 
 
-@plan("""WITH a AS (SELECT DISTINCT p_name AS title, 1990 + p_size AS year FROM part WHERE p_size < 10), b AS (SELECT DISTINCT p_name AS found, 1990 + p_size AS found_year FROM part WHERE p_size >= 9 AND p_size < 20),
-p AS (SELECT *, (CASE WHEN replace(title, ' ', '') = replace(found, ' ', '') THEN 1 WHEN contains(replace(title, ' ', ''), replace(found, ' ', '')) OR contains(replace(found, ' ', ''), replace(title, ' ', '')) THEN 0.9 ELSE 1 - levenshtein(replace(title, ' ', ''), replace(found, ' ', '')) / greatest(length(replace(title, ' ', '')), length(replace(found, ' ', ''))) END) * CASE WHEN abs(year - found_year) > 1 THEN 0.7 ELSE 1.0 END AS score FROM a JOIN b ON list_has_any(string_split(title, ' '), string_split(found, ' ')))
-SELECT title, year, found, found_year, round(score, 8) AS score, CASE WHEN abs(year - found_year) > 1 AND score >= 0.5 THEN 'partial' WHEN score >= 0.9 THEN 'match' WHEN score >= 0.7 THEN 'partial' ELSE 'mismatch' END AS status FROM p QUALIFY row_number() OVER (PARTITION BY title, year ORDER BY score DESC, found, found_year) = 1""")
+_TYPED = "CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 2) ELSE replace(p_name, 'e', 'ee') END"
+_COMPACT = "x AS (SELECT *, replace(title, ' ', '') AS t, replace(found, ' ', '') AS f FROM a, b)"
+
+
+@plan(f"""WITH a AS (SELECT DISTINCT {_TYPED} AS title, 1990 + p_size AS year FROM part), b AS (SELECT DISTINCT p_name AS found, 1990 + p_size AS found_year FROM part), {_COMPACT},
+p AS (SELECT *, CASE WHEN t = f THEN 1 WHEN contains(t, f) OR contains(f, t) THEN 0.9 ELSE 1 - levenshtein(t, f) / greatest(length(t), length(f)) END AS alike, CASE WHEN abs(year - found_year) > 1 THEN 0.7 ELSE 1.0 END AS w FROM x),
+s AS (SELECT *, alike * w AS score FROM p WHERE alike >= 0.7)
+SELECT title, year, found, found_year, round(score, 8) AS score, CASE WHEN w < 1 AND score >= 0.5 THEN 'partial' WHEN score >= 0.9 THEN 'match' WHEN score >= 0.7 THEN 'partial' ELSE 'mismatch' END AS status FROM s QUALIFY row_number() OVER (PARTITION BY title, year ORDER BY score DESC, found, found_year) = 1""")
 def jn13_titles(spark, d):
-    p = table(spark, d, "part").select("p_name", "p_size", (F.col("p_size") + 1990).alias("y"))
-    return M.match_titles(p.where("p_size < 10").select(F.col("p_name").alias("title"), F.col("y").alias("year")), p.where("p_size >= 9 and p_size < 20").select(F.col("p_name").alias("found"), F.col("y").alias("found_year"))).withColumn("score", F.round("score", 8))
+    """Of all parts, names typed with faults against names as they are."""
+    p = table(spark, d, "part").select("p_name", (F.col("p_size") + 1990).alias("y"), F.expr(_TYPED).alias("typed"))
+    return M.match_titles(p.select(F.col("typed").alias("title"), F.col("y").alias("year")), p.select(F.col("p_name").alias("found"), F.col("y").alias("found_year"))).withColumn("score", F.round("score", 8))
+
+
+@plan(f"""WITH n AS (SELECT DISTINCT {_TYPED} AS name, p_brand AS film, CASE WHEN p_size < 25 THEN 'Directing' ELSE 'Acting' END AS department FROM part),
+c AS (SELECT DISTINCT p_name AS person, p_brand AS film, CASE WHEN p_size % 2 = 0 THEN 'Directing' ELSE 'Acting' END AS d FROM part),
+s AS (SELECT n.*, person, d, 1 - levenshtein(name, person) / greatest(length(name), length(person)) AS alike FROM n JOIN c USING (film)),
+t AS (SELECT *, least(1.0, alike + CASE WHEN department = d THEN 0.05 ELSE 0 END) AS score FROM s WHERE alike >= 0.7)
+SELECT name, film, person, d AS department, round(score, 8) AS score, CASE WHEN score >= 0.9 THEN 'match' WHEN score >= 0.7 THEN 'partial' ELSE 'mismatch' END AS status FROM t QUALIFY row_number() OVER (PARTITION BY name, film, department ORDER BY score DESC, person, d) = 1""")
+def jn13_people(spark, d):
+    p = table(spark, d, "part").withColumn("typed", F.expr(_TYPED))
+    names = p.select(F.col("typed").alias("name"), F.col("p_brand").alias("film"), F.when(F.col("p_size") < 25, "Directing").otherwise("Acting").alias("department"))
+    credits = p.select(F.col("p_name").alias("person"), F.col("p_brand").alias("film"), F.when(F.col("p_size") % 2 == 0, "Directing").otherwise("Acting").alias("department"))
+    return M.match_people(names, credits).withColumn("score", F.round("score", 8))
 
 
 @plan("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.3 ELSE 0.4 END AS confidence FROM part")

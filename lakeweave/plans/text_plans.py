@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import documents as D
+from ..operators import matching as M
 from ..operators import quality as Q
 from ..operators import search as S
 from .derived import ENT, entities
@@ -426,14 +427,22 @@ def con1_values(spark, d):
     return Q.consensus_value(v).withColumn("confidence", F.round("confidence", 8))
 
 
-@plan(f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), pairs AS (SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON list_has_any(string_split(a.name, ' '), string_split(b.name, ' ')) AND a.name <> b.name), s AS (SELECT a AS name, b AS candidate, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS score FROM pairs)
-SELECT name, candidate, round(score, 8) AS score, row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS rank FROM s QUALIFY rank <= 4""")
+_ALIKE = "WITH n AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT a.name, b.name AS candidate, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) AS score FROM n a JOIN n b ON a.name <> b.name {on})"
+
+
+@plan(f"{_ALIKE.format(on='')} SELECT name, candidate, round(score, 8) AS score, row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS rank FROM s WHERE score >= 0.7 - 1e-9 QUALIFY rank <= 4")
 def jn12_fuzzy(spark, d):
-    p = table(spark, d, "part").select("p_name").distinct()
-    def score(a, b):
-        return F.when(a != b, T.levenshtein_similarity(a, b)).otherwise(F.lit(-1.0))
+    """Every pair of names of similarity 0.7 or more, whatever words they share, and of those each name's four best."""
+    p = table(spark, d, "part").select("p_name")
+    return M.match_names(p.withColumnRenamed("p_name", "name"), p.withColumnRenamed("p_name", "candidate")).withColumn("score", F.round("score", 8))
+
 
-    best = Q.fuzzy_best(p.withColumnRenamed("p_name", "name"), p.withColumnRenamed("p_name", "candidate"), score, lambda c: F.split(c, " "), 4)
+@plan(f"{_ALIKE.format(on='AND a.name[1:2] = b.name[1:2]')} SELECT name, candidate, round(score, 8) AS score, row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS rank FROM s QUALIFY rank <= 4")
+def udf3_similarity(spark, d):
+    """A similarity of the user's own, over candidates of the user's own keys: here, the first two letters."""
+    p = table(spark, d, "part").select("p_name")
+    own = lambda a, b: F.when(a != b, T.levenshtein_similarity(a, b))
+    best = Q.fuzzy_best(p.withColumnRenamed("p_name", "name"), p.withColumnRenamed("p_name", "candidate"), own, lambda c: F.array(F.substring(c, 1, 2)), 4)
     return best.where("name != candidate").withColumn("score", F.round("score", 8))
 
 
