@@ -1,8 +1,8 @@
 """Line deduplication over a corpus by a deletion-neighbourhood join, for an edit bound of one character.
 
 A line (between newlines) goes if an earlier line of the corpus, by (id, line number), is equal to it or one insertion,
-deletion or substitution of a character away. Equal lines count from `equal_chars` characters on, lines one edit apart if
-both have `min_chars`; shorter lines stay. Lines are compared with all earlier ones, kept or not. A document all of whose text goes is left out with `drop_emptied`; else it stays, empty.
+deletion or substitution of a character away. Lines of every length but empty ones are compared; a caller may set a least length
+for equal lines, `equal_chars`, and for lines one edit apart, `min_chars`. Lines are compared with all earlier ones, kept or not. A document all of whose text goes is left out with `drop_emptied`; else it stays, empty.
 
 Equal lines are one class from the start. Two lines one edit apart share their first or their last half, so only classes
 that share a hashed half with another one give their neighbourhood: the line itself and its variants with one character
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import words
 from .tables import cut, drop
 
-MIN_CHARS = 20
+MIN_CHARS = 1
 #: Tables of documents with at most so many rows and listed lines are broadcast.
 MANY_ROWS, MANY_LINES = 1 << 18, 1 << 20
 _U = np.uint64
