@@ -2,15 +2,14 @@
 
 Terms are the distinct lower-cased runs of letters and digits of a text. The lexicon keeps the terms whose inverse
 document frequency ln(N / df) lies in a band; a lower frequency bound `df >= f * N` means it never holds more than
-(mean distinct terms of a document) / f terms, however large the corpus. A fingerprint begins with the hash of all of a
-document's lexicon terms, sorted (of its text, if there is none) and a level, the binary logarithm of their number (LEAST at least). Then come two parts for
-each of SUBSETS random lexicon subsets: the hash of the sorted terms that the subset keeps at this level and at the next one.
-At level l the terms' hashes deal the lexicon at random into 1.25 * 2**l subsets, of which the first SUBSETS count (at low
-levels, with fewer subsets than that, it is dealt again by other digits of the hashes). So about one term of the document
-falls into each, whatever its length, and many parts outlive an edit of half a text. A part without any term is '-'.
-
-Likeness of two fingerprints: 1 if they begin alike; else, over the levels that both have, equal parts among those that
-aren't empty in both. No common level or no such part: 0.
+(mean distinct terms of a document) / f terms, however large the corpus. Subsets of the lexicon are drawn once, alike for every
+text: DRAWS random orders of the lexicon, and of each the first half, quarter, eighth, and so on, SHARES of them. A term's
+place in an order is the number of leading zero bits of digits of its SHA-256. A fingerprint is the hash of all of a document's lexicon
+terms, sorted (of its text, if there is none), and then one part for each subset: the hash of the sorted terms that it keeps,
+'-' if it keeps none. Large subsets tell small edits of short texts apart; small ones keep a few terms of a long text and
+outlive an edit of half of it. Every term is in half of the largest subsets on average, so each can matter.
+
+Likeness of two fingerprints: 1 if they begin alike; else equal parts among those that aren't empty in both; 0 if there is none.
 Null texts count as empty, and two texts without lexicon terms are alike only if equal. Very long texts are read whole.
 Repeated rows get equal fingerprints, empty tables none. Other columns stay; columns named fingerprint are replaced.
 """
@@ -23,9 +22,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: idf band, number of lexicon subsets that count, least level.
+#: idf band; random orders of the lexicon, and how many times its first part is halved.
 IDF_LOW, IDF_HIGH = 1.5, 6.5
-SUBSETS, LEAST = 24, 3
+DRAWS, SHARES = 16, 12
 #: Largest lexicon that goes out with the plan; a larger one is joined.
 MAX_TERMS = 1 << 17
 GAPS = r"[^\p{L}\p{N}]+"
@@ -44,12 +43,14 @@ def lexicon(docs: DataFrame, text: str = "text", idf_low: float = IDF_LOW, idf_h
 
 
 class Lexicon:
-    """The band's terms and the numbers that deal them into subsets, ready for lookups inside expressions: an array of short
+    """The band's terms and how often each draw's first part can be halved and still hold them, ready for lookups inside expressions: an array of short
     lists, addressed by hash. So a term's hash is worked out once a lexicon, not wherever the term occurs."""
 
     def __init__(self, terms: DataFrame):
-        digits = [F.conv(F.substring(F.md5("term"), 8 * r + 1, 8), 16, 10).cast("long") for r in range(3)]
-        self.terms = terms.select("term", F.array(*digits).alias("v"))
+        number = lambda r: F.conv(F.substring(F.sha2("term", 256), 4 * r + 1, 4), 16, 10).cast("long")
+        # Leading zeros of 16 bits.
+        halved = [16 - F.when(number(r) == 0, 0).otherwise(F.length(F.bin(number(r)))) for r in range(DRAWS)]
+        self.terms = terms.select("term", F.array(*[h.cast("long") for h in halved]).alias("v"))
         n = self.terms.count()
         self.shipped = n <= MAX_TERMS
         if self.shipped:
@@ -71,40 +72,33 @@ def _let(x: Column, body) -> Column:
 
 
 def fingerprint_of(kept: Column, text: Column) -> Column:
-    """Whole hash, level and parts of sorted lexicon terms (w, v), joined by blanks."""
+    """Whole hash and parts of sorted lexicon terms (w, v), joined by blanks. A draw's subsets lie in each other, so each is
+    filtered from the one before."""
+    listed = lambda terms: F.array_join(F.transform(terms, lambda t: t["w"]), " ")
+    short = lambda terms: F.when(F.size(terms) == 0, "-").otherwise(F.substring(F.md5(listed(terms)), 1, 8))
 
-    def short(terms: Column) -> Column:
-        return F.when(F.size(terms) == 0, "-").otherwise(F.substring(F.md5(F.array_join(F.transform(terms, lambda t: t["w"]), " ")), 1, 8))
+    def draw(terms: Column, r: Column) -> Column:
+        def halve(a: Column, k: Column) -> Column:
+            return _let(F.filter(a["left"], lambda t: F.get(t["v"], r) >= k), lambda f: F.struct(f.alias("left"), F.concat_ws(" ", a["out"], short(f)).alias("out")))
 
-    def dealt(terms: Column, many: Column) -> Column:
-        """j, w of the terms that the first SUBSETS of `many` subsets keep."""
+        start = F.struct(terms.alias("left"), F.lit(None).cast("string").alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(SHARES)), start, halve, lambda a: a["out"])
 
-        def turn(r: Column) -> Column:
-            return F.filter(F.transform(terms, lambda t: F.struct((F.shiftright(F.get(t["v"], r) * many, 32) + r * many).alias("j"), t["w"].alias("w"))), lambda x: x["j"] < SUBSETS)
+    def whole(terms: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda r: draw(terms, r))
+        return F.concat_ws(" ", F.md5(F.when(F.size(terms) > 0, listed(terms)).otherwise(text)), parts)
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.lit(SUBSETS - 1) / many).cast("int")), turn))
-
-    def parts(terms: Column, many: Column) -> Column:
-        return _let(dealt(terms, many), lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: short(F.filter(d, lambda x: x["j"] == j))), " "))
-
-    def at_level(terms: Column, level: Column) -> Column:
-        whole = F.md5(F.when(F.size(terms) > 0, F.array_join(F.transform(terms, lambda t: t["w"]), " ")).otherwise(text))
-        both = F.transform(F.array(level, level + 1), lambda k: _let(F.shiftright(F.call_function("shiftleft", F.lit(5).cast("long"), k), 2), lambda many: parts(terms, many)))
-        return F.concat_ws(" ", whole, level.cast("string"), both)
-
-    return _let(kept, lambda terms: _let(F.greatest(F.length(F.bin(F.size(terms).cast("long"))) - 1, F.lit(LEAST)), lambda level: at_level(terms, level)))
+    return _let(kept, whole)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    def of(x: Column, y: Column) -> Column:
-        ahead = F.get(y, F.lit(1)).cast("int") - F.get(x, F.lit(1)).cast("int")
-        n = F.when(ahead == 0, 2 * SUBSETS).when(F.abs(ahead) == 1, SUBSETS).otherwise(0)
-        part = lambda z, late: F.slice(z, F.when(late, 3 + SUBSETS).otherwise(3), n)
-        pairs = F.filter(F.arrays_zip(part(x, ahead == 1).alias("a"), part(y, ahead == -1).alias("b")), lambda p: (p["a"] != "-") | (p["b"] != "-"))
+    def parts(x: Column, y: Column) -> Column:
+        tail = lambda z: F.slice(z, 2, DRAWS * SHARES)
+        pairs = F.filter(F.arrays_zip(tail(x).alias("a"), tail(y).alias("b")), lambda p: (p["a"] != "-") | (p["b"] != "-"))
         share = _let(pairs, lambda p: F.when(F.size(p) == 0, 0.0).otherwise(F.size(F.filter(p, lambda q: q["a"] == q["b"])) / F.size(p)))
         return F.when(F.get(x, F.lit(0)) == F.get(y, F.lit(0)), 1.0).otherwise(share)
 
-    return _let(F.struct(F.split(a, " ").alias("x"), F.split(b, " ").alias("y")), lambda z: of(z["x"], z["y"]))
+    return _let(F.struct(F.split(a, " ").alias("x"), F.split(b, " ").alias("y")), lambda z: parts(z["x"], z["y"]))
 
 
 def fingerprint(docs: DataFrame, held: Lexicon, text: str = "text", into: str = "fingerprint") -> DataFrame:

@@ -64,42 +64,31 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _imatch_sql(text: str) -> tuple[str, str]:
-    """SQL of the lexicon, and of whole hash, level and parts of a column of table `texts`; constants as in imatch.py."""
-    from .imatch import GAPS, IDF_HIGH, IDF_LOW, LEAST, SUBSETS
+    """SQL of the lexicon, and of whole hash and parts of a column of table `texts`; constants as in imatch.py."""
+    from .imatch import DRAWS, GAPS, IDF_HIGH, IDF_LOW, SHARES
 
     terms = f"list_filter(list_distinct(string_split_regex(lower({text}), '{GAPS}')), lambda w: w <> '')"
-    slot = lambda r, many: f"((('0x' || substr(md5(w), {8 * r + 1}, 8))::BIGINT * {many}) >> 32)"
-
-    def part(j: int, ahead: int) -> str:
-        cases = [f"WHEN {LEAST + i} THEN list_filter(k, lambda w: {slot(j // m, m)} = {j % m})" for i in (0, 1) for m in (5 * 2 ** (LEAST + i + ahead) // 4,) if m < SUBSETS]
-        cases += [f"ELSE list_filter(k, lambda w: {slot(0, f'(5 * (1::BIGINT << (lv + {ahead})) // 4)')} = {j})"]
-        return f"array_to_string(CASE lv {' '.join(cases)} END, ' ')"
-
-    parts = ", ".join(part(j, ahead) for ahead in (0, 1) for j in range(SUBSETS))
+    kept = lambda r, k: f"list_filter(k, lambda w: ('0x' || substr(sha256(w), {4 * r + 1}, 4))::BIGINT < {1 << (16 - k)})"
+    parts = ", ".join(f"array_to_string({kept(r, k)}, ' ')" for r in range(DRAWS) for k in range(1, SHARES + 1))
     return f"""
 lex AS MATERIALIZED (
   SELECT term FROM (SELECT unnest(list_filter(list_distinct(string_split_regex(lower(text), '{GAPS}')), lambda w: w <> '')) AS term FROM texts) GROUP BY term
   HAVING count(*) BETWEEN (SELECT ceil(count(*) * exp(-{IDF_HIGH})) FROM texts) AND (SELECT floor(count(*) * exp(-{IDF_LOW})) FROM texts)),
 """, f"""
-  SELECT rn, md5(CASE WHEN len(k) > 0 THEN array_to_string(k, ' ') ELSE t END) AS h, lv,
+  SELECT rn, md5(CASE WHEN len(k) > 0 THEN array_to_string(k, ' ') ELSE t END) AS h,
          list_transform([{parts}], lambda p: CASE WHEN p = '' THEN '-' ELSE substr(md5(p), 1, 8) END) AS p
-  FROM (SELECT rn, t, k, greatest({LEAST}, CASE WHEN len(k) = 0 THEN 0 ELSE length(bin(len(k))) - 1 END) AS lv
-        FROM (SELECT rn, any_value(t) AS t, coalesce(list_sort(list(term) FILTER (term IN (SELECT term FROM lex))), []::VARCHAR[]) AS k
-              FROM (SELECT rn, {text} AS t, unnest(CASE WHEN len({terms}) = 0 THEN [NULL] ELSE {terms} END) AS term FROM texts) GROUP BY rn))
+  FROM (SELECT rn, any_value(t) AS t, coalesce(list_sort(list(term) FILTER (term IN (SELECT term FROM lex))), []::VARCHAR[]) AS k
+        FROM (SELECT rn, {text} AS t, unnest(CASE WHEN len({terms}) = 0 THEN [NULL] ELSE {terms} END) AS term FROM texts) GROUP BY rn)
 """
 
 
 def _op9_sql() -> str:
-    from .imatch import SUBSETS
-
     lex, own = _imatch_sql("text")
     _, changed = _imatch_sql("edited")
 
     def like(a: str, b: str) -> str:
-        x = f"CASE {b}.lv - {a}.lv WHEN 0 THEN {a}.p WHEN 1 THEN {a}.p[{SUBSETS + 1}:] WHEN -1 THEN {a}.p[:{SUBSETS}] ELSE []::VARCHAR[] END"
-        y = f"CASE {b}.lv - {a}.lv WHEN 0 THEN {b}.p WHEN 1 THEN {b}.p[:{SUBSETS}] WHEN -1 THEN {b}.p[{SUBSETS + 1}:] ELSE []::VARCHAR[] END"
-        some = f"len(list_filter(list_zip({x}, {y}), lambda q: q[1] <> '-' OR q[2] <> '-'))"
-        return f"CASE WHEN {a}.h = {b}.h THEN 1.0 WHEN {some} = 0 THEN 0.0 ELSE len(list_filter(list_zip({x}, {y}), lambda q: q[1] = q[2] AND q[1] <> '-'))::DOUBLE / {some} END"
+        some = f"len(list_filter(list_zip({a}.p, {b}.p), lambda q: q[1] <> '-' OR q[2] <> '-'))"
+        return f"CASE WHEN {a}.h = {b}.h THEN 1.0 WHEN {some} = 0 THEN 0.0 ELSE len(list_filter(list_zip({a}.p, {b}.p), lambda q: q[1] = q[2] AND q[1] <> '-'))::DOUBLE / {some} END"
 
     return f"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id, text) AS rn FROM documents),
@@ -107,8 +96,8 @@ nexts AS (SELECT *, coalesce(lead(text) OVER (ORDER BY rn), first(text) OVER (OR
 texts AS MATERIALIZED (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(nt, 1, length(text) // 2) AS edited FROM nexts),
 {lex}
 own AS MATERIALIZED ({own}), changed AS MATERIALIZED ({changed})
-SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, o.h || ' ' || o.lv || ' ' || array_to_string(o.p, ' ') AS fingerprint,
-       c.h || ' ' || c.lv || ' ' || array_to_string(c.p, ' ') AS edited_fingerprint, {like("o", "c")} AS near_edited, {like("o", "n")} AS near_next
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, o.h || ' ' || array_to_string(o.p, ' ') AS fingerprint,
+       c.h || ' ' || array_to_string(c.p, ' ') AS edited_fingerprint, {like("o", "c")} AS near_edited, {like("o", "n")} AS near_next
 FROM texts t JOIN own o ON o.rn = t.rn JOIN changed c ON c.rn = t.rn JOIN own n ON n.rn = t.nrn
 """
 
