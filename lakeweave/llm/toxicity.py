@@ -1,24 +1,20 @@
-"""Toxicity by two class-conditional Kneser-Ney models over characters, words and pairs of words.
+"""Toxicity by two class-conditional Kneser-Ney models, compared by length-normalised log-likelihoods.
 
 A word is a run of letters, A-Z lower-cased, with a mark before and after it. Each class (toxic, ordinary) has its own
 counts of character n-grams of ORDER bytes, discounted by D; below that order, both share one interpolated Kneser-Ney model
 of continuation counts of all training texts. So an n-gram that neither class has seen is as likely in both, and a rare one
-differs little. On top, each class has its own counts of pairs of successive words: a word after another one has the
-discounted probability of the pair, and what is left falls back to the word's characters. Pairs seen fewer than PAIRS times
-are left to that fallback. A word's character likelihoods depend on the word alone and are worked out once a process.
-
-A text's length-normalised log-likelihood ratios: the mean a byte over the whole text; the largest mean a word over WINDOW
-successive words, so that a toxic passage counts as much in a long text as in a short one; the largest ratio of one word and
-the mean of the three largest; what the ratios above STRONG add up to by the root of the number of words; the logarithm of
-that number, since a longer text has larger extremes by chance; and the largest mean a word, over WINDOW words, of what pairs
-add to the ratios of their words, if they add: an expression counts, while text that ordinary training rows happen to share
-with this one does not speak for it. All but the first look at the text's different words
-where each occurs first, so saying a thing again does not raise the score. A logistic curve over these, fitted on training
-texts that the counts haven't seen, gives the probability.
+differs little. A word's likelihoods depend on the word alone and are worked out once a process.
+
+A text's ratio is the mean over its words, and over PRIOR words that say nothing, of what a word's toxic log-likelihood is above
+its ordinary one, and above that of the shared counts alone, by more than a margin; a word below that says nothing. (The class
+with fewer texts leaves more to the shared counts, so a word that neither has seen would be likelier in it.) The margin is what ordinary words differ by through
+chance in the two classes' counts, which in a long text adds up to more than its few toxic words; it shrinks as counts grow, so
+the one of MARGINS is taken that tells training texts apart best which the counts haven't seen. The ratio is the score's only
+ingredient: a logistic curve over it, rising, fitted on the same texts, makes it a probability.
 
 Training rows are a bounded sample of labelled rows: for each class the `per_class` rows with the least hash of their id,
 with their whole texts. Counting and the models' probabilities are Spark aggregations; the driver holds one model's table of
-hashed n-grams. Null and empty texts have all features zero; texts are read whole, repeated rows score alike.
+hashed n-grams. Null and empty texts have ratio 0; texts are read whole, repeated rows score alike.
 Tables without a label of either class score 0.5 everywhere. Extra columns stay; score and predicted are replaced.
 """
 
@@ -37,11 +33,13 @@ from pyspark.sql import functions as F
 from . import words
 from .tables import cut, drop, least_hashes
 
-ORDER, D, PAIRS, WINDOW, STRONG, FEATURES = 6, 0.9, 2, 20, 2.5, 7
+ORDER, D, PRIOR = 6, 0.9, 20
+#: Margins that are tried.
+MARGINS = (0.5, 0.75, 1.0, 1.5, 2.0)
 #: Ordinary and toxic rows to learn from, at most.
 PER_CLASS = (4000, 1500)
-#: Kinds of tables: orders below ORDER, shared; n-grams of ORDER by class; pairs of words by class.
-TOP, PAIR = (ORDER, ORDER + 1), (ORDER + 2, ORDER + 3)
+#: Kinds of tables: orders below ORDER, shared; n-grams of ORDER by class.
+TOP = (ORDER, ORDER + 1)
 _U = np.uint64
 #: Bytes that aren't letters: ASCII other than a-z.
 GAP = np.zeros(256, bool)
@@ -76,18 +74,13 @@ def _lookup(keys: np.ndarray, values: np.ndarray, x: np.ndarray, missing: float
     return np.where(keys[at] == x, values[at], missing).astype(float)
 
 
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return words.mix(first * _U(0x9E3779B97F4A7C15) + second)
-
-
 @dataclass
 class Model:
     #: For each kind from 1: n-grams, their discounted shares, contexts, and what each leaves to the next lower order.
     kinds: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    curve: tuple[float, ...] = (0.0,) * (FEATURES + 1)
-    #: Least and largest features of the training texts; beyond, the curve is not carried on.
-    least: np.ndarray | float = -np.inf
-    most: np.ndarray | float = np.inf
+    #: The curve's height at ratio 0 and its slope, 0 or more.
+    curve: tuple[float, float] = (0.0, 0.0)
+    margin: float = 1.0
 
     @staticmethod
     def collected(tables: DataFrame, fit: str) -> Model:
@@ -96,7 +89,7 @@ class Model:
         kind, is_context = found["kind"].to_numpy(), found["is_context"].to_numpy()
         key, value = found["key"].to_numpy().view(np.uint64), found["value"].to_numpy()
         kinds = []
-        for k in range(1, PAIR[1] + 1):
+        for k in range(1, TOP[1] + 1):
             for context in (False, True):
                 mine = np.flatnonzero((kind == k) & (is_context == context))
                 mine = mine[np.argsort(key[mine])]
@@ -104,7 +97,7 @@ class Model:
         return Model([tuple(kinds[i : i + 4]) for i in range(0, len(kinds), 4)])
 
     def likelihoods(self, texts: list[bytes]) -> np.ndarray:
-        """For each word: log-likelihood by its characters if toxic, if ordinary, and its bytes."""
+        """For each word: log-likelihood by its characters if toxic, if ordinary, and by the counts that both share."""
         grams = _Grams(texts)
 
         def step(t, gram, context, below):
@@ -115,75 +108,44 @@ class Model:
             p = step(self.kinds[n - 1], *grams(n), p)
         last = grams(ORDER)
         ordinary, toxic = (np.bincount(grams.word, np.log(step(self.kinds[k - 1], *last, p)), len(texts)) for k in TOP)
-        return np.column_stack([toxic, ordinary, grams.size]).astype(np.float32)
-
-    def after(self, x: np.ndarray, h: np.ndarray, follows: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratios of successive words (x: likelihoods, h: hashes); follows: whether the word before counts."""
-        before, out = np.concatenate([h[:1], h[:-1]]), []
-        i = np.flatnonzero(follows)
-        pair = pair_hash(before[i], h[i])
-        for k, own in ((PAIR[1], x[:, 0]), (PAIR[0], x[:, 1])):
-            grams, share, contexts, left = self.kinds[k - 1]
-            y = own.astype(float)
-            with np.errstate(divide="ignore"):
-                y[i] = np.logaddexp(np.log(_lookup(grams, share, pair)), np.log(_lookup(contexts, left, before[i], 1.0)) + y[i])
-            out.append(y)
-        return out[0] - out[1]
-
-    def features(self, memo: words.Memo, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        shared = np.bincount(grams.word, np.log(p), len(texts))
+        return np.column_stack([toxic, ordinary, shared]).astype(np.float32)
+
+    def ratios(self, memo: words.Memo, data: np.ndarray, at: np.ndarray, margins: tuple[float, ...] | None = None) -> np.ndarray:
+        """The length-normalised ratio of each row of a slice, at the model's margin; a column for each of `margins`."""
+        margins = margins or (self.margin,)
         data = words.LOWER[data]
         s, e, first = words.runs(data, at, GAP)
-        out = np.zeros((len(at) - 1, FEATURES))
+        n = np.diff(first)
         if not len(s):
-            return out
-        h = words.Hasher(data)(s, e)
-        x = memo(data, s, e, h)
-        row = np.repeat(np.arange(len(at) - 1), np.diff(first))
-        follows = np.zeros(len(s), bool)
-        follows[1:] = (row[1:] == row[:-1]) & (h[1:] != h[:-1])
-        alone = (x[:, 0] - x[:, 1]).astype(float)
-        gain = np.maximum(self.after(x, h, follows) - alone, 0)
-        out[:, 0] = np.bincount(row, alone, len(out)) / np.maximum(np.bincount(row, x[:, 2], len(out)), 1)
-        d = np.sort(np.unique(words.mix(h + row.astype(np.uint64) * _U(0xD6E8FEB86659FD93)), return_index=True)[1])
-        ends = np.searchsorted(row[d], np.arange(len(out) + 1))
-        i, j, n = ends[:-1], ends[1:], np.diff(ends)
-        out[:, 5] = np.log1p(n / WINDOW)
-        full = np.flatnonzero(n)
-        alone = alone[d]
-        end = np.minimum(np.arange(len(d)) + WINDOW, np.repeat(j, n))
-        for k, y in ((1, alone), (6, gain[d])):
-            r = np.concatenate([[0], np.cumsum(y)])
-            out[full, k] = np.maximum.reduceat((r[end] - r[:-1]) / WINDOW, i[full])
-        out[full, 2] = np.maximum.reduceat(alone, i[full])
-        out[full, 3] = [np.partition(alone[p:q], -3)[-3:].mean() if q - p > 2 else alone[p:q].mean() for p, q in zip(i[full].tolist(), j[full].tolist(), strict=True)]
-        out[full, 4] = np.add.reduceat(np.maximum(alone - STRONG, 0), i[full]) / np.sqrt(n[full] + 10)
-        return out
-
-    def probability(self, features: np.ndarray) -> np.ndarray:
-        features = np.clip(features, self.least, self.most)
-        return 1 / (1 + np.exp(-np.clip(self.curve[0] + features @ np.array(self.curve[1:]), -30, 30)))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Weights of a logistic curve, by Newton steps with a small ridge; the two classes count alike."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+            return np.zeros((len(n), len(margins)))
+        x = memo(data, s, e, words.Hasher(data)(s, e))
+        apart, row = x[:, 0].astype(float) - x[:, 1:].max(axis=1), np.repeat(np.arange(len(n)), n)
+        return np.column_stack([np.bincount(row, np.maximum(apart - m, 0), len(n)) / (n + PRIOR) for m in margins])
+
+    def probability(self, ratio: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * ratio, -30, 30)))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Height and slope of a logistic curve, by Newton steps with a small ridge, and its loss; the two classes count alike."""
+    scale = x.std() + 1e-9
+    z = np.column_stack([np.ones(len(x)), x / scale])
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-    w = np.zeros(z.shape[1])
+    w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        d = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w)), z.T @ (weight * (p - y)) + 1e-2 * w)
+        d = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (weight * (p - y)) + 1e-2 * w)
         w = w - d / max(1.0, np.abs(d).max() / 5)
         if np.abs(d).max() < 1e-6:
             break
-    if w[-1] < 0:
-        # What pairs add is evidence of toxicity or nothing; few training texts may fit it otherwise.
-        return (*_logistic(np.column_stack([x[:, :-1], np.zeros(len(x))]), y)[:-1], 0.0)
-    return (float(w[0] - (w[1:] * mean / scale).sum()), *(w[1:] / scale).tolist())
+    # A larger ratio is evidence of toxicity or none; few training texts may fit it otherwise.
+    p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-12, 1 - 1e-12)
+    return float(w[0]), max(0.0, float(w[1] / scale)), float(-(weight * np.where(y == 1, np.log(p), np.log(1 - p))).mean())
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From label, half, text: label, half, word, n for each slice; word is null for pairs, given by context and gram."""
+    """From label, half, text: label, half, word, n for each slice."""
     for batch in batches:
         for i, data, at in words.slices(batch.column(2)):
             data = words.LOWER[data]
@@ -195,16 +157,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = words.Hasher(data)(s, e)
             group = (2 * label + half).astype(np.uint64)
             _, one, n = np.unique(words.mix(own + group), return_index=True, return_counts=True)
-            nothing = pa.nulls(len(one), pa.int64())
-            yield pa.record_batch([pa.array(label[one]), pa.array(half[one]), pa.array(words.spans(data, s[one], e[one]), pa.binary()), nothing, nothing, pa.array(n)], _COUNTED)
-            j = np.flatnonzero((row[1:] == row[:-1]) & (own[1:] != own[:-1])) + 1
-            pair = pair_hash(own[j - 1], own[j])
-            _, one, n = np.unique(words.mix(pair + group[j]), return_index=True, return_counts=True)
-            j, pair = j[one], pair[one]
-            yield pa.record_batch([pa.array(label[j]), pa.array(half[j]), pa.nulls(len(j), pa.binary()), pa.array(own[j - 1].view(np.int64)), pa.array(pair.view(np.int64)), pa.array(n)], _COUNTED)
-
-
-_COUNTED = ["label", "half", "word", "context", "gram", "n"]
+            yield pa.record_batch([pa.array(label[one]), pa.array(half[one]), pa.array(words.spans(data, s[one], e[one]), pa.binary()), pa.array(n)], ["label", "half", "word", "n"])
 
 
 def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,20 +186,17 @@ def _gram_rows(kind: int, gram: np.ndarray, context: np.ndarray, longer: np.ndar
 def tables(sample: DataFrame) -> DataFrame:
     """kind, is_context, key, both, f0, f1: of each n-gram its discounted share and of each context what it leaves to lower
     orders, in the models of both halves of `sample` (label, half, text) and of either half; null where a model lacks it."""
-    counted = cut(sample.mapInArrow(_counts, "label int, half int, word binary, context long, gram long, n long"))
+    counted = cut(sample.mapInArrow(_counts, "label int, half int, word binary, n long"))
     of = lambda v, k: F.sum(F.when((F.col("label") == v) & (F.col("half") == k), F.col("n")).otherwise(0)).cast("long").alias(f"n{v}{k}")
-    vocabulary = counted.where("word is not null").groupBy("word").agg(*[of(v, k) for v in (0, 1) for k in (0, 1)])
+    vocabulary = counted.groupBy("word").agg(*[of(v, k) for v in (0, 1) for k in (0, 1)])
     rows = vocabulary.mapInArrow(_gram_batches, "kind int, gram long, context long, longer long, w0 long, w1 long")
     merged = lambda w: F.when(F.col("kind") < ORDER, F.max(w)).otherwise(F.sum(w)).alias(w)
     single = rows.groupBy("kind", "gram", "longer").agg(F.first("context").alias("context"), merged("w0"), merged("w1"))
-    half = lambda k: F.sum(F.when(F.col("half") == k, F.col("n")).otherwise(0)).alias(f"w{k}")
-    pairs = counted.where("word is null").groupBy((F.col("label") + PAIR[0]).alias("kind"), "gram").agg(F.first("context").alias("context"), half(0), half(1))
     both = F.when(F.col("kind") < ORDER, F.greatest("w0", "w1")).otherwise(F.col("w0") + F.col("w1")).alias("both")
-    grams = single.select("kind", "gram", "context", "w0", "w1", both).unionByName(pairs.select("kind", "gram", "context", "w0", "w1", both))
+    grams = single.select("kind", "gram", "context", "w0", "w1", both)
     fits = {"both": "both", "f0": "w0", "f1": "w1"}
     grams = cut(grams.groupBy("kind", "gram").agg(F.first("context").alias("context"), *[F.sum(w).alias(f) for f, w in fits.items()]))
-    least = F.when(F.col("kind") >= PAIR[0], PAIRS).otherwise(1)
-    taken = lambda f: F.when(F.col(f) >= least, F.col(f) - D)
+    taken = lambda f: F.when(F.col(f) >= 1, F.col(f) - D)
     contexts = grams.groupBy("kind", "context").agg(*[F.sum(f).alias(f"{f}_total") for f in fits], *[F.sum(taken(f)).alias(f"{f}_taken") for f in fits])
     shares = grams.join(contexts, ["kind", "context"]).select("kind", F.lit(False).alias("is_context"), F.col("gram").alias("key"), *[(taken(f) / F.col(f"{f}_total")).alias(f) for f in fits])
     left = contexts.select("kind", F.lit(True).alias("is_context"), F.col("context").alias("key"), *[F.when(F.col(f"{f}_taken").isNotNull(), 1 - F.col(f"{f}_taken") / F.col(f"{f}_total")).alias(f) for f in fits])
@@ -257,7 +207,7 @@ def tables(sample: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> Model | None:
     """Fit on the texts of a bounded sample of `labels` (id, label 0 or 1). The counts of one half of the sample and the
-    features of the other give the curve, so that it sees words as new texts have them; the final counts are those of both."""
+    ratios of the other give the curve, so that it sees words as new texts have them; the final counts are those of both."""
     hashed = F.xxhash64("_id", F.lit(7))
     marked = labels.select(F.col(id).alias("_id"), F.col(label).alias("label"), F.pmod(F.xxhash64(F.col(id), F.lit(8)), F.lit(2)).cast("int").alias("half")).where("_id is not null").distinct()
     most = marked.groupBy("label").agg(*[least_hashes(n, F.count("*")).alias(f"m{v}") for v, n in enumerate(per_class)])
@@ -270,19 +220,21 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         drop(sample)
         return None
     found = tables(sample)
-    curve, least, most = (0.0, 0.0, 1.0, *(0.0,) * (FEATURES - 2)), -np.inf, np.inf
+    curve, margin = (-2.0, 10.0), 1.0  # where one half has no text of a class to fit on
     if len(worded) == 4:
         x, y = [], []
         for k in (0, 1):
-            seen, sent = _apply(sample.where(F.col("half") == 1 - k), Model.collected(found, f"f{k}"), "text", ["label"], lambda m, f: [pa.array(c) for c in np.ascontiguousarray(f.T)], ", ".join(f"f{i} double" for i in range(FEATURES)))
+            seen, sent = _apply(sample.where(F.col("half") == 1 - k), Model.collected(found, f"f{k}"), "text", ["label"], lambda m, r: [pa.array(c) for c in np.ascontiguousarray(r.T)], ", ".join(f"r{i} double" for i in range(len(MARGINS))), MARGINS)
             seen = seen.toArrow()
             sent.destroy()
-            x.append(np.column_stack([seen.column(f"f{i}") for i in range(FEATURES)]))
+            x.append(np.column_stack([seen.column(f"r{i}") for i in range(len(MARGINS))]))
             y.append(np.asarray(seen.column("label")))
-        x = np.concatenate(x)
-        curve, least, most = _logistic(x, np.concatenate(y)), x.min(axis=0), x.max(axis=0)
+        x, y = np.concatenate(x), np.concatenate(y)
+        fits = {m: _logistic(x[:, i], y) for i, m in enumerate(MARGINS)}
+        margin = min(MARGINS, key=lambda m: fits[m][2])
+        curve = fits[margin][:2]
     model = Model.collected(found, "both")
-    model.curve, model.least, model.most = curve, least, most
+    model.curve, model.margin = curve, margin
     drop(sample, found)
     return model
 
@@ -290,8 +242,8 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 _loaded: dict[str, tuple[Model, words.Memo]] = {}
 
 
-def _apply(df: DataFrame, model: Model, text: str, keep: list[str], columns, schema: str) -> tuple[DataFrame, Broadcast]:
-    """`keep` and what `columns(model, features)` gives for each row of `df`; and the model sent out for it."""
+def _apply(df: DataFrame, model: Model, text: str, keep: list[str], columns, schema: str, margins: tuple[float, ...] | None = None) -> tuple[DataFrame, Broadcast]:
+    """`keep` and what `columns(model, ratios)` gives for each row of `df`; and the model sent out for it."""
     name = uuid.uuid4().hex
     sent = df.sparkSession.sparkContext.broadcast(model)
     source = df.select(*keep, F.col(text).alias("_scored"))
@@ -304,7 +256,7 @@ def _apply(df: DataFrame, model: Model, text: str, keep: list[str], columns, sch
         for batch in batches:
             for i, data, at in words.slices(batch.column(len(keep))):
                 n = len(at) - 1
-                yield pa.record_batch([*[c.slice(i, n) for c in batch.columns[:-1]], *columns(m, m.features(memo, data, at))], names)
+                yield pa.record_batch([*[c.slice(i, n) for c in batch.columns[:-1]], *columns(m, m.ratios(memo, data, at, margins))], names)
 
     out = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]], schema])
     names = [*keep, *[c.split()[0] for c in schema.split(", ")]]
@@ -317,8 +269,8 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     if model is None:
         return docs.withColumns({"score": F.lit(0.5), "predicted": F.lit(1)})
 
-    def columns(m: Model, f: np.ndarray) -> list[pa.Array]:
-        p = m.probability(f)
+    def columns(m: Model, ratio: np.ndarray) -> list[pa.Array]:
+        p = m.probability(ratio[:, 0])
         return [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
 
     return _apply(docs, model, text, docs.columns, columns, "score double, predicted int")[0]
