@@ -30,25 +30,6 @@ def word_chunks(docs: DataFrame, id: str = "doc_id", text: str = "text", size: i
     return docs.where(F.col(text).isNotNull()).select(id, F.posexplode(made).alias("chunk_index", "_c")).select(id, "chunk_index", "_c.content", "_c.token_count")
 
 
-def sentence_chunks(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 1000) -> DataFrame:
-    """<id>, chunk_index, content: sentences packed greedily into chunks of up to `size` characters; a longer sentence is a
-    chunk of its own."""
-    s = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def add(a: Column, x: Column) -> Column:
-        fits = (a["open"] == "") | (F.length(a["open"]) + 1 + F.length(x) <= size)
-        return F.struct(F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"), F.when(fits, F.when(a["open"] == "", x).otherwise(F.concat_ws(" ", a["open"], x))).otherwise(x).alias("open"))
-
-    end = F.aggregate(s, start, add, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
-    return docs.where(F.col(text).isNotNull()).select(id, F.posexplode(end).alias("chunk_index", "content"))
-
-
-def chunk_kind(content: Column) -> Column:
-    """heading, list, paragraph or text."""
-    return F.when(content.rlike(r"^[A-Z][A-Z \d]{2,60}$"), "heading").when(content.rlike(r"(?m)^\s*([-*•]|\d+\.)\s"), "list").when(F.length(content) > 200, "paragraph").otherwise("text")
-
-
 def mentions(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int = 50) -> DataFrame:
     """<id>, target, confidence: the first `most` distinct capitalised words of a text (a feature of the extraction)."""
     w = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0))), lambda x: F.length(x) < 50)

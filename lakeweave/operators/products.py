@@ -131,13 +131,6 @@ def artist_confidence(headliner: Column, validated: Column, supports: Column) ->
     return F.least(F.lit(1.0), F.coalesce(headliner * 0.6 + F.when(validated, 0.1).otherwise(0.0), F.lit(0.0)) + mean * 0.3)
 
 
-def sections(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """<id>, section, title, n_tokens (characters / 4, upwards): parts that begin at lines in capitals or ending in a colon."""
-    head = r"(?m)(?=^(?:[A-Z][A-Z0-9 &/-]{3,60}|[A-Z][\w &/-]{2,60}:)\s*$)"
-    parts = F.filter(F.split(text, head), lambda x: F.trim(x) != "")
-    return docs.where(F.col(text).isNotNull()).select(id, F.posexplode(parts).alias("section", "body")).select(id, "section", F.trim(F.substring_index("body", "\n", 1)).alias("title"), F.ceil(F.length("body") / 4).cast("int").alias("n_tokens"))
-
-
 def document_graph(chunks: DataFrame, id: str) -> DataFrame:
     """src, dst, relation_type of documents and their chunks: contains_chunk, chunk_of, followed_by."""
     doc = F.concat(F.lit("doc_"), F.col(id).cast("string"))

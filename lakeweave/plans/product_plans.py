@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents as D
 from ..operators import products as P
+from ..operators import sections as SE
 from .registry import plan, table
 
 
@@ -83,9 +84,19 @@ def dq7_artist_confidence(spark, d):
     return table(spark, d, "events").select("event_id", F.round(P.artist_confidence(F.col("value") / 1000, F.col("user_id") % 2 == 0, s), 8).alias("confidence"))
 
 
+def _sheets(spark, d):
+    """Every document as a product sheet: before each fourth line a heading, pages of eight lines."""
+    from ..operators.sections import HEADINGS
+
+    heads = F.array(*[F.lit(h.replace(".+", "it").replace("\\", "")) for h, _ in HEADINGS])
+    line = lambda x, i: F.concat(F.when((i > 0) & (i % 8 == 0), "\f").otherwise(""), F.when(i % 4 == 0, F.concat(F.element_at(heads, (F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)) + i, F.lit(len(HEADINGS))) + 1).cast("int")), F.lit("\n"))).otherwise(""), x)
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
 @plan()
 def txt3_sections(spark, d):
-    return P.sections(table(spark, d, "documents"), "doc_id", "text")
+    s = SE.sections(_sheets(spark, d))
+    return s.select("doc_id", "section", "page", "kind", "heading", F.md5("content").alias("content"), "start", "end", "n_tokens")
 
 
 @plan("""WITH w AS (SELECT doc_id, len(string_split_regex(text, '\\s+')) AS n FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, unnest(range(0, greatest(0, floor((n - 533) / 483.0)::INT + 1) + 1)) AS k, n FROM w), k AS (SELECT 'doc_' || doc_id AS d, doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS nx FROM c WHERE k * 483 < n)

@@ -10,6 +10,7 @@ from ..operators import documents as D
 from ..operators import matching as M
 from ..operators import quality as Q
 from ..operators import search as S
+from ..operators import sections as SE
 from .derived import ENT, entities
 from .registry import plan, table
 
@@ -297,8 +298,10 @@ def txt1_word_chunks(spark, d):
 
 @plan()
 def txt2_sentence_chunks(spark, d):
-    c = D.sentence_chunks(table(spark, d, "documents"))
-    return c.select("doc_id", "chunk_index", F.length("content").alias("n_chars"), D.chunk_kind(F.col("content")).alias("kind"))
+    """A page for each 3000 characters."""
+    docs = table(spark, d, "documents").withColumn("pages", F.ceil(F.length("text") / 3000))
+    c = SE.sentence_chunks(docs, pages="pages")
+    return c.select("doc_id", "chunk_index", F.md5("content").alias("content"), "start", "end", "page", SE.chunk_kind(F.col("content")).alias("kind"))
 
 
 # The n-th capitalised word of a text where it occurs first; regexp_extract_all lists them in order.
