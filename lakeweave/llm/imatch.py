@@ -3,11 +3,11 @@
 Terms are the distinct lower-cased runs of letters and digits of a text. The lexicon keeps the terms whose inverse
 document frequency ln(N / df) lies in a band; a lower frequency bound `df >= f * N` means it never holds more than
 (mean distinct terms of a document) / f terms, however large the corpus. Subsets of the lexicon are drawn once, alike for every
-text: DRAWS random orders of the lexicon, and of each the first half, quarter, eighth, and so on, SHARES of them. A term's
-place in an order is the number of leading zero bits of digits of its SHA-256. A fingerprint is the hash of all of a document's lexicon
+text: DRAWS random orders of the lexicon, and of each the first quarter, sixteenth, and so on, SHARES of them. A term's
+place in an order is the number of leading pairs of zero bits of digits of its SHA-256. A fingerprint is the hash of all of a document's lexicon
 terms, sorted (of its text, if there is none), and then one part for each subset: the hash of the sorted terms that it keeps,
 '-' if it keeps none. Large subsets tell small edits of short texts apart; small ones keep a few terms of a long text and
-outlive an edit of half of it. Every term is in half of the largest subsets on average, so each can matter.
+outlive an edit of half of it. Every term is in a quarter of the largest subsets on average, so each can matter.
 
 Likeness of two fingerprints: 1 if they begin alike; else equal parts among those that aren't empty in both; 0 if there is none.
 Null texts count as empty, and two texts without lexicon terms are alike only if equal. Very long texts are read whole.
@@ -22,9 +22,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: idf band; random orders of the lexicon, and how many times its first part is halved.
+#: idf band; random orders of the lexicon, and how many times its first part is quartered.
 IDF_LOW, IDF_HIGH = 1.5, 6.5
-DRAWS, SHARES = 16, 12
+DRAWS, SHARES = 12, 6
 #: Largest lexicon that goes out with the plan; a larger one is joined.
 MAX_TERMS = 1 << 17
 GAPS = r"[^\p{L}\p{N}]+"
@@ -43,14 +43,14 @@ def lexicon(docs: DataFrame, text: str = "text", idf_low: float = IDF_LOW, idf_h
 
 
 class Lexicon:
-    """The band's terms and how often each draw's first part can be halved and still hold them, ready for lookups inside expressions: an array of short
+    """The band's terms and how often each draw's first part can be quartered and still hold them, ready for lookups inside expressions: an array of short
     lists, addressed by hash. So a term's hash is worked out once a lexicon, not wherever the term occurs."""
 
     def __init__(self, terms: DataFrame):
         number = lambda r: F.conv(F.substring(F.sha2("term", 256), 4 * r + 1, 4), 16, 10).cast("long")
-        # Leading zeros of 16 bits.
-        halved = [16 - F.when(number(r) == 0, 0).otherwise(F.length(F.bin(number(r)))) for r in range(DRAWS)]
-        self.terms = terms.select("term", F.array(*[h.cast("long") for h in halved]).alias("v"))
+        # Pairs of leading zeros of 16 bits.
+        zeros = [16 - F.when(number(r) == 0, 0).otherwise(F.length(F.bin(number(r)))) for r in range(DRAWS)]
+        self.terms = terms.select("term", F.array(*[F.shiftright(z.cast("long"), 1) for z in zeros]).alias("v"))
         n = self.terms.count()
         self.shipped = n <= MAX_TERMS
         if self.shipped:
@@ -78,11 +78,11 @@ def fingerprint_of(kept: Column, text: Column) -> Column:
     short = lambda terms: F.when(F.size(terms) == 0, "-").otherwise(F.substring(F.md5(listed(terms)), 1, 8))
 
     def draw(terms: Column, r: Column) -> Column:
-        def halve(a: Column, k: Column) -> Column:
+        def quarter(a: Column, k: Column) -> Column:
             return _let(F.filter(a["left"], lambda t: F.get(t["v"], r) >= k), lambda f: F.struct(f.alias("left"), F.concat_ws(" ", a["out"], short(f)).alias("out")))
 
         start = F.struct(terms.alias("left"), F.lit(None).cast("string").alias("out"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(SHARES)), start, halve, lambda a: a["out"])
+        return F.aggregate(F.sequence(F.lit(1), F.lit(SHARES)), start, quarter, lambda a: a["out"])
 
     def whole(terms: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda r: draw(terms, r))

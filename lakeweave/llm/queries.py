@@ -68,7 +68,7 @@ def _imatch_sql(text: str) -> tuple[str, str]:
     from .imatch import DRAWS, GAPS, IDF_HIGH, IDF_LOW, SHARES
 
     terms = f"list_filter(list_distinct(string_split_regex(lower({text}), '{GAPS}')), lambda w: w <> '')"
-    kept = lambda r, k: f"list_filter(k, lambda w: ('0x' || substr(sha256(w), {4 * r + 1}, 4))::BIGINT < {1 << (16 - k)})"
+    kept = lambda r, k: f"list_filter(k, lambda w: ('0x' || substr(sha256(w), {4 * r + 1}, 4))::BIGINT < {1 << (16 - 2 * k)})"
     parts = ", ".join(f"array_to_string({kept(r, k)}, ' ')" for r in range(DRAWS) for k in range(1, SHARES + 1))
     return f"""
 lex AS MATERIALIZED (
