@@ -9,6 +9,7 @@ from ..operators import matching as M
 from ..operators import search as S
 from .derived import ENT, entities, relations
 from .registry import plan, table
+from .stream_plans import vector_sql
 
 _SCORE = "CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.9 ELSE len(list_intersect(string_split(a, ' '), string_split(b, ' ')))::DOUBLE / len(list_distinct(string_split(a, ' ') || string_split(b, ' '))) END"
 
@@ -84,10 +85,11 @@ def dq13_allowed(spark, d):
     return M.allowed(relations(spark, d, ("IN_REGION", "SUPPLIED_BY")), areas).groupBy("relation_type", "suggestion").agg(F.count("*").alias("n"))
 
 
-@plan("SELECT 'part_' || p_partkey AS name, 64 AS dim, 1.0::DOUBLE AS norm FROM part")
+@plan(f"WITH t AS (SELECT 'part_' || p_partkey AS name, 'Name: ' || p_name AS text FROM part), v AS (SELECT name, {vector_sql('text')} AS e FROM t) SELECT name, len(e) AS dim, round(e[1], 3) + 0.0 AS v1, round(e[2], 3) + 0.0 AS v2, round(e[64], 3) + 0.0 AS v64 FROM v")
 def fn30_embed(spark, d):
     e = EM.embed(entities(spark, d, ("part",)).select("name", F.get("observations", F.lit(0)).alias("text")), "text")
-    return e.select("name", F.size("embedding").alias("dim"), F.round(S.norm(F.col("embedding")), 4).alias("norm"))
+    v = lambda i: F.round(F.get("embedding", F.lit(i)).cast("double"), 3) + 0.0
+    return e.select("name", F.size("embedding").alias("dim"), v(0).alias("v1"), v(1).alias("v2"), v(63).alias("v64"))
 
 
 @plan(f"WITH {ENT} SELECT query_id, vec_id AS id, name, entity_type, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) <= 20) JOIN entities ON name = 'part_' || vec_id")
