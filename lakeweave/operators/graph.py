@@ -37,16 +37,18 @@ def undirected(relations: DataFrame) -> DataFrame:
 
 
 def connection_counts(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """name, connections (in + out), 0 for isolated ones. Counts are partial before the shuffle, so hubs don't hurt."""
-    ends = relations.select(F.col("src").alias("name")).unionAll(relations.select(F.col("dst").alias("name")))
+    """name, connections (in + out), 0 for isolated ones. Relations are read once for both ends; counts are partial before the
+    shuffle, so hubs don't hurt."""
+    ends = relations.select(F.explode(F.array("src", "dst")).alias("name"))
     return entities.select("name").join(ends.groupBy("name").agg(F.count("*").alias("n")), "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("connections"))
 
 
 def degrees(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """name, entity_type, in_degree, out_degree, total_degree, n_observations."""
-    out = relations.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("o"))
-    into = relations.groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("i"))
-    e = entities.select("name", "entity_type", F.size("observations").cast("long").alias("n_observations")).join(out, "name", "left").join(into, "name", "left")
+    end = lambda c, out: F.struct(F.col(c).alias("name"), F.lit(out).alias("out"))
+    ends = relations.select(F.explode(F.array(end("src", True), end("dst", False))).alias("x"))
+    counts = ends.groupBy("x.name").agg(F.count_if("x.out").alias("o"), F.count_if(~F.col("x.out")).alias("i"))
+    e = entities.select("name", "entity_type", F.size("observations").cast("long").alias("n_observations")).join(counts, "name", "left")
     i, o = F.coalesce("i", F.lit(0)), F.coalesce("o", F.lit(0))
     return e.select("name", "entity_type", i.alias("in_degree"), o.alias("out_degree"), (i + o).alias("total_degree"), "n_observations")
 

@@ -75,10 +75,11 @@ def seed_missing(existing: DataFrame, seeds: DataFrame, key: str = "name") -> Da
 
 
 def upsert_vectors(existing: DataFrame, batch: DataFrame, dimension: int) -> DataFrame:
-    """The last write of each entity_id, by updated_at; vectors of another dimension are rejected."""
-    every = existing.unionByName(batch).where(F.size("embedding") == dimension)
-    r = F.row_number().over(W.partitionBy("entity_id").orderBy(F.desc("updated_at")))
-    return every.withColumn("_r", r).where("_r = 1").drop("_r")
+    """The last write of each entity_id, by updated_at, then the batch's; of equal ones in a batch, that of the least hash. Vectors of
+    another dimension are rejected."""
+    every = existing.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1))).where(F.size("embedding") == dimension)
+    r = F.row_number().over(W.partitionBy("entity_id").orderBy(F.desc("updated_at"), F.desc("_new"), F.xxhash64("embedding")))
+    return every.withColumn("_r", r).where("_r = 1").drop("_r", "_new")
 
 
 def delete_vectors(existing: DataFrame, gone: DataFrame) -> DataFrame:
