@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import documents as D
+from ..operators import keywords as K
 from ..operators import matching as M
 from ..operators import quality as Q
 from ..operators import search as S
 from ..operators import sections as SE
+from ..sources.scratch import cut
 from .derived import ENT, entities
 from .registry import plan, table
 
@@ -252,29 +254,45 @@ def vec7_missing(spark, d):
     return table(spark, d, "documents").select("doc_id").join(have, "doc_id", "left_anti")
 
 
-_LISTS = f"""WITH {_V}, kw AS (SELECT q.vec_id AS query_id, v.vec_id AS name, 1.0 AS score FROM v JOIN v q ON q.vec_id % 50 = 0 AND q.label = v.label AND q.vec_id <> v.vec_id),
+_LISTS = f"""WITH {_V}, kq AS MATERIALIZED (SELECT doc_id AS query_id, lower(regexp_extract(text, '[A-Za-z]{{7,}}')) AS w FROM documents WHERE doc_id % 50 = 0),
+kw AS MATERIALIZED (SELECT query_id, 'doc_' || doc_id AS name, 1.0::DOUBLE AS score FROM kq JOIN documents ON w <> '' AND (contains('doc_' || doc_id, w) OR contains(lower(source), w) OR contains(lower(text), w)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 'doc_' || doc_id) <= 20),
 s AS (SELECT q.vec_id AS query_id, v.vec_id AS name, list_cosine_similarity(v.e, q.e) AS score FROM v JOIN v q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
-vs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS k FROM s) WHERE k <= 20)"""
+vl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS k FROM s) WHERE k <= 20),
+vs AS MATERIALIZED (SELECT query_id, 'doc_' || name AS name, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 'doc_' || name) AS k FROM vl)"""
+
+
+def _keywords(spark, d):
+    """The first long word of each document whose id is divisible by 50, searched in all documents."""
+    docs = table(spark, d, "documents")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.regexp_extract("text", "[A-Za-z]{7,}", 0).alias("text"))
+    found = docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), F.col("source").alias("entity_type"), F.array("text").alias("observations"))
+    return K.keyword_search(asked, found, limit=20)
+
+
+def _nearest(spark, d):
+    return S.knn(_queries(spark, d), _vectors(spark, d), 20).select("query_id", F.col("id").alias("name"), "score")
 
 
 def _lists(spark, d):
-    v = _vectors(spark, d)
-    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label")
-    kw = v.join(q, "label").where("query_id != id").select("query_id", F.col("id").alias("name"), F.lit(1.0).alias("score"))
-    return kw, S.knn(_queries(spark, d), v, 20).select("query_id", F.col("id").alias("name"), "score")
+    """Both lists of 20; a document's vector is that of its id."""
+    near = _nearest(spark, d).withColumn("name", F.concat(F.lit("doc_"), F.col("name").cast("string")))
+    return cut(_keywords(spark, d)), cut(near)
 
 
 @plan(f"{_LISTS} SELECT query_id, name, score FROM kw")
 def srch1_keyword(spark, d):
-    return _lists(spark, d)[0]
+    return _keywords(spark, d)
 
 
-@plan(f"{_LISTS} SELECT query_id, name, round(score, 6) AS score FROM vs")
+@plan(f"{_LISTS} SELECT query_id, name, round(score, 6) AS score FROM vl")
 def srch2_vector(spark, d):
-    return _lists(spark, d)[1].withColumn("score", F.round("score", 6))
+    return _nearest(spark, d).withColumn("score", F.round("score", 6))
+
+
+_FUSED = "fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.name, b.name) AS name, coalesce(a.score * 0.4, 0) + coalesce(b.score * 0.6, 0) AS score, CASE WHEN a.name IS NOT NULL AND b.name IS NOT NULL THEN 'hybrid' WHEN a.name IS NOT NULL THEN 'graph' ELSE 'vector' END AS source FROM kw a FULL JOIN vs b ON a.query_id = b.query_id AND a.name = b.name)"
 
 
-@plan(f"{_LISTS} SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.name, b.name) AS name, round(coalesce(a.score * 0.4, 0) + coalesce(b.score * 0.6, 0), 6) AS score, CASE WHEN a.name IS NOT NULL AND b.name IS NOT NULL THEN 'hybrid' WHEN a.name IS NOT NULL THEN 'graph' ELSE 'vector' END AS source FROM kw a FULL JOIN vs b ON a.query_id = b.query_id AND a.name = b.name")
+@plan(f"{_LISTS}, {_FUSED} SELECT query_id, name, round(score, 6) AS score, source FROM fused")
 def srch3_hybrid(spark, d):
     return S.fuse_weighted(*_lists(spark, d)).withColumn("score", F.round("score", 6))
 
@@ -284,9 +302,10 @@ def srch4_rrf(spark, d):
     return S.search(*_lists(spark, d), "rrf").withColumn("score", F.round("score", 8))
 
 
-@plan(f"{_LISTS} SELECT query_id, name, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM kw QUALIFY rank <= 10")
+@plan(f"{_LISTS}, {_FUSED}, p AS (SELECT f.query_id, name, CASE WHEN h.query_id IS NULL THEN 1.0 ELSE score END AS score, CASE WHEN h.query_id IS NULL THEN 'graph' ELSE 'hybrid' END AS strategy FROM fused f LEFT JOIN (SELECT DISTINCT query_id FROM vs) h USING (query_id)) SELECT query_id, name, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank, strategy FROM p QUALIFY rank <= 10")
 def srch5_strategy(spark, d):
-    return S.search(*_lists(spark, d), "graph")
+    """Documents beyond the vectors fall back to keywords."""
+    return K.search_or_keyword(*_lists(spark, d)).withColumn("score", F.round("score", 6))
 
 
 # Documents.
