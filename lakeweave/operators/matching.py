@@ -71,26 +71,6 @@ def match_names(names: DataFrame, reference: DataFrame, least: float = 0.7, k: i
     return found.withColumn("rank", r).where(F.col("rank") <= k).select(F.col("a").alias("name"), F.col("b").alias("candidate"), "score", "rank")
 
 
-#: Words that speak for a venue.
-VENUE_WORDS = ("theatre", "theater", "hall", "arena", "club", "stadium", "pavilion", "ballroom", "auditorium", "center", "centre", "bar", "lounge", "garden", "park", "forum")
-
-
-def venue_confidence(v: Column) -> Column:
-    """0.5, + 0.4 for a venue word, - 0.2 if short, - 0.1 in capitals, + 0.1 after 'the'; from 0 to 1."""
-    word = F.lower(v).rlike("|".join(rf"\b{w}\b" for w in VENUE_WORDS))
-    c = F.lit(0.5) + F.when(word, 0.4).otherwise(0.0) - F.when(F.length(v) < 4, 0.2).otherwise(0.0) - F.when((F.upper(v) == v) & (F.length(v) > 3), 0.1).otherwise(0.0) + F.when(F.lower(v).startswith("the "), 0.1).otherwise(0.0)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(c, 6)))
-
-
-def date_checks(df: DataFrame, id: str, date: str, year: str, door: str, show: str) -> DataFrame:
-    """Rows of faults (<id>, field, fault): unreadable date, year out of range or unlike the date's, doors after the show."""
-    d = T.normalise_date(F.col(date))
-    y = F.when(F.length(d) == 10, F.substring(d, 7, 4).cast("int"))
-    say = lambda cond, field, fault: F.when(cond, F.struct(F.lit(field).alias("field"), F.lit(fault).alias("fault")))
-    faults = F.array_compact(F.array(say(F.col(date).isNotNull() & d.isNull(), "date", "unreadable"), say(~F.col(year).between(1900, 2100), "year", "range"), say(F.col(year) != y, "year", "differs"), say(F.col(door) > F.col(show), "door", "after show")))
-    return df.select(id, F.explode(faults).alias("x")).select(id, "x.field", "x.fault")
-
-
 def pattern_scores(df: DataFrame, id: str, text: str, patterns: dict[str, list[str]], penalty: float = 0.3) -> DataFrame:
     """<id>, type, score: share of a type's words that a text holds, less `penalty` of the best other type's share."""
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -6,23 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import matching as M
 from . import quality as Q
 from . import temporal as TM
+from . import validators as V
 
 
-def check_records(df: DataFrame, id: str, venue: str, date: str, year: str) -> DataFrame:
-    """entity_id, score, status of a table's records: venue, date and year checks put together."""
-    d = T.normalise_date(F.col(date))
-    y = F.when(F.length(d) == 10, F.substring(d, 7, 4).cast("int"))
-    v = M.venue_confidence(F.col(venue))
-    check = lambda field, conf, status: F.struct(F.lit(field).alias("field"), conf.alias("confidence"), status.alias("status"))
-    rows = F.array(
-        check("venue_name", F.coalesce(v, F.lit(0.0)), F.when(F.col(venue).isNull(), "unverified").otherwise(T.match_status(v))),
-        check("event_date", F.when(d.isNull(), 0.0).when(F.length(d) == 10, 0.9).otherwise(0.7), F.when(F.col(date).isNull(), "unverified").when(d.isNull(), "mismatch").when(F.length(d) == 10, "match").otherwise("partial")),
-        check("year", F.when(F.col(year) == y, 1.0).otherwise(0.4), F.when(F.col(year).isNull() | y.isNull(), "unverified").when(F.col(year) == y, "match").otherwise("mismatch")),
-    )
-    return Q.overall(df.select(F.col(id).alias("entity_id"), F.explode(rows).alias("x")).select("entity_id", "x.*"))
+def check_records(df: DataFrame, id: str, this_year: int | None = None) -> DataFrame:
+    """entity_id, score, status of a table's records (venue_name, city, state, event_date, year, decade, door_time, show_time):
+    all checks put together; a record of which nothing can be checked has no row."""
+    return Q.overall(V.record_checks(df, id, this_year).withColumnRenamed(id, "entity_id"))
 
 
 def apply_fixes(entities: DataFrame, fixes: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,8 @@ WEIGHTS = {
 
 
 def overall(checks: DataFrame, weights: dict[str, float] = WEIGHTS, penalise_unverified: bool = False, mismatch: float = 0.3, unverified: float = 0.1) -> DataFrame:
-    """entity_id, score (0 to 100), status of each entity's checks (entity_id, field, confidence, status)."""
+    """entity_id, score (0 to 100), status of each entity's checks (entity_id, field, confidence, status). A half is rounded up, by
+    six digits of the share, so that it doesn't hang on the order in which checks are added up."""
     w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("field")), F.lit(0.05))
     counts = F.lit(True) if penalise_unverified else F.col("status") != "unverified"
     c = F.col("confidence")
@@ -22,7 +23,7 @@ def overall(checks: DataFrame, weights: dict[str, float] = WEIGHTS, penalise_unv
     n = lambda s: F.count_if(F.col("status") == s)
     g = checks.groupBy("entity_id").agg(F.sum(F.when(counts, w * value)).alias("a"), F.sum(F.when(counts, w)).alias("b"), n("match").alias("m"), n("partial").alias("p"), n("mismatch").alias("x"), n("unverified").alias("u"), F.count("*").alias("t"))
     status = F.when(F.col("x") > 0, "mismatch").when(F.col("p") > F.col("m"), "warning").when(F.col("u") == F.col("t"), "unverified").when(F.col("m") > 0, "validated").otherwise("warning")
-    return g.select("entity_id", F.when(F.col("b") > 0, F.floor(F.col("a") / F.col("b") * 100 + 0.5)).otherwise(0).cast("int").alias("score"), status.alias("status"))
+    return g.select("entity_id", F.when(F.col("b") > 0, F.floor(F.round(F.col("a") / F.col("b") * 100, 6) + 0.5)).otherwise(0).cast("int").alias("score"), status.alias("status"))
 
 
 def batch_statistics(scores: DataFrame) -> DataFrame:

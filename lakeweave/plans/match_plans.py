@@ -48,20 +48,6 @@ def jn13_people(spark, d):
     return M.match_people(names, credits).withColumn("score", F.round("score", 8))
 
 
-@plan("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.3 ELSE 0.4 END AS confidence FROM part")
-def dq3_venues(spark, d):
-    k = F.col("p_partkey") % 4
-    v = F.when(k == 0, "The Grand Theatre").when(k == 1, "Park Hall").when(k == 2, "xyz").otherwise("SOMEWHERE")
-    return table(spark, d, "part").select("p_partkey", M.venue_confidence(v).alias("confidence"))
-
-
-@plan("SELECT o_orderkey, f AS field, x AS fault FROM (SELECT o_orderkey, 'date' AS f, 'unreadable' AS x FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey, 'year', 'differs' FROM orders WHERE o_orderkey % 7 > 0 AND o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'door', 'after show' FROM orders WHERE o_orderkey % 11 = 0)")
-def dq4_dates(spark, d):
-    k = F.col("o_orderkey")
-    o = table(spark, d, "orders").select("o_orderkey", F.when(k % 7 == 0, "someday").otherwise(F.date_format("o_orderdate", "d MMMM yyyy")).alias("date"), (F.year("o_orderdate") + F.when(k % 5 == 0, 1).otherwise(0)).alias("year"), F.when(k % 11 == 0, "21:00").otherwise("19:00").alias("door"), F.lit("20:00").alias("show"))
-    return M.date_checks(o, "o_orderkey", "date", "year", "door", "show")
-
-
 @plan("""WITH n AS (SELECT DISTINCT c_name AS name, lower(regexp_replace(c_name, '[^A-Za-z0-9_ ]', '', 'g')) AS a FROM customer), e AS (SELECT DISTINCT substr(c_name, 1, length(c_name) - c_custkey % 2) AS artist FROM customer),
 x AS (SELECT artist, lower(regexp_replace(artist, '[^A-Za-z0-9_ ]', '', 'g')) AS b FROM e) SELECT name, min(artist) AS artist FROM n JOIN x ON contains(a, b) OR contains(b, a) GROUP BY name""")
 def jn15_artists(spark, d):

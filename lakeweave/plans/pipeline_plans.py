@@ -12,15 +12,6 @@ from .registry import plan, table
 NOW = 1_000_000_000_000
 
 
-@plan("""WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE 0.3 END AS vc, CASE WHEN o_orderkey % 2 = 0 THEN 'match' ELSE 'mismatch' END AS vs, o_orderkey % 3 = 0 AS wrong FROM orders),
-w AS (SELECT *, 0.15 * (CASE WHEN vs = 'match' THEN vc ELSE 0 END) + 0.1 * 0.9 + 0.05 * CASE WHEN wrong THEN greatest(0, 0.4 - 0.3) ELSE 1 END AS a FROM c)
-SELECT o_orderkey AS entity_id, floor(a / 0.3 * 100 + 0.5)::INT AS score, CASE WHEN vs = 'mismatch' OR wrong THEN 'mismatch' ELSE 'validated' END AS status FROM w""")
-def dq8_check_all(spark, d):
-    k = F.col("o_orderkey")
-    o = table(spark, d, "orders").select("o_orderkey", F.when(k % 2 == 0, "The Grand Theatre").otherwise("xyz").alias("venue"), F.date_format("o_orderdate", "d MMMM yyyy").alias("date"), (F.year("o_orderdate") + F.when(k % 3 == 0, 1).otherwise(0)).alias("year"))
-    return PL.check_records(o, "o_orderkey", "venue", "date", "year")
-
-
 @plan(f"WITH {ENT} SELECT name, ends_with(name, '2') AS applied FROM entities WHERE entity_type = 'customer' AND (ends_with(name, '2') OR ends_with(name, '3'))")
 def dq9_fix_outcomes(spark, d):
     e = entities(spark, d, ("customer",)).withColumn("version", F.lit(1))
