@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import phases as P
 from ..operators import pipelines as PL
 from ..operators import quality as Q
+from ..operators import search as S
 from ..operators import validators as V
 from .registry import plan, table
 
@@ -95,3 +97,64 @@ g AS (SELECT o_orderkey, sum(w * v) FILTER (WHERE status <> 'unverified') AS a,
 SELECT o_orderkey AS entity_id, CASE WHEN b > 0 THEN floor(round(a / b * 100, 6) + 0.5)::INT ELSE 0 END AS score, CASE WHEN x > 0 THEN 'mismatch' WHEN p > m THEN 'warning' WHEN u = t THEN 'unverified' WHEN m > 0 THEN 'validated' ELSE 'warning' END AS status FROM g""")
 def dq8_check_all(spark, d):
     return PL.check_records(_records(spark, d), "o_orderkey", YEAR)
+
+
+# Types by the words of whole documents and the types of near ones; types and confidences are dealt by id.
+_TYPES = list(P.TYPE_WORDS)
+_GIVEN = [*_TYPES, "Rock Concert", "movie night", "release", "none such"]
+_HITS = {t: " + ".join(f"contains(x, '{w}')::INT" for w in ws) or "0" for t, ws in P.TYPE_WORDS.items()}
+_EVIDENCE = f"""g AS (SELECT doc_id, lower(coalesce(text, '')) AS x, {_list(_GIVEN)}[doc_id % {len(_GIVEN)} + 1] AS raw, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE (doc_id % 120) / 100 * CASE WHEN doc_id % 5 = 0 THEN 100 ELSE 1 END END::DOUBLE AS given FROM documents),
+t AS (SELECT *, CASE raw WHEN 'Rock Concert' THEN 'concert' WHEN 'movie night' THEN 'film' WHEN 'release' THEN 'album' WHEN 'none such' THEN 'unknown' ELSE raw END AS type, coalesce(CASE WHEN given > 1 THEN given / 100 ELSE given END, 0.5) AS c, {', '.join(f'{h} AS n_{t}' for t, h in _HITS.items())} FROM g),
+o AS (SELECT *, CASE type {' '.join(f"WHEN '{t}' THEN n_{t}" for t in _TYPES)} END AS own, {' + '.join(f'n_{t}' for t in _TYPES)} AS al, CASE type {' '.join(f"WHEN '{t}' THEN {len(ws)}" for t, ws in P.TYPE_WORDS.items())} END AS size FROM t),
+b AS (SELECT *, CASE WHEN size = 0 THEN 0.5 ELSE greatest(0, own / size - least((al - own) * 0.05, 0.3)) END AS pattern, c * 0.7 + pattern * 0.3 AS blended FROM o),
+n AS (SELECT q, type FROM (SELECT a.vec_id AS q, z.vec_id AS v FROM embeddings a JOIN embeddings z ON a.vec_id % 50 = 0 AND a.vec_id <> z.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], z.embedding::DOUBLE[]) DESC, z.vec_id) <= 5) JOIN t ON doc_id = v GROUP BY ALL)"""
+
+
+def _evidence(spark, d):
+    docs, given = table(spark, d, "documents"), F.get(F.array(*map(F.lit, _GIVEN)), (F.col("doc_id") % len(_GIVEN)).cast("int"))
+    conf = F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 120) / 100 * F.when(F.col("doc_id") % 5 == 0, 100).otherwise(1))
+    r = docs.select("doc_id", "text", given.alias("given"), conf.alias("conf"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    near = S.knn(v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), v, 5)
+    near = near.join(r.select(F.col("doc_id").alias("id"), F.col("given").alias("type")), "id").select(F.col("query_id").alias("doc_id"), "type")
+    return P.type_evidence(r, "doc_id", "text", "given", "conf", near)
+
+
+@plan(f"WITH {_EVIDENCE} SELECT doc_id, b.type, round(pattern, 8) AS pattern, round(blended, 8) AS blended, round(CASE WHEN n.q IS NULL THEN blended ELSE least(1, blended + 0.1) END, 8) AS confidence FROM b LEFT JOIN n ON q = doc_id AND n.type = b.type")
+def dq6_types(spark, d):
+    r = lambda c: F.round(c, 8)
+    return _evidence(spark, d).drop("ready").withColumns({c: r(c) for c in ("pattern", "blended", "confidence")})
+
+
+@plan(f"WITH {_EVIDENCE} SELECT doc_id, type, round(blended, 8) AS confidence, TRUE AS is_primary FROM b UNION ALL SELECT doc_id, u.t, round(blended * u.w, 8), FALSE FROM b, (VALUES ('album', 0.9), ('concert', 0.85)) u(t, w) WHERE type = 'hybrid'")
+def dq6_inferred(spark, d):
+    return P.inferred_types(_evidence(spark, d), "doc_id").withColumn("confidence", F.round("confidence", 8))
+
+
+#: Of each order: confidences of its parts, some missing.
+_PARTS = {
+    "headliner": "CASE WHEN k % 4 > 0 THEN k % 100 / 100.0 END", "external": "CASE WHEN k % 3 = 0 THEN k END", "venue": "CASE WHEN k % 5 > 0 THEN k % 90 / 100.0 END", "known": "CASE WHEN k % 7 = 0 THEN k END", "validated": "CASE WHEN k % 5 = 1 THEN venue_name END",
+    "dated": "CASE WHEN k % 8 < 7 THEN k % 80 / 100.0 END", "parsed": "k % 8 < 3", "artist_valid": "CASE WHEN k % 6 > 1 THEN k % 6 > 2 END", "venue_valid": "CASE WHEN k % 9 > 1 THEN k % 9 > 3 END", "type_score": "k % 101 / 100.0",
+}
+_PARTS_SQL = ", ".join(f"({x.replace('k % ', 'o_orderkey % ').replace('THEN k ', 'THEN o_orderkey ')}) AS {n}" for n, x in _PARTS.items())
+
+
+@plan(f"""WITH {_REC}, {_VENUES}, {_DATES}, p AS (SELECT *, {_list(_TYPES)}[o_orderkey % {len(_TYPES)} + 1] AS type, {_PARTS_SQL} FROM rec),
+s AS (SELECT o_orderkey, type_score::DOUBLE AS t, least(1, CASE WHEN headliner IS NOT NULL THEN headliner * 0.6 + CASE WHEN external IS NULL THEN 0 ELSE 0.1 END WHEN type IN ('exhibition', 'promo') THEN 0.3 ELSE 0 END + 0.3 * CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE (headliner_or + 0.4) / 2 END)::DOUBLE AS a,
+ CASE WHEN venue IS NOT NULL THEN least(1, venue + CASE WHEN city <> '' THEN 0.1 ELSE 0 END + CASE WHEN known IS NULL THEN 0 ELSE 0.15 END + CASE WHEN validated <> '' THEN 0.1 ELSE 0 END) WHEN type IN ('album', 'promo', 'film') THEN 0.6 ELSE 0 END::DOUBLE AS v,
+ greatest(0, least(1, coalesce(dated, CASE WHEN type IN ('promo', 'unknown') THEN 0.5 ELSE 0 END) + CASE WHEN door_time <> '' OR show_time <> '' THEN 0.1 ELSE 0 END - CASE WHEN NOT artist_valid THEN 0.15 ELSE 0 END - CASE WHEN NOT venue_valid THEN 0.1 ELSE 0 END + CASE WHEN parsed THEN 0.1 ELSE 0 END))::DOUBLE AS e FROM (SELECT *, coalesce(headliner, 0.2) AS headliner_or FROM p)),
+w AS (SELECT o_orderkey, field FROM venue_rows WHERE status IN ('partial', 'mismatch') UNION SELECT o_orderkey, field FROM date_rows WHERE status IN ('partial', 'mismatch') UNION SELECT o_orderkey, 'type_phase' FROM s WHERE round(t, 8) < 0.7 UNION SELECT o_orderkey, 'artist_phase' FROM s WHERE round(a, 8) < 0.6 UNION SELECT o_orderkey, 'venue_phase' FROM s WHERE round(v, 8) < 0.6 UNION SELECT o_orderkey, 'event_phase' FROM s WHERE round(e, 8) < 0.5),
+f AS (SELECT o_orderkey, string_agg(field, '|' ORDER BY field) AS fields FROM w GROUP BY ALL)
+SELECT o_orderkey, round(a, 8) AS artist, round(v, 8) AS venue, round(e, 8) AS event, round(coalesce(list_avg(list_filter([t, round(a, 8), round(v, 8), round(e, 8)], lambda x: x > 0)), 0), 6) AS overall, coalesce(fields, '') AS fields FROM s LEFT JOIN f USING (o_orderkey)""")
+def dq7_phases(spark, d):
+    rec = _records(spark, d).withColumn("k", F.col("o_orderkey"))
+    p = rec.withColumn("type", F.get(F.array(*map(F.lit, _TYPES)), (F.col("k") % len(_TYPES)).cast("int"))).selectExpr("*", *[f"{x} AS {n}" for n, x in _PARTS.items()])
+    p = p.withColumns({c: F.col(c).cast("double") for c in ("headliner", "venue", "dated", "type_score")})
+    c = {n: F.col(n) for n in p.columns}
+    supports = F.when(c["k"] % 2 == 0, F.array().cast("array<double>")).otherwise(F.array(F.coalesce(c["headliner"], F.lit(0.2)), F.lit(0.4)))
+    artist = P.artist_confidence(c["type"], c["headliner"], c["external"], supports)
+    venue = P.venue_confidence(c["type"], c["venue"], c["city"], c["known"], c["validated"])
+    event = P.event_confidence(c["type"], c["dated"], c["parsed"], c["door_time"], c["show_time"], c["artist_valid"], c["venue_valid"])
+    scored = p.select("o_orderkey", c["type_score"].alias("type"), *[F.round(x, 8).alias(n) for n, x in (("artist", artist), ("venue", venue), ("event", event))])
+    out = P.review(scored, V.record_checks(rec.drop("k"), "o_orderkey", YEAR), "o_orderkey")
+    return scored.join(out, "o_orderkey").select("o_orderkey", "artist", "venue", "event", F.round("overall", 6).alias("overall"), F.array_join("fields", "|").alias("fields"))
