@@ -109,3 +109,15 @@ def review(phases: DataFrame, checks: DataFrame, id: str) -> DataFrame:
     bad = checks.where(F.col("status").isin("partial", "mismatch")).groupBy(id).agg(F.collect_set("field").alias("_bad"))
     fields = F.sort_array(F.array_union(F.coalesce("_bad", F.array().cast("array<string>")), weak))
     return phases.join(bad, id, "left").select(id, overall.alias("overall"), fields.alias("fields"))
+
+
+#: Years before the first and after the last known one in which artists and venues may still be met.
+ARTIST_SPAN, VENUE_SPAN = (5, 10), (0, 20)
+
+
+def activity(claims: DataFrame, history: DataFrame, span: tuple[int, int]) -> DataFrame:
+    """`claims` (with name, year) with first_year, last_year, valid: whether the year is within `span` of the years that `history`
+    (name, year) has for the name. Names without history, and claims without a year, are valid. History is reduced to a row a name
+    before the join."""
+    seen = history.where("year is not null").groupBy("name").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    return claims.join(seen, "name", "left").withColumn("valid", F.coalesce(F.col("year").between(F.col("first_year") - span[0], F.col("last_year") + span[1]), F.lit(True)))

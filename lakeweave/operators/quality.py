@@ -63,15 +63,17 @@ def product_score(missing: Column, present: Column, errors: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), 100 - 15 * missing + 2 * present) - 5 * errors)
 
 
-def consensus_categorical(votes: DataFrame, agreement: float = 0.5) -> DataFrame:
+def consensus_categorical(votes: DataFrame, agreement: float = 0.5, strict: tuple[str, ...] = ()) -> DataFrame:
     """subject, field, value, confidence, conflict: majority of votes (subject, field, value, confidence); ties go to the
-    larger total confidence, then to the lesser value; below `agreement` there is no value."""
+    larger total confidence, then to the lesser value; below `agreement` there is no value. A single vote on a `strict` field
+    counts for nothing."""
     v = votes.groupBy("subject", "field", "value").agg(F.count("*").alias("n"), F.sum("confidence").alias("t"))
     w = W.partitionBy("subject", "field")
     r = F.row_number().over(w.orderBy(F.desc("n"), F.desc("t"), "value"))
     best = v.withColumns({"r": r, "all": F.sum("n").over(w), "kinds": F.count("*").over(w)}).where("r = 1")
-    share = F.col("n") / F.col("all")
-    return best.select("subject", "field", F.when(share >= agreement, F.col("value")).alias("value"), (F.col("t") / F.col("n") * share).alias("confidence"), (F.col("kinds") > 1).alias("conflict"))
+    share, alone = F.col("n") / F.col("all"), F.col("field").isin(*strict) & (F.col("all") == 1)
+    value = F.when((share >= agreement) & ~alone, F.col("value"))
+    return best.select("subject", "field", value.alias("value"), F.when(alone, 0.0).otherwise(F.col("t") / F.col("n") * share).alias("confidence"), (F.col("kinds") > 1).alias("conflict"))
 
 
 def consensus_value(votes: DataFrame, prefer_longest: bool = True, least: float = 0.3) -> DataFrame:

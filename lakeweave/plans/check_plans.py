@@ -158,3 +158,34 @@ def dq7_phases(spark, d):
     scored = p.select("o_orderkey", c["type_score"].alias("type"), *[F.round(x, 8).alias(n) for n, x in (("artist", artist), ("venue", venue), ("event", event))])
     out = P.review(scored, V.record_checks(rec.drop("k"), "o_orderkey", YEAR), "o_orderkey")
     return scored.join(out, "o_orderkey").select("o_orderkey", "artist", "venue", "event", F.round("overall", 6).alias("overall"), F.array_join("fields", "|").alias("fields"))
+
+
+_CLAIMS = """h AS (SELECT o_custkey AS name, min(year(o_orderdate)) AS first_year, max(year(o_orderdate)) AS last_year FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), c AS (SELECT o_orderkey, o_custkey AS name, CASE WHEN o_orderkey % 13 > 0 THEN year(o_orderdate) + o_orderkey % 37 - 12 END AS year FROM orders WHERE o_orderkey % 2 = 1)"""
+
+
+def _active(spark, d, span):
+    """Odd orders' years, moved by up to 24, against the customer's even orders."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("name"), F.year("o_orderdate").alias("year"))
+    moved = F.when(F.col("o_orderkey") % 13 > 0, F.col("year") + F.col("o_orderkey") % 37 - 12)
+    return P.activity(o.where("o_orderkey % 2 = 1").withColumn("year", moved), o.where("o_orderkey % 2 = 0").select("name", "year"), span)
+
+
+@plan(f"WITH {_CLAIMS} SELECT o_orderkey, name, year, first_year, last_year, coalesce(year BETWEEN first_year - 5 AND last_year + 10, TRUE) AS valid FROM c LEFT JOIN h USING (name)")
+def jn17_artist_active(spark, d):
+    return _active(spark, d, P.ARTIST_SPAN)
+
+
+@plan(f"WITH {_CLAIMS} SELECT o_orderkey, name, year, first_year, last_year, coalesce(year BETWEEN first_year AND last_year + 20, TRUE) AS valid FROM c LEFT JOIN h USING (name)")
+def jn17_venue_open(spark, d):
+    return _active(spark, d, P.VENUE_SPAN)
+
+
+_VOTES = "SELECT user_id * 20 + event_id % 20 AS subject, CASE WHEN event_id % 3 = 0 THEN 'genre' ELSE 'poster_type' END AS field, event_type AS value, value / 1000.0 AS confidence FROM events"
+
+
+@plan(f"""WITH v AS ({_VOTES}), g AS (SELECT subject, field, value, count(*) AS n, sum(confidence) AS t FROM v GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY subject, field ORDER BY n DESC, t DESC, value) AS r, sum(n) OVER (PARTITION BY subject, field) AS a, count(*) OVER (PARTITION BY subject, field) AS kinds FROM g)
+SELECT subject, field, CASE WHEN n / a >= 0.5 AND NOT (a = 1 AND field = 'poster_type') THEN value END AS value, CASE WHEN a = 1 AND field = 'poster_type' THEN 0 ELSE round(t / n * n / a, 8) END AS confidence, kinds > 1 AS conflict FROM r WHERE r = 1""")
+def con1_strict(spark, d):
+    v = table(spark, d, "events").selectExpr("user_id * 20 + event_id % 20 AS subject", "CASE WHEN event_id % 3 = 0 THEN 'genre' ELSE 'poster_type' END AS field", "event_type AS value", "value / 1000.0 AS confidence")
+    return Q.consensus_categorical(v, strict=("poster_type",)).withColumn("confidence", F.round("confidence", 8))

@@ -60,3 +60,21 @@ def test_review(spark):
     c = spark.createDataFrame([(1, "city", "partial"), (1, "city", "mismatch"), (1, "year", "match"), (2, "state", "mismatch"), (7, "city", "partial")], "id int, field string, status string")
     got = {r.id: (round(r.overall, 6), r.fields) for r in P.review(p, c, "id").collect()}
     assert got == {1: (0.65, ["artist_phase", "city", "venue_phase"]), 2: (0.9, ["state"]), 3: (0.0, [])}
+
+
+def test_activity(spark):
+    h = spark.createDataFrame([("a", 1990), ("a", 2000), ("a", None), ("b", None), (None, 1950)], "name string, year int")
+    c = spark.createDataFrame([("a", y) for y in (1984, 1985, 1990, 2010, 2011, None)] + [("b", 1), ("z", 1), (None, 1)], "name string, year int")
+    ok = lambda span: sorted((str(r.name), r.year or 0) for r in P.activity(c, h, span).collect() if r.valid)
+    rest = [("None", 1), ("b", 1), ("z", 1)]
+    assert ok(P.ARTIST_SPAN) == sorted([("a", 0), ("a", 1985), ("a", 1990), ("a", 2010), *rest])
+    assert ok(P.VENUE_SPAN) == sorted([("a", 0), ("a", 1990), ("a", 2010), ("a", 2011), *rest])
+
+
+def test_strict_votes(spark):
+    from lakeweave.operators import quality as Q
+
+    v = spark.createDataFrame([(1, "poster_type", "film", 0.9), (1, "genre", "rock", 0.8), (2, "poster_type", "film", 0.5), (2, "poster_type", "film", 0.7)], "subject int, field string, value string, confidence double")
+    got = {(r.subject, r.field): (r.value, round(r.confidence, 6)) for r in Q.consensus_categorical(v, strict=("poster_type",)).collect()}
+    assert got == {(1, "poster_type"): (None, 0.0), (1, "genre"): ("rock", 0.8), (2, "poster_type"): ("film", 0.6)}
+    assert {r.value for r in Q.consensus_categorical(v).collect()} == {"film", "rock"}
