@@ -90,8 +90,9 @@ def allowed(relations: DataFrame, areas: DataFrame) -> DataFrame:
 
 
 def match_artists(names: DataFrame, artists: DataFrame) -> DataFrame:
-    """name, artist: the first artist entity, by name, whose text contains the name or is contained in it, both normalised."""
+    """name, artist: the first artist entity, by name, whose text contains the name or is contained in it, both normalised.
+    Both tables may be large: nothing is broadcast, however well names compress."""
     n = names.select("name").where("name is not null").distinct().withColumn("a", T.normalise_artist(F.col("name")))
     e = artists.select(F.col("name").alias("artist")).where("artist is not null").distinct().withColumn("b", T.normalise_artist(F.col("artist")))
     pairs = contained(n.select("a"), e.select("b")).toDF("a", "b").union(contained(e.select("b"), n.select("a")).select("y", "x")).distinct()
-    return n.join(pairs, "a").join(e, "b").groupBy("name").agg(F.min("artist").alias("artist"))
+    return n.join(pairs.hint("merge"), "a").join(e.hint("merge"), "b").groupBy("name").agg(F.min("artist").alias("artist"))

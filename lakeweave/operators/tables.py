@@ -46,18 +46,26 @@ def project(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select(*[f for f in fields if f in df.columns])
 
 
-def contained(whole: DataFrame, part: DataFrame, size: int = 3) -> DataFrame:
+#: Lengths of grams. A text is looked up by grams of the largest of them that it has room for.
+SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+
+
+def contained(whole: DataFrame, part: DataFrame) -> DataFrame:
     """x, y: distinct non-empty texts of `whole` and `part` (a column each) where x holds y anywhere, equal ones included.
 
-    If x holds y, it holds all grams of y, so each y is looked up by that gram of its own which fewest x have; a y shorter
-    than `size` is looked up as it is. What is verified follows rare grams, not all pairs that share a frequent one."""
+    If x holds y, it holds all grams of y, so each y is looked up by that gram of its own which fewest x have. Grams are two
+    thirds of a text at least (up to the largest of SIZES), so texts that differ in a few characters are told apart by most of
+    them. What is verified follows rare grams, not all pairs that share a frequent one. Neither side is broadcast."""
     x, y = whole.toDF("x").where("x != ''").distinct(), part.toDF("y").where("y != ''").distinct()
-    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    have = x.select("x", F.explode(F.array_distinct(F.concat(*[grams(F.col("x"), n) for n in range(1, size + 1)]))).alias("g"))
-    want = y.select("y", F.explode(F.array_distinct(F.when(F.length("y") < size, F.array("y")).otherwise(grams(F.col("y"), size)))).alias("g"))
+    room = F.coalesce(*[F.when(F.length("y") >= n, n) for n in reversed(SIZES)])
+    used = sorted(r[0] for r in y.select(room.alias("n")).distinct().collect())
+    grams = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    have = x.select("x", F.explode(F.array_distinct(F.concat(none, *[grams(F.col("x"), n) for n in used]))).alias("g"))
+    want = y.select("y", F.explode(F.array_distinct(F.coalesce(*[F.when(room == n, grams(F.col("y"), n)) for n in used], none))).alias("g"))
     counts = have.groupBy("g").agg(F.count("*").alias("n"))
-    rarest = want.join(counts, "g", "left").groupBy("y").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).where("m.n > 0")
-    return have.join(rarest.select("y", F.col("m.g").alias("g")), "g").where(F.contains("x", "y")).select("x", "y")
+    rarest = want.join(counts.hint("merge"), "g").groupBy("y").agg(F.min(F.struct("n", "g")).alias("m"))
+    return have.join(rarest.select("y", F.col("m.g").alias("g")).hint("merge"), "g").where(F.contains("x", "y")).select("x", "y")
 
 
 def match_terms(names: DataFrame, terms: DataFrame, prefix: str = "") -> DataFrame:
