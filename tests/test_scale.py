@@ -1,5 +1,11 @@
 """Steps that have to stay bounded as tables grow."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lakeweave.operators import graph as G
 from lakeweave.operators import matching as M
 
 
@@ -16,3 +22,41 @@ def test_artists_are_matched_without_broadcast(spark, tmp_path):
     got = M.match_artists(spark.read.parquet(f"{tmp_path}/names"), spark.read.parquet(f"{tmp_path}/known"))
     assert "Broadcast" not in plan_of(got)
     assert {r["name"]: r["artist"] for r in got.collect()}["The Customer000000013"] == "Customer00000001"
+
+
+def simple(near, path, target, depth):
+    if path[-1] == target:
+        yield path
+    elif len(path) <= depth:
+        for v in near.get(path[-1], set()) - set(path):
+            yield from simple(near, [*path, v], target, depth)
+
+
+@pytest.mark.parametrize("both", [True, False])
+@pytest.mark.parametrize("mark", ["", ">"])
+def test_paths_by_hubs(spark, both, mark):
+    """Against all paths of a graph with two hubs of common and of own neighbours, and others below the limit."""
+    rnd = random.Random(3)
+    names = [f"n{i}{mark if i % 3 == 0 else ''}" for i in range(24)]
+    edges = {(h, n) if rnd.random() < 0.5 else (n, h) for h in ("hub_a", "hub_b") for n in names if rnd.random() < 0.6} | {tuple(rnd.sample(names, 2)) for _ in range(14)}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        if both:
+            near.setdefault(b, set()).add(a)
+    relations = spark.createDataFrame(sorted(edges), "src string, dst string").withColumn("relation_type", F.lit("x"))
+    pairs = [("hub_a", "hub_b"), *((names[i], names[i + 1]) for i in range(0, 22, 3))]
+    got = G.simple_paths(relations, spark.createDataFrame(pairs, "s string, t string"), depth=4, per_pair=9, both=both, hub=5).orderBy("source", "target", "rank").collect()
+    for s, t in pairs:
+        want = sorted(simple(near, [s], t, 4), key=lambda p: (len(p), ">".join(p)))[:9]
+        assert [r.path for r in got if (r.source, r.target) == (s, t)] == want
+
+
+def test_paths_list_no_hub_for_each_pair(spark, monkeypatch):
+    edges = [(f"n{i:04d}", "hub") for i in range(2100)]
+    relations = spark.createDataFrame(edges, "src string, dst string").withColumn("relation_type", F.lit("x"))
+    sizes = []
+    keep = G.cut
+    monkeypatch.setattr(G, "cut", lambda df: sizes.append((out := keep(df)).count()) or out)
+    pairs = spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}") for i in range(20)], "s string, t string")
+    assert G.simple_paths(relations, pairs, depth=4).count() == 20 and max(sizes) <= 4200
