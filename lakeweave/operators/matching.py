@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import cut
 from . import text_join as J
 from .tables import contained
 
@@ -65,10 +66,17 @@ def match_people(names: DataFrame, credits: DataFrame, bonus: float = 0.05, leas
 
 
 def match_names(names: DataFrame, reference: DataFrame, least: float = 0.7, k: int = 4) -> DataFrame:
-    """name, candidate, score, rank: each distinct name's k most similar other candidates, by edit similarity of `least` or more."""
-    found = J.similar_strings(names.select("name"), reference.select("candidate"), least).where("a != b")
-    r = F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "b"))
-    return found.withColumn("rank", r).where(F.col("rank") <= k).select(F.col("a").alias("name"), F.col("b").alias("candidate"), "score", "rank")
+    """name, candidate, score, rank: each distinct name's k most similar other candidates, by edit similarity, however low.
+
+    Candidates of `least` or more are found by the keys of `text_join`. Only names with fewer than k of those are compared with
+    all candidates, block by block, without a broadcast."""
+    n, c = names.select("name").where("name is not null").distinct(), reference.select("candidate").where("candidate is not null").distinct()
+    score = T.levenshtein_similarity(F.col("name"), F.col("candidate"))
+    near = cut(J.similar_strings(n, c, least).where("a != b").select(F.col("a").alias("name"), F.col("b").alias("candidate"), "score"))
+    full = near.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("name")
+    rest = n.join(full, "name", "left_anti").hint("shuffle_replicate_nl").crossJoin(c).where("name != candidate").withColumn("score", score)
+    r = F.row_number().over(W.partitionBy("name").orderBy(F.desc("score"), "candidate"))
+    return near.join(full, "name", "left_semi").union(rest).withColumn("rank", r).where(F.col("rank") <= k)
 
 
 def pattern_scores(df: DataFrame, id: str, text: str, patterns: dict[str, list[str]], penalty: float = 0.3) -> DataFrame:

@@ -452,9 +452,9 @@ def con1_values(spark, d):
 _ALIKE = "WITH n AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT a.name, b.name AS candidate, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) AS score FROM n a JOIN n b ON a.name <> b.name {on})"
 
 
-@plan(f"{_ALIKE.format(on='')} SELECT name, candidate, round(score, 8) AS score, row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS rank FROM s WHERE score >= 0.7 - 1e-9 QUALIFY rank <= 4")
+@plan(f"{_ALIKE.format(on='')} SELECT name, candidate, round(score, 8) AS score, row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS rank FROM s QUALIFY rank <= 4")
 def jn12_fuzzy(spark, d):
-    """Every pair of names of similarity 0.7 or more, whatever words they share, and of those each name's four best."""
+    """Each name's four most similar others, whatever words they share and however unlike they are."""
     p = table(spark, d, "part").select("p_name")
     return M.match_names(p.withColumnRenamed("p_name", "name"), p.withColumnRenamed("p_name", "candidate")).withColumn("score", F.round("score", 8))
 

@@ -60,3 +60,22 @@ def test_paths_list_no_hub_for_each_pair(spark, monkeypatch):
     monkeypatch.setattr(G, "cut", lambda df: sizes.append((out := keep(df)).count()) or out)
     pairs = spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}") for i in range(20)], "s string, t string")
     assert G.simple_paths(relations, pairs, depth=4).count() == 20 and max(sizes) <= 4200
+
+
+def test_names_without_similar_ones_have_their_best(spark):
+    names = ["green bolt", "green bolts", "green boltz", "green volts", "green bold", "x", "", None, "anvil"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = M.match_names(df, df.toDF("candidate"), k=3).orderBy("name", "rank").collect()
+
+    def like(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return 1 - row[-1] / max(len(a), len(b))
+
+    known = [n for n in names if n is not None]
+    for a in known:
+        want = sorted(((-like(a, b), b) for b in known if a != b))[:3]
+        assert [r.candidate for r in got if r.name == a] == [b for _, b in want]
