@@ -18,6 +18,8 @@ from ..sources.scratch import cut
 
 #: Rows of the sample that centroids are fitted on, for each cell; rounds of k-means; cells at most; rows of a block.
 FIT_ROWS, ROUNDS, MOST_CELLS, BLOCK = 200, 6, 2048, 4096
+#: Rows whose distances to all centroids are held at once, and pairs whose vectors are.
+SLICE, PAIRS = 256, 16_384
 #: Slack of bounds and of the first comparison, above what rounding to doubles can move.
 SLACK = 1e-9
 
@@ -36,6 +38,14 @@ def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (centroids * centroids).sum(axis=1) - 2 * x @ centroids.T))
 
 
+def by_slices(vectors: pd.Series, centroids: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, unit vectors, distances to all centroids), SLICE rows at a time: memory is that of a slice by the centroids,
+    whatever the rows of a batch."""
+    for a in range(0, len(vectors), SLICE):
+        x = _unit(vectors.iloc[a : a + SLICE])
+        yield slice(a, a + len(x)), x, distances(x, centroids)
+
+
 def fit(vectors: DataFrame, cells: int, rounds: int = ROUNDS, rows_per_cell: int = FIT_ROWS) -> np.ndarray:
     """Centroids of column embedding, `cells` at most, fitted on the rows of least hash, about rows_per_cell for each cell. Only
     the centroids come to the driver; sums are made by cell and component on Spark."""
@@ -54,10 +64,10 @@ def fit(vectors: DataFrame, cells: int, rounds: int = ROUNDS, rows_per_cell: int
     def sums(batches: Iterator[pd.DataFrame], at: np.ndarray) -> Iterator[pd.DataFrame]:
         total, count = np.zeros_like(at), np.zeros(len(at), np.int64)
         for b in batches:
-            x = _unit(b["embedding"])
-            home = distances(x, at).argmin(axis=1)
-            np.add.at(total, home, x)
-            count += np.bincount(home, minlength=len(at))
+            for _, x, d in by_slices(b["embedding"], at):
+                home = d.argmin(axis=1)
+                np.add.at(total, home, x)
+                count += np.bincount(home, minlength=len(at))
         cell = np.repeat(np.arange(len(at)), at.shape[1])
         yield pd.DataFrame({"cell": cell, "part": np.tile(np.arange(at.shape[1]), len(at)), "s": total.ravel(), "n": count[cell]})
 
@@ -75,9 +85,11 @@ def homes(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 
     @F.pandas_udf("cell int, away double")
     def home(v: pd.Series) -> pd.DataFrame:
-        d = distances(_unit(v), centroids)
-        at = d.argmin(axis=1)
-        return pd.DataFrame({"cell": at.astype(np.int32), "away": d[np.arange(len(d)), at]})
+        cell, away = np.zeros(len(v), np.int32), np.zeros(len(v))
+        for rows, _, d in by_slices(v, centroids):
+            cell[rows] = d.argmin(axis=1)
+            away[rows] = d.min(axis=1)
+        return pd.DataFrame({"cell": cell, "away": away})
 
     return vectors.where(usable(F.col("embedding"))).withColumn("_h", home("embedding")).select("*", "_h.cell", "_h.away").drop("_h")
 
@@ -101,9 +113,11 @@ def _pairs_of_block(least: float):
                 if not guests and i == j:
                     once = a[p] < b[q]
                     p, q = p[once], q[once]
-                score = cosine(x[p], y[q])
-                ok = score >= least
-                out.append(pd.DataFrame({"a": np.minimum(a[p], b[q])[ok], "b": np.maximum(a[p], b[q])[ok], "score": score[ok]}))
+                for c in range(0, len(p), PAIRS):
+                    p_, q_ = p[c : c + PAIRS], q[c : c + PAIRS]
+                    score = cosine(x[p_], y[q_])
+                    ok = score >= least
+                    out.append(pd.DataFrame({"a": np.minimum(a[p_], b[q_])[ok], "b": np.maximum(a[p_], b[q_])[ok], "score": score[ok]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})
 
     return run
@@ -135,9 +149,11 @@ def similar_pairs(distinct: DataFrame, least: float, rows_per_cell: int = BLOCK,
 
     @F.pandas_udf("array<int>")
     def visits(e: pd.Series, cell: pd.Series, away: pd.Series) -> pd.Series:
-        d = distances(_unit(e), centroids)
-        open_ = (d <= far + reach + SLACK) & (d - away.to_numpy()[:, None] <= 2 * reach + SLACK) & (np.arange(len(centroids)) > cell.to_numpy()[:, None])
-        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in open_])
+        out, home, off = [], cell.to_numpy()[:, None], away.to_numpy()[:, None]
+        for rows, _, d in by_slices(e, centroids):
+            open_ = (d <= far + reach + SLACK) & (d - off[rows] <= 2 * reach + SLACK) & (np.arange(len(centroids)) > home[rows])
+            out += [np.flatnonzero(row).astype(np.int32) for row in open_]
+        return pd.Series(out)
 
     guests = cut(h.withColumn("cell", F.explode(visits("embedding", "cell", "away"))).select("id", "embedding", "cell"))
     blocks = h.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("own")).join(guests.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("more")), "cell", "left").fillna(0, ["more"])

@@ -75,8 +75,7 @@ def _probed(queries: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame
 
     @F.pandas_udf("array<int>")
     def near(q: pd.Series) -> pd.Series:
-        d = C.distances(C._unit(q), centroids)
-        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+        return pd.Series([x for _, _, d in C.by_slices(q, centroids) for x in np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)])
 
     return queries.withColumn("cell", F.explode(near("q")))
 
@@ -123,12 +122,13 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
 
     @F.pandas_udf("array<int>")
     def rest(v: pd.Series, s: pd.Series) -> pd.Series:
-        d = C.distances(C._unit(v), centroids)
-        nearest = np.argsort(d, axis=1, kind="stable")[:, :probes]
-        bar = np.sqrt(np.maximum(0.0, 2 - 2 * s.fillna(-1.0).to_numpy(dtype=np.float64))) + C.SLACK
-        open_ = d - far <= bar[:, None] + 1e-7
-        open_[np.arange(len(d))[:, None], nearest] = False
-        return pd.Series([np.flatnonzero(x).astype(np.int32) for x in open_])
+        out, bar = [], np.sqrt(np.maximum(0.0, 2 - 2 * s.fillna(-1.0).to_numpy(dtype=np.float64))) + C.SLACK
+        for rows, _, d in C.by_slices(v, centroids):
+            nearest = np.argsort(d, axis=1, kind="stable")[:, :probes]
+            open_ = d - far <= bar[rows, None] + 1e-7
+            open_[np.arange(len(d))[:, None], nearest] = False
+            out += [np.flatnonzero(x).astype(np.int32) for x in open_]
+        return pd.Series(out)
 
     more = cut(q.join(kth, "query_id", "left").withColumn("cell", F.explode(rest("q", "kth"))).select("query_id", "q", "cell"))
     cells = [r[0] for r in more.select("cell").distinct().collect()]

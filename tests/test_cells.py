@@ -1,6 +1,7 @@
 """Cell index and similarity join against all pairs by numpy; copies, hot cells, blocks, new and newer vectors."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,15 @@ def test_index_of_nothing(spark, tmp_path):
     X.build(frame(spark, vectors()[1]), f"{tmp_path}/i")
     q = spark.createDataFrame([(1, [1.0])], "query_id long, q array<float>")
     assert X.search(spark, f"{tmp_path}/i", q, 3).collect() == []
+
+
+def test_distances_are_held_by_slices(monkeypatch):
+    """A batch of rows against thousands of centroids is never one matrix, and slices miss no row."""
+    rng = np.random.default_rng(2)
+    x, at = rng.normal(size=(1000, 8)), rng.normal(size=(300, 8))
+    held, keep = [], C.distances
+    monkeypatch.setattr(C, "distances", lambda a, b: held.append(len(a)) or keep(a, b))
+    got = [(rows, d) for rows, _, d in C.by_slices(pd.Series(list(x)), at)]
+    assert max(held) <= 256 and sum(held) == 1000
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    assert np.allclose(np.vstack([d for _, d in got]), keep(unit, at)) and [r.start for r, _ in got] == [0, 256, 512, 768]
