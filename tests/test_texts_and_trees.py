@@ -118,3 +118,28 @@ def test_payloads(spark):
     assert {(r["id"], tuple(r["faults"])) for r in bad.collect()} == {(2, ("k",)), (3, ("payload",)), (8, ("k",))} and bad.columns == ["id", "p", "faults"]
     assert {(r["id"], r["pos"], r["value"]) for r in PL.items(df, "p", "$.t", ["id"]).collect()} == {(1, 0, "a"), (1, 1, "1")}
     assert "k" in PL.schema_of(df.where("id in (1, 2)"), "p").first()["schema"]
+
+
+def test_headings_are_found_as_by_patterns(monkeypatch):
+    """Patterns are tried only where a page holds what they begin with, in any case, and the same headings are found."""
+    from lakeweave.operators import sections as S
+
+    rnd = random.Random(5)
+    words = ["WHAT IS it?", "what is\nno?", "Key Benefıts", "KEY BENEFİTS", "Key benefits", "ſafety Precautions", "Quality application", "How Does It Work?", "how does it work", "x", "Straße\n", "\n"]
+    tried = []
+
+    class Seen:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def finditer(self, *a):
+            tried.append(a)
+            return self.pattern.finditer(*a)
+
+    whole = lambda page: sorted((m.start(), o, m.group(), k) for o, (h, k) in enumerate(S._COMPILED) for m in h.finditer(page))
+    pages = [" ".join(rnd.choices(words, k=12)) for _ in range(200)]
+    want = [whole(p) for p in pages]
+    monkeypatch.setattr(S, "_COMPILED", [(Seen(p), k) for p, k in S._COMPILED])
+    assert [S._heads(p) for p in pages] == want and sum(map(len, want)) > 500
+    tried.clear()
+    assert S._heads("a page without any of them") == [] and not tried
