@@ -79,3 +79,39 @@ def test_names_without_similar_ones_have_their_best(spark):
     for a in known:
         want = sorted(((-like(a, b), b) for b in known if a != b))[:3]
         assert [r.candidate for r in got if r.name == a] == [b for _, b in want]
+
+
+def near_of(edges):
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    return near
+
+
+@pytest.mark.parametrize("seed,hub", [(1, 3), (2, 8), (3, 100)])
+def test_influence_and_clustering_by_brute_force(spark, seed, hub):
+    rnd = random.Random(seed)
+    names = [f"n{i}" for i in range(40)]
+    edges = [(rnd.choice(("h", "g")), n) for n in names if rnd.random() < 0.6] + [tuple(rnd.choices(names, k=2)) for _ in range(60)] + [("h", "g"), ("n1", "n1")]
+    near = near_of(edges)
+    relations = spark.createDataFrame(edges, "src string, dst string").withColumn("relation_type", F.lit("x"))
+    entities = spark.createDataFrame([(n,) for n in [*names, "h", "g", "alone"]], "name string")
+    two = {n: set().union(*(near[b] for b in near.get(n, ()))) - near.get(n, set()) - {n} for n in [*names, "h", "g", "alone"]}
+    got = {r.name: (r.direct, r.indirect, r.radius) for r in G.influence(entities, relations, hub).collect()}
+    assert got == {n: (len(near.get(n, ())), len(c), 2 if c else 1 if near.get(n) else 0) for n, c in two.items()}
+    tri = {n: sum(b in near[a] for a in near.get(n, ()) for b in near[n] if a < b) for n in two}
+    assert {r.name: r.triangles for r in G.clustering(entities, relations).collect()} == tri
+
+
+def test_influence_lists_no_hub_for_each_entity(spark, monkeypatch):
+    """Of 600 entities next to one hub, 360,000 pairs."""
+    edges = [(f"n{i:04d}", "hub") for i in range(600)] + [(f"n{i:04d}", f"m{i % 7}") for i in range(600)]
+    relations = spark.createDataFrame(edges, "src string, dst string").withColumn("relation_type", F.lit("x"))
+    entities = relations.select(F.col("src").alias("name")).distinct()
+    asked = []
+    keep = G.two_hops
+    monkeypatch.setattr(G, "two_hops", lambda *a: asked.append(a) or keep(*a))
+    got = G.influence(entities, relations, hub=100)
+    assert {(r.direct, r.indirect) for r in got.collect()} == {(2, 599)} and not asked
