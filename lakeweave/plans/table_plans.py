@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import tables as O
+from ..sources.scratch import spread
 from .derived import ENT, REL, entities, relations
 from .registry import plan, table
 
@@ -158,7 +159,8 @@ def jn10_nested_names(spark, d):
 def jn17_active_range(spark, d):
     li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").alias("y"))
     f = li.groupBy("l_suppkey").agg(F.min("y").alias("f"))
-    return li.join(f, "l_suppkey").groupBy("l_suppkey", "l_partkey").agg(F.min("y").alias("first_year"), F.max("y").alias("last_year"), F.count_if(F.col("y") > F.col("f") + 2).alias("n_out"))
+    n = li.count()
+    return spread(spread(li, n, "l_suppkey").join(f, "l_suppkey"), n, "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey").agg(F.min("y").alias("first_year"), F.max("y").alias("last_year"), F.count_if(F.col("y") > F.col("f") + 2).alias("n_out"))
 
 
 @q("WITH s AS (SELECT doc_id, substr(sha256(text), 1, 16) AS hash FROM documents WHERE text IS NOT NULL), live AS (SELECT doc_id AS live_id, hash FROM s WHERE doc_id % 2 = 0), m AS (SELECT s.doc_id, min(live_id) AS live_id FROM s LEFT JOIN live USING (hash) WHERE doc_id % 2 = 1 GROUP BY 1) SELECT doc_id, live_id FROM m WHERE live_id IS NOT NULL")
