@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.scratch import cut
+from ..sources.scratch import cut, spread
 from . import products as P
 from . import quality as Q
 from . import records as R
@@ -32,20 +32,22 @@ class Flow:
 def records_of(votes: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """subject, a column a field, confidence, conflicts of scalar votes (subject, field, value, confidence): one consensus a field."""
     agreed = Q.consensus_value(votes.where(F.col("field").isin(*fields)))
-    wide = agreed.groupBy("subject").pivot("field", list(fields)).agg(F.first("value"))
-    flags = agreed.groupBy("subject").agg(F.array_sort(F.collect_list(F.when(F.col("conflict"), F.col("field")))).alias("conflicts"))
-    return wide.join(Q.overall_confidence(agreed), "subject").join(flags, "subject")
+    values = [F.first(F.when(F.col("field") == f, F.col("value")), ignorenulls=True).alias(f) for f in fields]
+    flags = F.array_sort(F.collect_list(F.when(F.col("conflict"), F.col("field")))).alias("conflicts")
+    return agreed.groupBy("subject").agg(*values, Q.overall(), flags)
 
 
 def process_records(votes: DataFrame, done: DataFrame, corrections: DataFrame, accept: float = 0.6) -> Flow:
     """Votes on records all the way to graph rows: subjects of `done` (subject) are skipped; consensus, cleaning, venue and
     date split where the venue holds a date, corrections (subject, field, value, confidence), a gate by confidence, observation
-    lines, and for records that pass, entities and relations: one for the headliner, the venue, and each show by date."""
+    lines, and for records that pass, entities and relations: one for the headliner, the venue, and each show by date. Votes are
+    dealt by subject once, over tasks of a bounded number of rows: consensus, fields and confidences need no other shuffle."""
+    votes = spread(votes, votes.count(), "subject")
     todo = votes.join(done.select("subject").distinct(), "subject", "left_anti")
     r = R.clean_records(records_of(todo), ["headliner", "title", "venue_name", "city"], []).drop(*[f"{c}_rejected" for c in ("headliner", "title", "venue_name", "city")])
     r = cut(P.split_venue_date(r, "venue_name"))
     r = r.withColumns({"venue_name": F.col("venue"), "event_date": F.coalesce(T.normalise_date(F.col("event_date")), F.col("date")), "year": F.coalesce(F.col("year").try_cast("int"), F.col("venue_year"))}).drop("venue", "date", "venue_year", "venue_confidence")
-    r = R.apply_corrections(r, corrections, "subject", ["headliner", "title", "venue_name", "city"])
+    r = R.apply_corrections(spread(r, r.count(), "subject"), corrections, "subject", ["headliner", "title", "venue_name", "city"])
     lines = R.observation_lines({"Headliner": F.col("headliner"), "Title": F.col("title"), "Venue": F.col("venue_name"), "Event date": F.col("event_date"), "Year": F.col("year"), "City": F.col("city")})
     r = r.withColumns({"decision": R.gate(F.col("confidence"), F.array().cast("array<string>"), accept), "observations": lines, "name": F.concat(F.lit("record_"), F.col("subject").cast("string"))})
     r = cut(r)

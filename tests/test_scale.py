@@ -115,3 +115,25 @@ def test_influence_lists_no_hub_for_each_entity(spark, monkeypatch):
     monkeypatch.setattr(G, "two_hops", lambda *a: asked.append(a) or keep(*a))
     got = G.influence(entities, relations, hub=100)
     assert {(r.direct, r.indirect) for r in got.collect()} == {(2, 599)} and not asked
+
+
+def test_tasks_group_a_bounded_number_of_rows(spark, monkeypatch):
+    """As many tasks as the rows ask for, whatever their bytes are."""
+    from lakeweave.operators import flows as FL
+    from lakeweave.plans import derived, flow_plans, table_plans
+    from lakeweave.sources import scratch
+
+    d, rows = "/root/testdata/sf0.001", 500
+    monkeypatch.setattr(scratch, "TASK_ROWS", rows)
+    n = spark.read.parquet(f"{d}/lineitem.parquet").count() // rows + 1
+    assert n > 8
+    for kind in ("CONTAINS", "SUPPLIED_BY"):
+        assert derived.relations(spark, d, (kind,)).rdd.getNumPartitions() == n
+    assert table_plans.jn17_active_range(spark, d).rdd.getNumPartitions() == n
+
+    tasks = []
+    keep = FL.cut
+    monkeypatch.setattr(FL, "cut", lambda df: tasks.append(df.rdd.getNumPartitions()) or keep(df))
+    flow_plans._flow(spark, d)
+    votes, orders = flow_plans._votes(spark, d).count(), spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 11 != 0").count()
+    assert tasks == [votes // rows + 1, orders // rows + 1]
