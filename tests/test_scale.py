@@ -137,3 +137,40 @@ def test_tasks_group_a_bounded_number_of_rows(spark, monkeypatch):
     flow_plans._flow(spark, d)
     votes, orders = flow_plans._votes(spark, d).count(), spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 11 != 0").count()
     assert tasks == [votes // rows + 1, orders // rows + 1]
+
+
+@pytest.mark.parametrize("bits", [58, 3])
+def test_nodes_are_numbered_by_hash_unless_two_share_one(spark, bits):
+    from lakeweave.operators.strong import numbered
+
+    edges = [(f"n{i}", f"n{i * 7 % 20}") for i in range(20)] + [("n3", "n3"), ("n4", None)]
+    nodes, e = numbered(spark.createDataFrame(edges, "src string, dst string"), bits)
+    name = {r["id"]: r["name"] for r in nodes.collect()}
+    assert sorted(name.values()) == sorted({f"n{i}" for i in range(20)})
+    assert sorted((name[r.u], name[r.v]) for r in e.collect()) == sorted((a, b) for a, b in edges if b and a != b)
+    assert ("join" in plan_of(e).lower()) == (bits == 3)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_by_contraction(spark, seed):
+    """Against union and find: chains, a hub with what hangs on it, random pairs, a loop; the hub's edges go in the first round."""
+    rnd = random.Random(seed)
+    edges = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(40) if i % 9] + [(f"a{rnd.randrange(60):02d}", f"a{rnd.randrange(60):02d}") for _ in range(50)]
+    star = [(f"m{i:02d}", "z_hub") for i in range(30)] + [(f"m{i:02d}", f"leaf{i}") for i in range(30)]
+    root = {n: n for e in edges + star for n in e}
+
+    def find(n):
+        return n if root[n] == n else find(root[n])
+
+    for a, b in edges + star:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    df = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    got = {r.node: r.component for r in G.components(df(edges + star + [("loop", "loop")])).collect()}
+    linked = {n for e in edges + star for n in e if e[0] != e[1]}
+    assert got == {n: find(n) for n in linked}
+
+    written = []
+    keep = G.cut
+    G.components(df(star), lambda x: written.append(out := keep(x)) or out)
+    assert [t.count() for t in written if t.columns == ["u", "v"]] == [len(star), 0]
