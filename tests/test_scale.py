@@ -174,3 +174,14 @@ def test_components_by_contraction(spark, seed):
     keep = G.cut
     G.components(df(star), lambda x: written.append(out := keep(x)) or out)
     assert [t.count() for t in written if t.columns == ["u", "v"]] == [len(star), 0]
+
+
+def test_cheapest_costs_group_no_edges_first(spark, monkeypatch):
+    edges = [("a", "b", 1.0), ("b", "a", 0.4), ("a", "b", 0.7), ("b", "c", None), ("c", "d", 0.5), ("a", "c", 2.0), ("d", "e", 0.1)]
+    relations = spark.createDataFrame(edges, "src string, dst string, strength double").withColumn("relation_type", F.lit("x"))
+    plans = []
+    keep = G.cut
+    monkeypatch.setattr(G, "cut", lambda df: plans.append(plan_of(df)) or keep(df))
+    got = {(r.source, r.node): round(r.cost, 6) for r in G.cheapest_costs(relations, spark.createDataFrame([("a",), ("z",)], "s string"), 3).collect()}
+    assert got == {("a", "a"): 0, ("a", "b"): 0.4, ("a", "c"): 1.4, ("a", "d"): 1.9, ("a", "e"): 2.6, ("z", "z"): 0}
+    assert "Exchange" not in plans[0]
