@@ -62,6 +62,16 @@ def test_paths_list_no_hub_for_each_pair(spark, monkeypatch):
     assert G.simple_paths(relations, pairs, depth=4).count() == 20 and max(sizes) <= 4200
 
 
+def test_edges_read_relations_once(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a"), ("c", None), ("b", "c")], "src string, dst string").withColumn("relation_type", F.lit("x")).write.parquet(f"{tmp_path}/r")
+    plans = []
+    keep = G.cut
+    monkeypatch.setattr(G, "cut", lambda df: plans.append(plan_of(df)) or keep(df))
+    got = G.edges(spark.read.parquet(f"{tmp_path}/r"))
+    assert sorted(map(tuple, got.collect())) == [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")]
+    assert plans[0].count("FileScan") == 1
+
+
 def test_names_without_similar_ones_have_their_best(spark):
     names = ["green bolt", "green bolts", "green boltz", "green volts", "green bold", "x", "", None, "anvil"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
