@@ -1,6 +1,7 @@
 """Steps that have to stay bounded as tables grow."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +128,20 @@ def test_influence_lists_no_hub_for_each_entity(spark, monkeypatch):
     assert {(r.direct, r.indirect) for r in got.collect()} == {(2, 599)} and not asked
 
 
+@pytest.mark.parametrize("hub,group,most", [(5, 20, 1000), (5, 20, 0), (100, 10**6, 1000)])
+def test_two_hops_send_lists_not_pairs(spark, monkeypatch, hub, group, most):
+    rnd = random.Random(2)
+    names = [f"n{i}" for i in range(40)]
+    edges = [(rnd.choice(("h", "g")), n) for n in names if rnd.random() < 0.6] + [tuple(rnd.choices(names, k=2)) for _ in range(60)] + [("h", "g"), ("n1", "n1")]
+    near = near_of(edges)
+    monkeypatch.setattr(G, "PAIRS_A_GROUP", group, raising=False)
+    monkeypatch.setattr(G, "MOST_ENDS", most, raising=False)
+    asked = spark.createDataFrame([(n,) for n in [*names[::2], "h", "alone"]], "name string")
+    got = G.two_hops(spark.createDataFrame(edges, "src string, dst string").withColumn("relation_type", F.lit("x")), asked, hub)
+    assert sorted(map(tuple, got.collect())) == sorted((a, c, min(near[a] & near[c])) for a in [*names[::2], "h"] if a in near for c in near if a != c and c not in near[a] and near[a] & near[c])
+    assert not re.search(r"hashpartitioning\(a#\d+, c#\d+", plan_of(got))
+
+
 def test_tasks_group_a_bounded_number_of_rows(spark, monkeypatch):
     """As many tasks as the rows ask for, whatever their bytes are."""
     from lakeweave.operators import flows as FL
