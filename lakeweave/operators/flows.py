@@ -34,7 +34,7 @@ def records_of(votes: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     agreed = Q.consensus_value(votes.where(F.col("field").isin(*fields)))
     values = [F.first(F.when(F.col("field") == f, F.col("value")), ignorenulls=True).alias(f) for f in fields]
     flags = F.array_sort(F.collect_list(F.when(F.col("conflict"), F.col("field")))).alias("conflicts")
-    return agreed.groupBy("subject").agg(*values, Q.overall(), flags)
+    return agreed.groupBy("subject").agg(*values, Q.overall_of_fields(), flags)
 
 
 def process_records(votes: DataFrame, done: DataFrame, corrections: DataFrame, accept: float = 0.6) -> Flow:

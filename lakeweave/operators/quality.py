@@ -91,14 +91,14 @@ def consensus_value(votes: DataFrame, prefer_longest: bool = True, least: float
     return g.select("subject", "field", value.alias("value"), conf.alias("confidence"), (F.col("kinds") > 1).alias("conflict"))
 
 
-def overall() -> Column:
+def overall_of_fields() -> Column:
     """0.6 of the mean confidence of a subject's fields + 0.4 of the share without conflict, as an aggregate."""
     return (F.avg("confidence") * 0.6 + F.avg((~F.col("conflict")).cast("int")) * 0.4).alias("confidence")
 
 
 def overall_confidence(fields: DataFrame) -> DataFrame:
     """subject, confidence: the overall one of its fields."""
-    return fields.groupBy("subject").agg(overall())
+    return fields.groupBy("subject").agg(overall_of_fields())
 
 
 def fuzzy_best(names: DataFrame, reference: DataFrame, score, block, k: int = 4) -> DataFrame:

@@ -84,6 +84,23 @@ def test_scores(spark):
     assert rows(Q.overall(checks), "score", "status") == [(75, "mismatch")]
 
 
+def test_scores_and_confidences_side_by_side(spark):
+    checks = spark.createDataFrame([("e", "headliner", 0.95, "match")], "entity_id string, field string, confidence double, status string")
+    fields = spark.createDataFrame([("e", 0.5, False), ("e", 1.0, True)], "subject string, confidence double, conflict boolean")
+    assert (Q.overall(checks).first().score, round(Q.overall_confidence(fields).first().confidence, 6)) == (95, 0.65)
+
+
+def test_no_module_defines_a_name_twice():
+    import ast
+    import pathlib
+
+    import lakeweave
+
+    for path in pathlib.Path(lakeweave.__file__).parent.rglob("*.py"):
+        names = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, (ast.FunctionDef, ast.ClassDef))]
+        assert len(names) == len(set(names)), path
+
+
 def test_consensus(spark):
     v = spark.createDataFrame([("s", "type", "concert", 0.8), ("s", "type", "film", 0.9)], "subject string, field string, value string, confidence double")
     r = Q.consensus_categorical(v).first()
