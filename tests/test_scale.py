@@ -1,5 +1,6 @@
 """Steps that have to stay bounded as tables grow."""
 
+import os
 import random
 import re
 
@@ -164,6 +165,18 @@ def test_tasks_group_a_bounded_number_of_rows(spark, monkeypatch):
     assert tasks == [votes // rows + 1, orders // rows + 1]
 
 
+def test_paths_leave_no_edges_and_send_no_paths_of_one_step(spark, monkeypatch):
+    written, keep = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: written.append(out := keep(df)) or out)
+    rows = [(f"a{i % 5}", f"b{i}") for i in range(20)] + [(f"b{i}", f"a{i % 3}") for i in range(20)]
+    got = G.simple_paths(spark.createDataFrame(rows, "src string, dst string").withColumn("relation_type", F.lit("r")), spark.createDataFrame([("a0", "a1"), ("a3", "a4")], "s string, t string"), per_pair=30, hub=9)
+    assert got.count() == 15
+    left = [df.columns for df in written if os.path.isdir(df._lakeweave_path)]
+    assert ["source", "target", "path", "rank", "length"] in left and ["source", "target", "node"] not in left
+    assert written[0].columns == ["u", "v"] and not os.path.isdir(written[0]._lakeweave_path)
+    assert sum(df.columns == ["source", "target", "node"] for df in written) >= 2
+
+
 @pytest.mark.parametrize("bits", [58, 3])
 def test_nodes_are_numbered_by_hash_unless_two_share_one(spark, bits):
     from lakeweave.operators.strong import numbered
