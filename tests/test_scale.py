@@ -177,6 +177,20 @@ def test_paths_leave_no_edges_and_send_no_paths_of_one_step(spark, monkeypatch):
     assert sum(df.columns == ["source", "target", "node"] for df in written) >= 2
 
 
+def test_influence_and_clustering_leave_no_edges(spark, monkeypatch):
+    """Of influence, only edges of hubs are met for an entity's largest hub."""
+    written, keep = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: written.append(out := keep(df)) or out)
+    edges = [(f"n{i}", "hub") for i in range(12)] + [(f"n{i}", f"n{i * 5 % 12}") for i in range(12)] + [("n1", "m")]
+    relations = spark.createDataFrame(edges, "src string, dst string").withColumn("relation_type", F.lit("x"))
+    entities = relations.select(F.col("src").alias("name")).distinct()
+    got = G.influence(entities, relations, hub=9)
+    assert [df.count() for df in written if df.columns == ["top", "c"]] == [12] and got.count() == 12
+    assert G.clustering(entities, relations).count() == 12
+    left = [tuple(df.columns) for df in written if os.path.isdir(df._lakeweave_path)]
+    assert not {("a", "b"), ("x", "y"), ("a", "b", "top"), ("x", "y", "by_y")} & set(left)
+
+
 @pytest.mark.parametrize("bits", [58, 3])
 def test_nodes_are_numbered_by_hash_unless_two_share_one(spark, bits):
     from lakeweave.operators.strong import numbered
