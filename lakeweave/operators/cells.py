@@ -20,6 +20,8 @@ from ..sources.scratch import cut
 FIT_ROWS, ROUNDS, MOST_CELLS, BLOCK = 200, 6, 2048, 4096
 #: Rows whose distances to all centroids are held at once, and pairs whose vectors are.
 SLICE, PAIRS = 256, 16_384
+#: Copies of a vector, on average, up to which it is sent to each open cell; beyond, cells are packed in groups of about a block.
+COPIES = 8
 #: Slack of bounds and of the first comparison, above what rounding to doubles can move.
 SLACK = 1e-9
 
@@ -135,7 +137,10 @@ def similar_pairs(distinct: DataFrame, least: float, rows_per_cell: int = BLOCK,
     is r = sqrt(2 - 2 least) at most, so the cell's centroid is within r plus the cell's radius, and, as the partner is nearer
     to that centroid than to the guest's own, at most 2 r farther than the guest's own. Homes and guests of a cell are dealt into
     blocks; a task compares a block with a block and lets out pairs over the limit alone. Repeats of a vector were joined
-    before, so copies make no pairs."""
+    before, so copies make no pairs.
+
+    Where bounds leave most cells open, a vector would be sent to each; there cells that follow each other are packed in groups of about a block, as
+    one cell whose parts are open or not: a vector is sent once to a group above its own."""
     spark = distinct.sparkSession
     v = cut(distinct.select(F.col("class_id").alias("id"), "embedding"))
     n = v.count()
@@ -147,15 +152,27 @@ def similar_pairs(distinct: DataFrame, least: float, rows_per_cell: int = BLOCK,
     far = np.array([sizes[c]["far"] if c in sizes else -np.inf for c in range(len(centroids))])
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + SLACK
 
-    @F.pandas_udf("array<int>")
-    def visits(e: pd.Series, cell: pd.Series, away: pd.Series) -> pd.Series:
-        out, home, off = [], cell.to_numpy()[:, None], away.to_numpy()[:, None]
-        for rows, _, d in by_slices(e, centroids):
-            open_ = (d <= far + reach + SLACK) & (d - off[rows] <= 2 * reach + SLACK) & (np.arange(len(centroids)) > home[rows])
-            out += [np.flatnonzero(row).astype(np.int32) for row in open_]
-        return pd.Series(out)
-
-    guests = cut(h.withColumn("cell", F.explode(visits("embedding", "cell", "away"))).select("id", "embedding", "cell"))
+    def visited(group: np.ndarray):
+        """Groups of cells above a vector's own one, of which a cell is open to it."""
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+
+        @F.pandas_udf("array<int>")
+        def visits(e: pd.Series, cell: pd.Series, away: pd.Series) -> pd.Series:
+            out, home, off = [], group[cell.to_numpy()][:, None], away.to_numpy()[:, None]
+            for rows, _, d in by_slices(e, centroids):
+                open_ = (d <= far + reach + SLACK) & (d - off[rows] <= 2 * reach + SLACK)
+                open_ = np.logical_or.reduceat(open_, first, axis=1) & (np.arange(len(first)) > home[rows])
+                out += [np.flatnonzero(row).astype(np.int32) for row in open_]
+            return pd.Series(out)
+
+        return visits("embedding", "cell", "away")
+
+    group = np.arange(len(centroids), dtype=np.int32)
+    if (h.agg(F.sum(F.size(visited(group)))).first()[0] or 0) > COPIES * n:
+        rows = np.cumsum([sizes[c]["n"] if c in sizes else 0 for c in range(len(centroids))])
+        group = np.unique((rows - 1).clip(0) // block, return_inverse=True)[1].astype(np.int32)
+    guests = cut(h.withColumn("cell", F.explode(visited(group))).select("id", "embedding", "cell"))
+    h = h.withColumn("cell", F.get(F.array(*map(F.lit, group.tolist())), F.col("cell")))
     blocks = h.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("own")).join(guests.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("more")), "cell", "left").fillna(0, ["more"])
     blocks = F.broadcast(blocks)  # a row a cell
     part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
